@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, packing
+from . import language, language_model, packing, quality
 
 QUERIES = {
+    "op1_tokenizer_fertility": quality.op1_tokenizer_fertility,
+    "op3_log_frequency_bloom": language_model.op3_log_frequency_bloom,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_language_id": language.op10_language_id,
 }
