@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, language_model, packing, quality
+from . import jaccard_join, language, language_model, packing, quality
 
 QUERIES = {
     "op1_tokenizer_fertility": quality.op1_tokenizer_fertility,
     "op3_log_frequency_bloom": language_model.op3_log_frequency_bloom,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_signature_tree_join": jaccard_join.op6_signature_tree_join,
     "op10_language_id": language.op10_language_id,
 }
 
