@@ -1,10 +1,419 @@
-"""The library's queries by name, each with the SQL that a second engine runs on the same tables."""
+"""The library's queries by name, each with the SQL that a second engine runs on the same tables.
+
+The SQL takes another route than the operator wherever one exists: brute-force grids for sweep lines, correlated
+subqueries for windows, recursion for repeated joins.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import dag, decisions, monitoring, timeseries
+from ..sources.bridge import duckdb, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RUN, TASK, APP = "run-3", 13, "1-URGENT"
+WEEK, HOUR = 7 * 86400, 3600
+
+
+def _query(views: tuple[str, ...], sql: str | None):
+    """Register a function of the session and the named views under its own name, with its SQL over the same views."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, *[load(spark, sf_dir, v) for v in views])
+        if sql is not None:
+            body = sql.strip()
+            head = duckdb(*views)
+            ORACLES[f.__name__] = f"{head}, {body[5:]}" if body.startswith("WITH ") else f"{head} {body}"
+        return f
+
+    return add
+
+
+def _units(ts: str, unit: int) -> str:
+    """SQL of a timestamp in fractional units since 1970."""
+    return f"(epoch_us({ts}) / {unit * 1_000_000}.0)"
+
+
+# Filters and projections.
+
+
+@_query(("node",), f"SELECT * FROM node WHERE run_id = '{RUN}'")
+def nodes_for_workflow(spark, node):
+    return monitoring.for_run(node, RUN)
+
+
+@_query(("resource",), f"SELECT * FROM resource WHERE run_id = '{RUN}'")
+def resources_for_workflow(spark, resource):
+    return monitoring.for_run(resource, RUN)
+
+
+@_query(("resource",), f"SELECT * FROM resource WHERE run_id = '{RUN}' AND task_id = {TASK}")
+def resources_for_task(spark, resource):
+    return monitoring.resources_for_task(resource, RUN, str(TASK))
+
+
+@_query(("status",), f"""SELECT run_id, task_id, task_status_name, "timestamp" FROM status WHERE run_id = '{RUN}'""")
+def status_for_workflow(spark, status):
+    return monitoring.for_run(status, RUN).select("run_id", "task_id", "task_status_name", "timestamp")
+
+
+@_query(("task",), f"SELECT task_id, task_func_name, task_time_returned FROM task WHERE run_id = '{RUN}'")
+def completion_times(spark, task):
+    return monitoring.for_run(task, RUN).select("task_id", "task_func_name", "task_time_returned")
+
+
+@_query(("task",), f"SELECT * FROM task WHERE run_id = '{RUN}'")
+def tasks_for_workflow(spark, task):
+    return monitoring.for_run(task, RUN)
+
+
+@_query(("task",), f"SELECT * FROM task WHERE run_id = '{RUN}' AND task_func_name = '{APP}'")
+def tasks_for_app(spark, task):
+    return monitoring.tasks_for_app(task, RUN, APP)
+
+
+@_query(("workflow",), "SELECT run_id, workflow_name FROM workflow WHERE time_began IS NOT NULL AND time_completed IS NOT NULL")
+def completed_workflows(spark, workflow):
+    return workflow.where(F.col("time_began").isNotNull() & F.col("time_completed").isNotNull()).select("run_id", "workflow_name")
+
+
+@_query(("workflow",), "SELECT run_id, workflow_name, CASE WHEN time_completed IS NULL THEN 'Running' ELSE 'Completed' END AS status, coalesce(CAST(date_diff('second', time_began, time_completed) AS VARCHAR), '-') AS seconds FROM workflow")
+def workflow_summary(spark, workflow):
+    return monitoring.workflow_summary(workflow)
+
+
+@_query(("block",), """SELECT b.*, p.status AS before FROM block b LEFT JOIN block p ON p.run_id = b.run_id AND p.executor_label = b.executor_label AND p.block_id = b.block_id
+        AND p."timestamp" = (SELECT max(q."timestamp") FROM block q WHERE q.run_id = b.run_id AND q.executor_label = b.executor_label AND q.block_id = b.block_id AND q."timestamp" < b."timestamp") WHERE p.status IS DISTINCT FROM b.status""")
+def block_transitions(spark, block):
+    return monitoring.block_transitions(block)
+
+
+# Joins.
+
+
+@_query(("task", "try"), f"""SELECT t.run_id, t.task_id, t.task_func_name, y.try_id, y.task_executor, y.task_try_time_running, t.task_time_returned FROM task t, "try" y WHERE t.task_id = y.task_id AND t.run_id = '{RUN}' AND y.run_id = '{RUN}'""")
+def tries_for_workflow(spark, task, tries):
+    both = monitoring.tries_with_tasks(monitoring.for_run(task, RUN), monitoring.for_run(tries, RUN))
+    return both.select("run_id", "task_id", "task_func_name", "try_id", "task_executor", "task_try_time_running", "task_time_returned")
+
+
+@_query(("task", "try"), """SELECT t.run_id, t.task_id, t.task_func_name, y.try_id, y.task_try_time_launched, y.task_try_time_running, y.task_try_time_returned FROM task t, "try" y WHERE t.task_id = y.task_id AND t.run_id = y.run_id""")
+def task_try_times(spark, task, tries):
+    return monitoring.tries_with_tasks(task, tries).select("run_id", "task_id", "task_func_name", "try_id", "task_try_time_launched", "task_try_time_running", "task_try_time_returned")
+
+
+_LATEST = """SELECT t.run_id, t.task_id, t.task_func_name, s."timestamp", s.task_status_name FROM event_task t LEFT JOIN (SELECT *, rank() OVER (PARTITION BY run_id, task_id ORDER BY "timestamp" DESC) AS place FROM status) s
+        ON s.run_id = t.run_id AND s.task_id = t.task_id AND s.place = 1"""
+
+
+@_query(("event_task", "status"), _LATEST)
+def latest_task_status(spark, task, status):
+    return monitoring.latest_task_status(task, status)
+
+
+@_query(("event_task", "status"), f"WITH l AS ({_LATEST}) SELECT run_id, coalesce(task_status_name, 'unsubmitted') AS state, count(*) AS n FROM l GROUP BY ALL")
+def state_counts(spark, task, status):
+    return monitoring.state_counts(monitoring.latest_task_status(task, status))
+
+
+@_query(("task", "try"), """SELECT count(*) AS n FROM task t, "try" y WHERE t.task_id = y.task_id AND t.final_state = 'exec_done' AND y.task_try_time_running IS NULL""")
+def exec_done_without_running(spark, task, tries):
+    done = task.where("final_state = 'exec_done'").select("task_id")
+    return tries.where(F.col("task_try_time_running").isNull()).select("task_id").join(done, "task_id").agg(F.count("*").alias("n"))
+
+
+_EDGES = """SELECT run_id, CAST(x AS BIGINT) AS source, task_id, min(p) AS place FROM (SELECT run_id, task_id, unnest(string_split(task_depends, ',')) AS x, generate_subscripts(string_split(task_depends, ','), 1) AS p FROM task WHERE task_depends IS NOT NULL) GROUP BY ALL"""
+
+
+@_query(("task",), f"SELECT run_id, source, task_id FROM ({_EDGES.replace(', min(p) AS place', '')})")
+def dag_edges(spark, task):
+    return dag.edges(task).select("run_id", "source", "task_id")
+
+
+@_query(("task",), "SELECT run_id, task_id, task_func_name AS app, final_state AS state, coalesce(len(list_distinct(string_split(task_depends, ','))), 0) AS dependencies FROM task")
+def dag_nodes(spark, task):
+    n = F.when(F.col("task_depends").isNotNull(), F.size(F.array_distinct(F.split("task_depends", ",")))).otherwise(0)
+    return task.select("run_id", "task_id", F.col("task_func_name").alias("app"), F.col("final_state").alias("state"), n.cast("long").alias("dependencies"))
+
+
+@_query(("task",), """SELECT run_id, task_id, source_task FROM (SELECT run_id, task_id, first_value(task_id) OVER (PARTITION BY run_id, task_hashsum ORDER BY task_id) AS source_task FROM task WHERE task_memoize = 'True') WHERE source_task <> task_id""")
+def memo_hits(spark, task):
+    return monitoring.memo_hits(task)
+
+
+# Aggregations.
+
+
+@_query(("task",), f"SELECT task_func_name, count(*) AS frequency FROM task WHERE run_id = '{RUN}' GROUP BY task_func_name")
+def app_counts(spark, task):
+    return monitoring.for_run(task, RUN).groupBy("task_func_name").agg(F.count("*").alias("frequency"))
+
+
+@_query(("workflow", "task", "try", "status", "node", "block", "resource"), "SELECT 'workflow' AS name, count(*) AS n FROM workflow" + "".join(f""" UNION ALL SELECT '{v}', count(*) FROM "{v}" """ for v in ("task", "try", "status", "node", "block", "resource")))
+def table_counts(spark, *tables):
+    names = ("workflow", "task", "try", "status", "node", "block", "resource")
+    counts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in zip(names, tables, strict=True)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@_query(("block",), "SELECT run_id, count(DISTINCT block_id) AS blocks, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'SCALED_IN') AS scaled_in FROM block GROUP BY run_id")
+def distinct_blocks(spark, block):
+    return block.groupBy("run_id").agg(F.countDistinct("block_id").alias("blocks"), F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "SCALED_IN").alias("scaled_in"))
+
+
+@_query(("task",), "SELECT task_hashsum, count(task_hashsum) AS tasks, count(task_hashsum) - 1 AS reusable FROM task GROUP BY task_hashsum")
+def hash_reuse_counts(spark, task):
+    return monitoring.hash_reuse(task)
+
+
+@_query(("node",), """SELECT n.run_id, CAST(sum(worker_count) AS BIGINT) AS workers, CAST(sum(cpu_count) AS BIGINT) AS cpus, CAST(sum(total_memory) AS DOUBLE) / 1073741824 AS memory_gib, CAST(sum(CASE WHEN last THEN worker_count END) AS BIGINT) AS workers_latest,
+        CAST(sum(CASE WHEN last THEN cpu_count END) AS BIGINT) AS cpus_latest FROM (SELECT *, "timestamp" = max("timestamp") OVER (PARTITION BY run_id, hostname) AS last FROM node) n GROUP BY n.run_id""")
+def node_totals(spark, node):
+    return monitoring.node_totals(node)
+
+
+@_query(("task",), "SELECT DISTINCT run_id, task_func_name FROM task")
+def distinct_apps(spark, task):
+    return task.select("run_id", "task_func_name").distinct()
+
+
+@_query(("task",), "SELECT run_id, sum(CASE WHEN final_state = 'failed' THEN 1 ELSE 0 END)::BIGINT AS tasks_failed_count, sum(CASE WHEN final_state = 'exec_done' THEN 1 ELSE 0 END)::BIGINT AS tasks_completed_count FROM task GROUP BY run_id")
+def workflow_task_counts(spark, task):
+    return monitoring.workflow_task_counts(task)
+
+
+@_query(("resource",), """SELECT r.run_id, r.task_id, r.try_id, sum(u) AS time_user, sum(CASE WHEN live THEN m END) AS memory_resident, sum(CASE WHEN live THEN d END) AS disk_read, count(*) AS processes FROM
+        (SELECT DISTINCT run_id, task_id, try_id, psutil_process_pid, last_value(psutil_process_time_user) OVER w AS u, last_value(psutil_process_memory_resident) OVER w AS m, last_value(psutil_process_disk_read) OVER w AS d,
+        last_value("timestamp") OVER w = (SELECT max("timestamp") FROM resource q WHERE q.run_id = p.run_id AND q.task_id = p.task_id AND q.try_id = p.try_id) AS live FROM resource p
+        WINDOW w AS (PARTITION BY run_id, task_id, try_id, psutil_process_pid ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) r GROUP BY ALL""")
+def process_tree_rollup(spark, resource):
+    return monitoring.process_rollup(resource)
+
+
+def map_reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map over rows and a reduction by key, combined before the shuffle."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    mapped = orders.select(F.col("o_orderpriority").alias("app"), F.round(F.col("o_totalprice") * 100).cast("long").alias("part"))
+    return mapped.groupBy("app").agg(F.count("*").alias("parts"), F.sum("part").alias("total"))
+
+
+QUERIES["map_reduce_sum"] = map_reduce_sum
+ORACLES["map_reduce_sum"] = "SELECT o_orderpriority AS app, count(*) AS parts, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total FROM orders GROUP BY ALL"
+
+
+# Windows, orders.
+
+
+@_query(("event_task", "status", "workflow"), """WITH s AS (SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY "timestamp", task_status_name) AS i FROM status)
+        SELECT t.run_id, t.task_id, t.task_func_name, a.task_status_name, a."timestamp" AS "start", coalesce(b."timestamp", w.time_completed, (SELECT max("timestamp") FROM status q WHERE q.run_id = t.run_id)) AS finish
+        FROM event_task t JOIN s a ON a.run_id = t.run_id AND a.task_id = t.task_id LEFT JOIN s b ON b.run_id = a.run_id AND b.task_id = a.task_id AND b.i = a.i + 1 LEFT JOIN workflow w ON w.run_id = t.run_id""")
+def task_gantt(spark, task, status, workflow):
+    return timeseries.gantt(task, status, workflow)
+
+
+_SAMPLES = f"""r AS (SELECT run_id, task_id, try_id, CAST(floor({_units('"timestamp"', HOUR)}) AS BIGINT) AS cur, psutil_process_time_user + psutil_process_time_system AS cpu, psutil_process_memory_resident / 1073741824 AS gib,
+        row_number() OVER (PARTITION BY run_id, task_id, try_id ORDER BY "timestamp", event_id) AS i FROM resource),
+        p AS (SELECT b.run_id, b.task_id, b.try_id, a.cur AS prev, b.cur, CASE WHEN b.cur > a.cur THEN (b.cpu - a.cpu) / (b.cur - a.cur) END AS rate, b.gib FROM r a JOIN r b ON a.run_id = b.run_id AND a.task_id = b.task_id AND a.try_id = b.try_id AND b.i = a.i + 1)"""
+
+
+@_query(("resource",), f"WITH {_SAMPLES} SELECT run_id, task_id, try_id, prev, cur, round(rate, 6) AS rate, gib FROM p")
+def cpu_rate_samples(spark, resource):
+    return timeseries.rate_samples(resource, HOUR, "event_id").withColumn("rate", F.round("rate", 6))
+
+
+def _efficiency(column: str, total: str) -> str:
+    return f"""WITH {_SAMPLES},
+        b AS (SELECT run_id, least(min(cur), (SELECT min(CAST(floor({_units('"timestamp"', HOUR)}) AS BIGINT)) FROM event_node n WHERE n.run_id = r.run_id)) AS low, max(cur) AS high FROM r GROUP BY run_id),
+        g AS (SELECT run_id, low, unnest(generate_series(low, high)) AS bucket FROM b)
+        SELECT g.run_id, bucket - low AS at, round(coalesce(sum({column}), 0), 4) + 0.0 AS used, (SELECT {total} FROM event_node n WHERE n.run_id = g.run_id) AS total
+        FROM g LEFT JOIN p ON p.run_id = g.run_id AND bucket >= prev AND bucket < cur GROUP BY g.run_id, bucket, low"""
+
+
+@_query(("resource", "event_node"), _efficiency("rate", "CAST(sum(cpu_count) AS DOUBLE)"))
+def cpu_efficiency(spark, resource, node):
+    return timeseries.resource_efficiency(resource, node, "CPU", HOUR, "event_id")
+
+
+@_query(("resource", "event_node"), _efficiency("gib", "CAST(sum(total_memory) AS DOUBLE) / 1073741824"))
+def memory_efficiency(spark, resource, node):
+    return timeseries.resource_efficiency(resource, node, "mem", HOUR, "event_id")
+
+
+@_query(("task", "try"), f"""WITH t AS (SELECT y.run_id, t.task_func_name AS app, CAST(floor({_units('y.task_try_time_running', WEEK)}) AS BIGINT) AS s, CAST(floor({_units('t.task_time_returned', WEEK)}) AS BIGINT) AS e FROM "try" y JOIN task t ON t.task_id = y.task_id AND t.run_id = y.run_id),
+        b AS (SELECT run_id, min(s) AS low, max(e) AS high FROM t GROUP BY run_id),
+        a AS (SELECT DISTINCT run_id, app FROM t WHERE s IS NOT NULL UNION SELECT DISTINCT run_id, 'All' FROM t WHERE s IS NOT NULL),
+        g AS (SELECT run_id, app, low, high, unnest(generate_series(low, high)) AS bucket FROM b JOIN a USING (run_id))
+        SELECT g.run_id, g.app, bucket - low AS at, count(t.s) AS running FROM g LEFT JOIN t ON t.run_id = g.run_id AND (g.app = 'All' OR t.app = g.app) AND bucket > t.s AND bucket <= coalesce(t.e, high) GROUP BY g.run_id, g.app, bucket, low""")
+def concurrency_per_app(spark, task, tries):
+    both = monitoring.tries_with_tasks(task, tries)
+    return timeseries.concurrency_per_app(both.select("run_id", "task_func_name", F.col("task_try_time_running").alias("running"), F.col("task_time_returned").alias("returned")), WEEK)
+
+
+@_query(("try", "node"), f"""WITH t AS (SELECT run_id, {_units('task_try_time_launched', WEEK)} AS l, {_units('task_try_time_running', WEEK)} AS s, {_units('task_try_time_returned', WEEK)} AS e FROM "try"),
+        n AS (SELECT run_id, min({_units('"timestamp"', WEEK)}) AS n, CAST(sum(worker_count) AS BIGINT) AS workers, CAST(sum(CASE WHEN last THEN worker_count END) AS BIGINT) AS workers_latest FROM (SELECT *, "timestamp" = max("timestamp") OVER (PARTITION BY run_id, hostname) AS last FROM node) GROUP BY run_id),
+        b AS (SELECT t.run_id, CAST(floor(least(min(l), min(n))) AS BIGINT) AS low, CAST(floor(max(e)) AS BIGINT) AS high FROM t LEFT JOIN n ON n.run_id = t.run_id GROUP BY t.run_id),
+        g AS (SELECT run_id, low, high, unnest(generate_series(low, high)) AS bucket FROM b)
+        SELECT g.run_id, bucket - low AS at, round(coalesce(sum(CASE WHEN s IS NOT NULL THEN greatest(0, least(coalesce(e, high), bucket + 1) - greatest(s, bucket)) END), 0), 4) + 0.0 AS busy, coalesce(any_value(workers), 0) AS workers, coalesce(any_value(workers_latest), 0) AS workers_latest
+        FROM g LEFT JOIN t ON t.run_id = g.run_id AND s < bucket + 1 AND coalesce(e, high) > bucket AND coalesce(e, high) >= s LEFT JOIN n ON n.run_id = g.run_id GROUP BY g.run_id, bucket, low""")
+def worker_efficiency(spark, tries, node):
+    return timeseries.worker_efficiency(tries.select("run_id", F.col("task_try_time_launched").alias("launched"), F.col("task_try_time_running").alias("running"), F.col("task_try_time_returned").alias("returned")), node, WEEK)
+
+
+def _distribution(column: str, fold: str) -> str:
+    return f"""WITH v AS (SELECT r.run_id, r.task_id, {fold}({column}) AS v FROM resource r JOIN event_task t ON t.run_id = r.run_id AND t.task_id = r.task_id GROUP BY ALL),
+        b AS (SELECT run_id, min({column}) AS low, max({column}) AS high FROM resource GROUP BY run_id), g AS (SELECT *, unnest(generate_series(0, 20)) AS bar FROM b)
+        SELECT g.run_id, CAST(g.bar AS INTEGER) AS bar, count(v.v) AS tasks FROM g LEFT JOIN v ON v.run_id = g.run_id AND least(floor((v.v - low) / ((high - low) / 20)), 20) = bar GROUP BY ALL"""
+
+
+@_query(("resource", "event_task"), _distribution("psutil_process_time_user", "max"))
+def resource_distribution_max(spark, resource, task):
+    return timeseries.distribution(resource, task, "psutil_process_time_user", "max")
+
+
+@_query(("resource", "event_task"), _distribution("psutil_process_memory_resident", "avg"))
+def resource_distribution_avg(spark, resource, task):
+    return timeseries.distribution(resource, task, "psutil_process_memory_resident", "avg")
+
+
+@_query(("resource", "event_task"), _distribution("psutil_process_memory_resident", "max"))
+def resource_distribution_memory_max(spark, resource, task):
+    return timeseries.distribution(resource, task, "psutil_process_memory_resident", "max")
+
+
+@_query(("resource",), """WITH b AS (SELECT run_id, min(epoch_us("timestamp")) AS low, max(resource_monitoring_interval) AS step FROM resource GROUP BY run_id)
+        SELECT r.run_id, CAST(greatest(ceil((epoch_us("timestamp") / 1000000.0 - low / 1000000.0) / step), 1) AS BIGINT) AS bin, round(avg(psutil_process_memory_percent), 4) AS mean FROM resource r JOIN b USING (run_id) GROUP BY ALL""")
+def resource_time_series(spark, resource):
+    return timeseries.binned_mean(resource, "psutil_process_memory_percent")
+
+
+@_query(("status",), """WITH b AS (SELECT run_id, min(epoch_us("timestamp") / 1000000.0) AS low, max(epoch_us("timestamp") / 1000000.0) AS high FROM status GROUP BY run_id), g AS (SELECT *, unnest(generate_series(0, 19)) AS bin FROM b)
+        SELECT g.run_id, CAST(bin AS INTEGER) AS bin, count(*) FILTER (task_status_name = 'exec_done') AS exec_done, count(*) FILTER (task_status_name = 'failed') AS failed
+        FROM g LEFT JOIN status s ON s.run_id = g.run_id AND floor((epoch_us(s."timestamp") / 1000000.0 - low) * 20 / (high - low)) = bin GROUP BY ALL""")
+def status_histogram(spark, status):
+    return timeseries.status_histogram(status)
+
+
+@_query(("resource",), """SELECT run_id, task_id, try_id, "timestamp", psutil_process_memory_resident / 1e9 AS memory_gb, psutil_process_memory_percent AS memory_percent FROM resource""")
+def task_memory_series(spark, resource):
+    return resource.select("run_id", "task_id", "try_id", "timestamp", (F.col("psutil_process_memory_resident") / 1e9).alias("memory_gb"), F.col("psutil_process_memory_percent").alias("memory_percent"))
+
+
+@_query(("resource",), """SELECT run_id, task_id, try_id, "timestamp", psutil_process_time_user AS time_user FROM resource""")
+def task_cpu_series(spark, resource):
+    return resource.select("run_id", "task_id", "try_id", "timestamp", F.col("psutil_process_time_user").alias("time_user"))
+
+
+@_query(("status",), f"""SELECT "timestamp", task_status_name, try_id, row_number() OVER (ORDER BY "timestamp", task_status_name) AS place FROM status WHERE run_id = '{RUN}' AND task_id = {TASK}""")
+def status_history_for_task(spark, status):
+    from pyspark.sql import Window
+
+    own = monitoring.for_run(status, RUN).where(F.col("task_id") == TASK)
+    order = Window.partitionBy("task_id").orderBy("timestamp", "task_status_name")
+    return own.select("timestamp", "task_status_name", "try_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@_query(("status",), """SELECT DISTINCT run_id, task_id, first_value(task_status_name) OVER w AS task_status_name, first_value(try_id) OVER w AS try_id FROM status
+        WINDOW w AS (PARTITION BY run_id, task_id ORDER BY "timestamp" DESC, task_status_name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def task_upsert(spark, status):
+    log = status.withColumn("seq", F.col("task_status_name"))
+    return monitoring.upsert(log, ["run_id", "task_id"], ["timestamp", "seq"])
+
+
+@_query(("task",), "SELECT run_id, task_id, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(CASE WHEN task_id % 5 = 0 THEN NULL ELSE CAST(task_id % 4 AS DOUBLE) END, 'inf'::DOUBLE), task_id) AS place FROM task) WHERE place <= 50")
+def dispatch_order(spark, task):
+    given = task.select("run_id", "task_id", F.when(F.col("task_id") % 5 == 0, None).otherwise(F.col("task_id") % 4).alias("priority"))
+    return decisions.dispatch_order(given, 50).select("run_id", "task_id", F.col("place").cast("long").alias("place"))
+
+
+@_query(("node",), "SELECT run_id, id, block_id, row_number() OVER (PARTITION BY run_id ORDER BY (block_id IS NULL), block_id DESC, id) AS place FROM (SELECT run_id, id, CASE WHEN id % 9 = 0 THEN NULL ELSE block_id END AS block_id FROM node)")
+def manager_order(spark, node):
+    given = node.select("run_id", "id", F.when(F.col("id") % 9 == 0, None).otherwise(F.col("block_id")).alias("block_id"))
+    return decisions.manager_order(given).withColumn("place", F.col("place").cast("long"))
+
+
+# Graphs.
+
+
+@_query(("task",), f"""WITH e AS ({_EDGES}), reach(run_id, task_id, steps) AS (SELECT run_id, task_id, 0 FROM task WHERE final_state = 'failed' UNION SELECT e.run_id, e.task_id, r.steps + 1 FROM reach r JOIN e ON e.run_id = r.run_id AND e.source = r.task_id)
+        SELECT run_id, task_id, min(steps) AS steps FROM reach GROUP BY ALL HAVING min(steps) > 0""")
+def dep_fail_closure(spark, task):
+    return dag.dep_fail_closure(spark, task, task.where("final_state = 'failed'"))
+
+
+@_query(("task",), f"""WITH e AS ({_EDGES}), reach(run_id, task_id) AS (SELECT run_id, task_id FROM task WHERE final_state = 'failed' UNION SELECT e.run_id, e.task_id FROM reach r JOIN e ON e.run_id = r.run_id AND e.source = r.task_id),
+        f AS (SELECT e.run_id, e.task_id, arg_min(e.source, e.place) AS cause FROM e JOIN reach r ON r.run_id = e.run_id AND r.task_id = e.source JOIN task t ON t.run_id = e.run_id AND t.task_id = e.task_id AND t.final_state <> 'failed' GROUP BY ALL),
+        walk(run_id, task_id, cause, steps) AS (SELECT run_id, task_id, cause, 1 FROM f UNION ALL SELECT w.run_id, w.task_id, f.cause, w.steps + 1 FROM walk w JOIN f ON f.run_id = w.run_id AND f.task_id = w.cause)
+        SELECT w.run_id, w.task_id, w.cause, w.steps FROM walk w JOIN task t ON t.run_id = w.run_id AND t.task_id = w.cause AND t.final_state = 'failed'""")
+def root_cause(spark, task):
+    failed = task.where("final_state = 'failed'")
+    return dag.root_cause(spark, task, dag.dep_fail_closure(spark, task, failed), failed)
+
+
+@_query(("task",), f"""WITH e AS ({_EDGES}), reach(run_id, task_id) AS (SELECT run_id, task_id FROM task WHERE final_state = 'failed' UNION SELECT e.run_id, e.task_id FROM reach r JOIN e ON e.run_id = r.run_id AND e.source = r.task_id)
+        SELECT run_id, count(*) AS failures FROM reach GROUP BY run_id""")
+def app_fail_count(spark, task):
+    failed = task.where("final_state = 'failed'")
+    reached = dag.dep_fail_closure(spark, task, failed).select("run_id", "task_id")
+    return failed.select("run_id", "task_id").unionByName(reached).distinct().groupBy("run_id").agg(F.count("*").alias("failures"))
+
+
+# Decisions.
+
+_SNAPSHOT = """SELECT run_id, count(*) AS nodes, CAST(sum(cpu_count) % 160 * (count(*) % 3) AS BIGINT) AS tasks, CAST(count(*) % 7 AS BIGINT) AS blocks, 0 AS min_blocks, 5 AS max_blocks, CAST(max(worker_count) AS BIGINT) AS workers_per_node, CAST(1 + count(*) % 2 AS BIGINT) AS nodes_per_block,
+        CASE WHEN count(*) % 2 = 0 THEN 1.0 ELSE 0.5 END AS parallelism, CAST(sum(cpu_count) AS BIGINT) AS idle_seconds, 120 AS max_idletime, count(*) % 2 = 1 AS can_shrink FROM node GROUP BY run_id"""
+
+
+@_query(("node",), f"""WITH s AS ({_SNAPSHOT}), x AS (SELECT *, workers_per_node * nodes_per_block AS per, blocks * workers_per_node * nodes_per_block AS slots FROM s),
+        c AS (SELECT *, CASE WHEN tasks = 0 THEN CASE WHEN blocks <= min_blocks THEN '1a' ELSE '1b' END WHEN slots < tasks * parallelism THEN CASE WHEN blocks >= max_blocks THEN '2a' ELSE '2b' END WHEN slots = 0 THEN '4a' WHEN slots > tasks THEN '4b' ELSE '3' END AS "case" FROM x)
+        SELECT run_id, tasks, blocks, "case", CAST(CASE "case" WHEN '1b' THEN CASE WHEN idle_seconds > max_idletime THEN min_blocks - blocks ELSE 0 END WHEN '2b' THEN least(ceil(ceil(tasks * parallelism - slots) / per), max_blocks - blocks)
+        WHEN '4b' THEN CASE WHEN can_shrink AND blocks > min_blocks THEN -least(floor(floor(slots - tasks * parallelism) / per), blocks - min_blocks) ELSE 0 END ELSE 0 END AS BIGINT) AS change FROM c""")
+def scaling_decision(spark, node):
+    agg = node.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("cpu_count").alias("cpu"), F.max("worker_count").cast("long").alias("workers_per_node"))
+    n = F.col("n")
+    given = agg.select("run_id", (F.col("cpu") % 160 * (n % 3)).alias("tasks"), (n % 7).alias("blocks"), F.lit(0).alias("min_blocks"), F.lit(5).alias("max_blocks"), "workers_per_node", (1 + n % 2).alias("nodes_per_block"), F.when(n % 2 == 0, 1.0).otherwise(0.5).alias("parallelism"), F.col("cpu").alias("idle_seconds"), F.lit(120).alias("max_idletime"), (n % 2 == 1).alias("can_shrink"))
+    return decisions.scaling_decision(given).select("run_id", "tasks", "blocks", "case", "change")
+
+
+_BLOCKS = """l AS (SELECT run_id, executor_label, block_id, arg_max(status, "timestamp") AS status FROM block GROUP BY ALL)"""
+
+
+@_query(("block",), f"WITH {_BLOCKS} SELECT run_id, executor_label, count(*) AS total, count(*) FILTER (status IN ('FAILED', 'MISSING')) AS failed, count(*) >= 1 AND bool_and(status IN ('FAILED', 'MISSING')) AS bad_state FROM l GROUP BY ALL")
+def block_failure_rule(spark, block):
+    return decisions.block_failure(decisions.latest_blocks(block), 1)
+
+
+@_query(("block",), f"""WITH {_BLOCKS}, x AS (SELECT a.*, (SELECT count(*) FROM l b WHERE b.run_id = a.run_id AND b.executor_label = a.executor_label AND CAST(b.block_id AS BIGINT) > CAST(a.block_id AS BIGINT)) AS later FROM l a)
+        SELECT run_id, executor_label, count(*) FILTER (status IN ('FAILED', 'MISSING')) AS failed, count(*) FILTER (status IN ('FAILED', 'MISSING')) = 2 AS bad_state FROM x WHERE later < 2 GROUP BY ALL""")
+def windowed_block_failure(spark, block):
+    return decisions.windowed_block_failure(decisions.latest_blocks(block), 2)
+
+
+@_query(("block", "node"), f"""WITH {_BLOCKS}, k AS (SELECT DISTINCT run_id, block_id FROM l WHERE status NOT IN ('CANCELLED', 'COMPLETED', 'FAILED', 'TIMEOUT', 'MISSING', 'SCALED_IN')), m AS (SELECT run_id, block_id, sum(id % 3)::BIGINT AS tasks, min(CAST(id % 50 AS DOUBLE)) AS idle FROM node WHERE active GROUP BY ALL),
+        u AS (SELECT run_id, block_id FROM k UNION SELECT run_id, block_id FROM m)
+        SELECT u.run_id, u.block_id, coalesce(tasks, 0) AS tasks, coalesce(idle, 'inf'::DOUBLE) AS idle, row_number() OVER (PARTITION BY u.run_id ORDER BY coalesce(idle, 'inf'::DOUBLE) DESC, coalesce(tasks, 0), u.block_id) AS place FROM u LEFT JOIN m ON m.run_id = u.run_id AND m.block_id = u.block_id""")
+def block_idle_ranking(spark, block, node):
+    managers = node.select("run_id", "block_id", "active", (F.col("id") % 3).alias("tasks"), (F.col("id") % 50).cast("double").alias("idle"))
+    return decisions.block_idle_ranking(decisions.latest_blocks(block), managers).withColumn("place", F.col("place").cast("long"))
+
+
+# Scalar functions.
+
+
+@_query(("task",), """SELECT task_id, 'http' AS scheme, '/data/' || task_func_name || '.zip/run/' || task_id || '.txt' AS path, task_id || '.txt' AS name, '/data/' || task_func_name || '.zip' AS archive, 'run/' || task_id || '.txt' AS member, (task_id % 30) * 60 + task_id % 60 AS minutes,
+        trim(regexp_replace(lower(task_func_name || '--' || run_id || '.'), '[^a-z0-9]+', '-', 'g'), '-') AS label, lpad(CAST(task_id // 10000 AS VARCHAR), 4, '0') AS logs FROM task""")
+def scalar_functions(spark, task):
+    text = F.col("task_id").cast("string")
+    url = F.concat(F.lit("http://host/data/"), "task_func_name", F.lit(".zip/run/"), text, F.lit(".txt"))
+    time = F.concat_ws(":", (F.col("task_id") % 30).cast("string"), (F.col("task_id") % 60).cast("string"), F.lit("00"))
+    path = scalars.url_path(url)
+    return task.select("task_id", scalars.url_scheme(url).alias("scheme"), path.alias("path"), scalars.file_name(url).alias("name"), scalars.zip_archive(path).alias("archive"), scalars.zip_member(path).alias("member"), scalars.walltime_minutes(time).cast("long").alias("minutes"),
+                       scalars.dns_label(F.concat("task_func_name", F.lit("--"), "run_id", F.lit("."))).alias("label"), scalars.log_directory(F.col("task_id")).alias("logs"))
