@@ -1,0 +1,151 @@
+"""Chains of driver-side steps over DataFrames: dependencies, retries by cost, joins and reuse of results.
+
+A step is a function that builds or runs a Spark job; Spark does the work and its scheduling. Steps start when all steps
+among their arguments, also in lists, tuples, sets and dicts, are done.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from threading import Lock
+from typing import Any
+
+
+class DependencyError(Exception):
+    """A step did not start because steps that it needs failed; follows the first of them to the cause."""
+
+    def __init__(self, step: str, causes: list[tuple[BaseException, str]]):
+        self.causes = causes
+        chain, e = [], self
+        while isinstance(e, DependencyError) and e.causes:
+            chain.append(e.causes[0][1] + (" (+ others)" if len(e.causes) > 1 else ""))
+            e = e.causes[0][0]
+        self.root = e
+        super().__init__(f"{step} needs {' <- '.join(chain)}, which failed: {e!r}")
+
+
+class JoinError(Exception):
+    """Steps that a joining step returned failed."""
+
+    def __init__(self, step: str, errors: list[BaseException]):
+        self.errors = errors
+        super().__init__(f"{step}: {'; '.join(map(repr, errors))}")
+
+
+class Step(Future):
+    """The future result of a step. step[key] and step.get_attr(name) are steps that take a part of it."""
+
+    def __init__(self, flow: "Flow", name: str):
+        super().__init__()
+        self.flow, self.name = flow, name
+
+    def __getitem__(self, key: Any) -> "Step":
+        return self.flow.submit(lambda whole, k: whole[k], self, key)
+
+    def get_attr(self, name: str) -> "Step":
+        return self.flow.submit(getattr, self, name)
+
+
+def _walk(value: Any, change: Callable[[Step], Any]) -> Any:
+    """value with each step in it, at any depth of containers, replaced by change(step)."""
+    if isinstance(value, Step):
+        return change(value)
+    if isinstance(value, dict):
+        return {_walk(k, change): _walk(v, change) for k, v in value.items()}
+    if type(value) in (list, tuple, set, frozenset):
+        return type(value)(_walk(v, change) for v in value)
+    return value
+
+
+def _when_all(steps: list[Step], then: Callable[[], None]) -> None:
+    """Call then once when all steps are done; at once if there are none."""
+    lock, left = Lock(), [len(steps)]
+
+    def one(_: Future) -> None:
+        with lock:
+            left[0] -= 1
+            last = not left[0]
+        if last:
+            then()
+
+    for s in steps:
+        s.add_done_callback(one)
+    if not steps:
+        then()
+
+
+class Flow:
+    """Steps of one session.
+
+    retries bounds the sum of retry_cost(exception) over a step's failed tries (1 each by default); an exception of
+    retry_cost itself ends the tries and takes the place of the step's.
+    """
+
+    def __init__(self, threads: int = 4, retries: float = 0, retry_cost: Callable[[BaseException], float] | None = None):
+        self.pool, self.retries, self.cost = ThreadPoolExecutor(threads), retries, retry_cost or (lambda e: 1.0)
+        self.memo: dict[Any, Step] = {}
+        self.steps: list[Step] = []
+
+    def submit(self, f: Callable, *args: Any, key: Any = None, join: bool = False, **kwargs: Any) -> Step:
+        """Run f(*args, **kwargs) when its steps are done. With a key, the step of an earlier equal key is the result.
+
+        With join, f returns a step or a list of steps, whose results are the step's.
+        """
+        if key is not None and key in self.memo:
+            return self.memo[key]
+        step = Step(self, getattr(f, "__name__", "step"))
+        self.steps.append(step)
+        if key is not None:
+            self.memo[key] = step
+        needs: list[Step] = []
+        _walk([list(args), kwargs], lambda s: needs.append(s) or 0)
+
+        def done() -> None:
+            bad = [(s.exception(), s.name) for s in needs if s.exception()]
+            if bad:
+                step.set_exception(DependencyError(step.name, bad))
+            else:
+                self.pool.submit(self._run, step, f, _walk(list(args), Future.result), _walk(kwargs, Future.result), join)
+
+        _when_all(needs, done)
+        return step
+
+    def _run(self, step: Step, f: Callable, args: list, kwargs: dict, join: bool) -> None:
+        spent = 0.0
+        while True:
+            try:
+                value = f(*args, **kwargs)
+                break
+            except Exception as e:
+                try:
+                    spent += self.cost(e)
+                except Exception as worse:
+                    return step.set_exception(worse)
+                if spent > self.retries:
+                    return step.set_exception(e)
+        if not join:
+            return step.set_result(value)
+        inner = value if isinstance(value, list) else [value]
+        if not all(isinstance(s, Step) for s in inner):
+            return step.set_exception(TypeError(f"{step.name} must return a step or a list of steps"))
+
+        def finish() -> None:
+            errors = [s.exception() for s in inner if s.exception()]
+            if errors:
+                step.set_exception(JoinError(step.name, errors))
+            else:
+                step.set_result([s.result() for s in inner] if isinstance(value, list) else value.result())
+
+        _when_all(inner, finish)
+
+    def wait(self) -> None:
+        """Until all steps so far are done; their errors stay with them."""
+        wait(list(self.steps))
+
+    def __enter__(self) -> "Flow":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.wait()
+        self.pool.shutdown()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import dag, decisions, monitoring, timeseries
 from ..sources.bridge import duckdb, load
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -340,6 +341,30 @@ def manager_order(spark, node):
     return decisions.manager_order(given).withColumn("place", F.col("place").cast("long"))
 
 
+# Messages and earlier results.
+
+_MESSAGES = """SELECT CASE event_type WHEN 'signup' THEN 'TRY_INFO' WHEN 'click' THEN 'FIRST' WHEN 'purchase' THEN 'LAST' ELSE 'RESOURCE_INFO' END AS type, concat('run-', CAST(user_id % 5 AS VARCHAR)) AS run_id, user_id AS task_id, event_id % 4 AS try_id, event_id AS seq, ts FROM events"""
+
+
+def deferred_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker statuses of a finished message log in which tries' rows come late; the stream's operator gives the same."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "signup", "TRY_INFO").when(F.col("event_type") == "click", "FIRST").when(F.col("event_type") == "purchase", "LAST").otherwise("RESOURCE_INFO")
+    messages = events.select(kind.alias("type"), F.concat(F.lit("run-"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.col("user_id").alias("task_id"), (F.col("event_id") % 4).alias("try_id"), F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"))
+    return ingest.worker_status_batch(messages)
+
+
+QUERIES["deferred_first_message"] = deferred_first_message
+ORACLES["deferred_first_message"] = f"""WITH m AS ({_MESSAGES}), y AS (SELECT run_id, task_id, try_id, min(seq) AS seq FROM m WHERE type = 'TRY_INFO' GROUP BY ALL)
+        SELECT run_id, task_id, try_id, 'running_ended' AS task_status_name, ts AS "timestamp", seq FROM m WHERE type = 'LAST'
+        UNION ALL SELECT m.run_id, m.task_id, m.try_id, 'running', m.ts, m.seq FROM m JOIN y USING (run_id, task_id, try_id) WHERE m.type = 'FIRST' AND (m.seq > y.seq OR m.seq = (SELECT max(q.seq) FROM m q WHERE q.type = 'FIRST' AND q.run_id = m.run_id AND q.task_id = m.task_id AND q.try_id = m.try_id AND q.seq < y.seq))"""
+
+
+@_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_time_invoked, task_id) AS result FROM task GROUP BY task_hashsum")
+def latest_results(spark, task):
+    return task.groupBy(F.col("task_hashsum").alias("hash")).agg(F.max_by("task_id", F.struct("task_time_invoked", "task_id")).alias("result"))
+
+
 # Graphs.
 
 

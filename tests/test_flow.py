@@ -1,0 +1,59 @@
+import pytest
+
+from runweave.operators.flow import DependencyError, Flow, JoinError
+
+
+def boom(*_):
+    raise ValueError("boom")
+
+
+def test_results_in_containers():
+    with Flow() as flow:
+        one, two = flow.submit(lambda: 1), flow.submit(lambda: 2)
+        assert flow.submit(lambda x: x, {"a": [one, (two,)], two: {one}}).result() == {"a": [1, (2,)], 2: {1}}
+        assert flow.submit(lambda: {"k": [5, 6]})["k"][1].result() == 6
+        assert flow.submit(lambda: 3 + 4j).get_attr("imag").result() == 4
+
+
+@pytest.mark.parametrize("width", [2, 3, 5])
+def test_map_reduce(width):
+    with Flow() as flow:
+        assert flow.submit(sum, [flow.submit(lambda x: 2 * x, i) for i in range(width)]).result() == 2 * sum(range(width))
+
+
+def test_dependency_failure():
+    with Flow() as flow:
+        first = flow.submit(boom)
+        last = flow.submit(lambda x: x, flow.submit(lambda x, y: x, first, first))
+        assert isinstance(last.exception(), DependencyError)
+        assert isinstance(last.exception().root, ValueError) and "(+ others)" in str(last.exception())
+
+
+@pytest.mark.parametrize(("good_at", "ok"), [(4, True), (5, True), (6, False)])
+def test_retry_cost(good_at, ok):
+    tries = []
+
+    def step():
+        tries.append(1)
+        if len(tries) < good_at:
+            raise OSError
+        return len(tries)
+
+    with Flow(retries=2, retry_cost=lambda e: 0.5) as flow:
+        s = flow.submit(step)
+        assert (s.exception() is None) == ok
+
+
+def test_join():
+    with Flow() as flow:
+        assert flow.submit(lambda: flow.submit(lambda: 7), join=True).result() == 7
+        assert flow.submit(lambda: [flow.submit(lambda i=i: i) for i in range(3)], join=True).result() == [0, 1, 2]
+        assert flow.submit(lambda: [], join=True).result() == []
+        assert isinstance(flow.submit(lambda: 7, join=True).exception(), TypeError)
+        assert isinstance(flow.submit(lambda: [flow.submit(boom), flow.submit(boom)], join=True).exception(), JoinError)
+
+
+def test_memo():
+    with Flow() as flow:
+        a = flow.submit(boom, key="k")
+        assert flow.submit(lambda: 1, key="k") is a and isinstance(a.exception(), ValueError)
