@@ -12,6 +12,8 @@ inside a component found already are not compared again.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from . import common, graph, signature_tree
 
 WORDS, PERCENT = 5, 80
+#: Logarithm of the step between the sizes that set numbers tell apart; steps by which sizes of similar sets differ at most.
+STEP = math.log(1.02)
+APART = int(math.log(100 / PERCENT) / STEP) + 1
 #: A shingle in over 1 / RARE of the documents (FREQUENT at least) comes last in the order.
 RARE, FREQUENT = 1000, 64
 #: Sets that one tree takes; larger groups are dealt into blocks of about half as many, and each two blocks meet.
@@ -36,85 +41,97 @@ def shingle_set(text: bytes | None, k: int = WORDS) -> np.ndarray:
     return np.unique(common.shingles(common.hashes(common.words_of(text)), k))
 
 
+def set_id(u: np.ndarray) -> int:
+    """Number of a shingle set, 0 for an empty one: its size in steps of 2 % above 53 bits of its hash, so numbers sort by size."""
+    if not len(u):
+        return 0
+    return int(math.log(len(u)) / STEP) << 53 | xxhash.xxh3_64_intdigest(u.tobytes()) >> 11
+
+
 def _sets(batch: pa.RecordBatch):
     for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
         u = shingle_set(text)
-        yield doc, u, (xxhash.xxh3_64_intdigest(u.tobytes()) if len(u) else 0)
+        yield doc, u, set_id(u)
 
 
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and document counts of the very frequent shingles: at most RARE times the mean set size.
+def _profiles(docs: DataFrame) -> DataFrame:
+    """A row (doc_id, n, sid, bits) for each document, and rows (h, c) of shingles that are frequent in a batch of rows.
 
-    A shingle that frequent is so in some batch of rows, so batches name candidates with their counts.
+    A very frequent shingle is so in some batch, so these rows name all of them.
     """
 
     def run(batches):
         for batch in batches:
-            sets = {s: u for _, u, s in _sets(batch) if len(u)}
+            rows, sets = [], {}
+            for doc, u, s in _sets(batch):
+                rows.append((doc, len(u), s, None if s in sets or not len(u) else signature_tree.bitmap(u), None, None))
+                if len(u):
+                    sets[s] = u
             if sets:
                 some, many = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 keep = many >= max(8, len(sets) // RARE)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(some[keep])), pa.array(many[keep])], ["h", "c"])
+                rows += [(None, None, None, None, h, c) for h, c in zip(_signed(some[keep]).tolist(), many[keep].tolist(), strict=True)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "sid", "bits", "h", "c"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, bits binary, h long, c long")
 
-    rows = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT, total // RARE)).collect()
+
+def frequent(profiles: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and document counts of the very frequent shingles: at most RARE times the mean set size."""
+    rows = profiles.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT, total // RARE)).collect()
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r["c"] for r in rows], np.int64)[order]
 
 
-def _profiles(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """A row for each document, and rows of (shingle, set) by bucket of the shingle."""
+def _keys(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """The first shingles of each set with the set's number, as arrays by bucket of the shingle."""
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
         hot, counts = sent.value
         for batch in batches:
-            rows, keys, sids = [], [], []
+            keys, sids = [], []
             done = set()
             for doc, u, s in _sets(batch):
-                signed = s - (1 << 64) if s >> 63 else s
-                rows.append((doc, len(u), signed, None if s in done or not len(u) else signature_tree.bitmap(u), None, None, None))
                 if s in done or not len(u) or doc is None:
                     continue
                 done.add(s)
                 n = len(u)
                 take = n - (PERCENT * n + 99) // 100 + 1
+                rest = u[:take]
                 if len(hot):
                     late = np.isin(u, hot, assume_unique=True)
                     rest = u[~late][:take]
-                    if len(rest) < take:
-                        for k in u[late][: take - len(rest)]:
-                            blocks = int(-(-2 * counts[np.searchsorted(hot, k)] // GROUP_SETS))
-                            if blocks <= 2:
-                                rest = np.append(rest, k)
-                            else:  # each two blocks of the sets with this shingle meet
-                                own = s % blocks
-                                pairs = [np.uint64(min(own, j) * blocks + max(own, j) + 1) for j in range(blocks)]
-                                rest = np.append(rest, common.pairs_hash(np.full(blocks, k), np.array(pairs, np.uint64)))
-                else:
-                    rest = u[:take]
+                    for k in u[late][: take - len(rest)]:
+                        blocks = int(-(-2 * counts[np.searchsorted(hot, k)] // GROUP_SETS))
+                        if blocks <= 2:
+                            rest = np.append(rest, k)
+                        else:  # each two blocks of the sets with this shingle meet
+                            own = s % blocks
+                            pairs = [np.uint64(min(own, j) * blocks + max(own, j) + 1) for j in range(blocks)]
+                            rest = np.append(rest, common.pairs_hash(np.full(blocks, k), np.array(pairs, np.uint64)))
                 keys.append(rest)
                 sids.append(np.full(len(rest), s, np.uint64))
             if keys:
                 k, s = np.concatenate(keys), np.concatenate(sids)
                 order, bounds = common.by_bucket(k, buckets)
                 k, s = k[order], s[order]
-                for b in range(buckets):
-                    if bounds[b] < bounds[b + 1]:
-                        rows.append((None, None, None, None, b, k[bounds[b] : bounds[b + 1]].tobytes(), s[bounds[b] : bounds[b + 1]].tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "sid", "bits", "bucket", "keys", "sids"])
+                full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+                columns = [pa.array(full, pa.int32()), *[pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()) for x in (k, s)]]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "sids"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, bits binary, bucket int, keys binary, sids binary")
+    return docs.mapInArrow(run, "bucket int, keys binary, sids binary")
 
 
 def _groups(batches):
-    """Sets that share a shingle, each collection of sets once: rows (gid, sids)."""
+    """Sets that share a shingle, without gaps in size that no link spans; each collection of sets once: rows (gid, sids)."""
     keys, sids = [], []
     for batch in batches:
         keys += [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
@@ -127,7 +144,8 @@ def _groups(batches):
     k, s = k[order], s[order]
     new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
     k, s = k[new], s[new]
-    starts = common.segments(k)
+    size = (s >> np.uint64(53)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (np.diff(size) > APART)))
     sizes = np.diff(np.append(starts, len(k)))
     with np.errstate(over="ignore"):
         gid = common.finish(np.add.reduceat(common.finish(s), starts)) + sizes.astype(np.uint64)
@@ -210,12 +228,12 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     buckets = common.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    often = frequent(docs, docs.count())
-    profiles, keys_path = common.materialize(spark, _profiles(docs, often, buckets), "profiles")
-    rows = profiles.where(F.col("bucket").isNull())
+    profiles, _ = common.materialize(spark, _profiles(docs), "profiles")
+    rows = profiles.where(F.col("sid").isNotNull())
+    often = frequent(profiles, rows.count())
     sets = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.max("bits").alias("bits"))
 
-    groups = profiles.where(F.col("bucket").isNotNull()).select("keys", "sids", "bucket").repartition(buckets, "bucket").select("keys", "sids").mapInArrow(_groups, "gid long, sids binary")
+    groups = _keys(docs, often, buckets).repartition(buckets, "bucket").select("keys", "sids").mapInArrow(_groups, "gid long, sids binary")
     members = groups.dropDuplicates(["gid"]).mapInArrow(_members, "gid long, sid long")
     trees = members.join(sets.select("sid", "n", "bits"), "sid").select("gid", "sid", "n", "bits").repartition(buckets, "gid").sortWithinPartitions("gid")
     near = graph.components(spark, trees.mapInArrow(_possible, "a long, b long"), "near")
@@ -224,18 +242,16 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     again = sets.select("sid", "doc", "n").join(label, "sid")
     weight = again.groupBy("near").agg(F.sum("n").alias("w"))
     blocks = F.when(F.col("w") > GROUP_SHINGLES, F.ceil(2 * F.col("w") / GROUP_SHINGLES)).otherwise(1)
-    again, again_path = common.materialize(spark, again.join(weight, "near").select("doc", "sid", "near", blocks.cast("int").alias("blocks")), "again")
-    many = again.count()
-    look = F.broadcast(again) if many <= BROADCAST_DOCS else again
+    again, _ = common.materialize(spark, again.join(weight, "near").select("doc", "sid", "near", blocks.cast("int").alias("blocks")), "again")
+    look = F.broadcast(again) if again.count() <= BROADCAST_DOCS else again
 
     def whole(batches):
         for batch in batches:
             rows = []
             for text, sid, near, blocks in zip(common.texts(batch.column(0)), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 u = shingle_set(text)
-                own = xxhash.xxh3_64_intdigest(u.tobytes())
-                if own - (1 << 64) * (own >> 63) == sid:
-                    b = own % blocks
+                if set_id(u) == sid:
+                    b = sid % blocks
                     rows += [(near, min(b, j) * blocks + max(b, j), sid, u.tobytes()) for j in range(blocks)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["near", "pair", "sid", "data"])
