@@ -2,47 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, remove, shared_dir
+
+__all__ = ["materialize", "remove", "shared_dir"]
+
 #: Multiplier of the rolling combination and of the finaliser (odd 64-bit constants).
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xFF51AFD7ED558CCD)
 _S33 = np.uint64(33)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one in local mode only, where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="runweave-")
-    spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table of the shared folder that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,10 +81,6 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def ascii_number(value) -> bytes:
-    return b"" if value is None else str(value).encode()
-
-
 def checksum_mod(col: str, m: int):
     """crc32(col as text) mod m; a null key is none of the remainders (-1)."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % m, F.lit(-1))
