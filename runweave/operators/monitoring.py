@@ -100,3 +100,16 @@ def process_rollup(samples: DataFrame) -> DataFrame:
     live = F.col("seen") == F.col("end")
     out = per.join(last, key).groupBy(*key)
     return out.agg(F.sum("psutil_process_time_user").alias("time_user"), F.sum(F.when(live, F.col("psutil_process_memory_resident"))).alias("memory_resident"), F.sum(F.when(live, F.col("psutil_process_disk_read"))).alias("disk_read"), F.count("*").alias("processes"))
+
+
+def overlay(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both by key; where both have a key, those of updates."""
+    return base.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)
+
+
+def throughput(tries: DataFrame) -> DataFrame:
+    """For each run: tries that returned, seconds from the first launch to the last return, tries a second, and least, mean and greatest latency."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    t = tries.where(F.col("task_try_time_returned").isNotNull()).select("run_id", seconds("task_try_time_launched").alias("l"), seconds("task_try_time_returned").alias("r"))
+    out = t.groupBy("run_id").agg(F.count("*").alias("tries"), (F.max("r") - F.min("l")).alias("seconds"), F.min(F.col("r") - F.col("l")).alias("least"), F.round(F.avg(F.col("r") - F.col("l")), 3).alias("mean"), F.max(F.col("r") - F.col("l")).alias("greatest"))
+    return out.withColumn("rate", F.round(F.when(F.col("seconds") > 0, F.col("tries") / F.col("seconds")), 9))

@@ -211,6 +211,19 @@ QUERIES["map_reduce_sum"] = map_reduce_sum
 ORACLES["map_reduce_sum"] = "SELECT o_orderpriority AS app, count(*) AS parts, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total FROM orders GROUP BY ALL"
 
 
+@_query(("try",), """SELECT *, round(tries / seconds, 9) AS rate FROM (SELECT run_id, count(*) AS tries, (epoch_us(max(task_try_time_returned)) - epoch_us(min(task_try_time_launched))) / 1e6 AS seconds, min(epoch_us(task_try_time_returned) - epoch_us(task_try_time_launched)) / 1e6 AS least,
+        round(avg(epoch_us(task_try_time_returned) / 1e6 - epoch_us(task_try_time_launched) / 1e6), 3) AS mean, max(epoch_us(task_try_time_returned) - epoch_us(task_try_time_launched)) / 1e6 AS greatest FROM "try" WHERE task_try_time_returned IS NOT NULL GROUP BY run_id)""")
+def throughput_stats(spark, tries):
+    return monitoring.throughput(tries)
+
+
+@_query(("block",), """SELECT run_id, executor_label, block_id, CASE WHEN CAST(block_id AS BIGINT) % 4 = 0 THEN 'MISSING' ELSE arg_max(status, "timestamp") END AS status FROM block GROUP BY run_id, executor_label, block_id""")
+def block_status_overlay(spark, block):
+    now = decisions.latest_blocks(block)
+    simulated = now.where(F.col("block_id").cast("long") % 4 == 0).withColumn("status", F.lit("MISSING"))
+    return monitoring.overlay(now, simulated, ["run_id", "executor_label", "block_id"])
+
+
 # Windows, orders.
 
 
