@@ -21,13 +21,13 @@ def dep_fail_closure(spark: SparkSession, tasks: DataFrame, failed: DataFrame) -
     edges, so it shuffles each edge's endpoints once a round; rounds are as many as the graph is deep.
     """
     links, _ = shared.materialize(spark, edges(tasks).select("run_id", "source", "task_id"), "edges")
-    seen, path = shared.materialize(spark, failed.select("run_id", "task_id", F.lit(0).alias("steps")).distinct(), "reached")
+    seen, _ = shared.materialize(spark, failed.select("run_id", "task_id", F.lit(0).alias("steps")).distinct(), "reached")
     depth = 0
     while True:
         newest = seen.where(F.col("steps") == depth).select("run_id", F.col("task_id").alias("source"))
         found = links.join(newest, ["run_id", "source"]).select("run_id", "task_id").distinct()
         found = found.join(seen, ["run_id", "task_id"], "left_anti").withColumn("steps", F.lit(depth + 1))
-        found, part = shared.materialize(spark, found, "reached")
+        found, _ = shared.materialize(spark, found, "reached")
         if found.isEmpty():
             return seen.where("steps > 0")
         depth += 1

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import dag, decisions, monitoring, timeseries
+from ..sources import shared
 from ..sources.bridge import duckdb, load
 from ..streaming import ingest
 
@@ -381,9 +382,15 @@ def latest_results(spark, task):
 # Graphs.
 
 
+def _graph(spark: SparkSession, task: DataFrame) -> DataFrame:
+    """What the graph operators read of the tasks, derived once rather than in each round."""
+    return shared.materialize(spark, task.select("run_id", "task_id", "task_depends", "final_state"), "task")[0]
+
+
 @_query(("task",), f"""WITH e AS ({_EDGES}), reach(run_id, task_id, steps) AS (SELECT run_id, task_id, 0 FROM task WHERE final_state = 'failed' UNION SELECT e.run_id, e.task_id, r.steps + 1 FROM reach r JOIN e ON e.run_id = r.run_id AND e.source = r.task_id)
         SELECT run_id, task_id, min(steps) AS steps FROM reach GROUP BY ALL HAVING min(steps) > 0""")
 def dep_fail_closure(spark, task):
+    task = _graph(spark, task)
     return dag.dep_fail_closure(spark, task, task.where("final_state = 'failed'"))
 
 
@@ -392,6 +399,7 @@ def dep_fail_closure(spark, task):
         walk(run_id, task_id, cause, steps) AS (SELECT run_id, task_id, cause, 1 FROM f UNION ALL SELECT w.run_id, w.task_id, f.cause, w.steps + 1 FROM walk w JOIN f ON f.run_id = w.run_id AND f.task_id = w.cause)
         SELECT w.run_id, w.task_id, w.cause, w.steps FROM walk w JOIN task t ON t.run_id = w.run_id AND t.task_id = w.cause AND t.final_state = 'failed'""")
 def root_cause(spark, task):
+    task = _graph(spark, task)
     failed = task.where("final_state = 'failed'")
     return dag.root_cause(spark, task, dag.dep_fail_closure(spark, task, failed), failed)
 
@@ -399,6 +407,7 @@ def root_cause(spark, task):
 @_query(("task",), f"""WITH e AS ({_EDGES}), reach(run_id, task_id) AS (SELECT run_id, task_id FROM task WHERE final_state = 'failed' UNION SELECT e.run_id, e.task_id FROM reach r JOIN e ON e.run_id = r.run_id AND e.source = r.task_id)
         SELECT run_id, count(*) AS failures FROM reach GROUP BY run_id""")
 def app_fail_count(spark, task):
+    task = _graph(spark, task)
     failed = task.where("final_state = 'failed'")
     reached = dag.dep_fail_closure(spark, task, failed).select("run_id", "task_id")
     return failed.select("run_id", "task_id").unionByName(reached).distinct().groupBy("run_id").agg(F.count("*").alias("failures"))
