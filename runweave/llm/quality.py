@@ -1,8 +1,8 @@
 """Quality rules: word and repetition statistics, and how well public tokenizers know a text.
 
-A text that a vocabulary knows costs few tokens. Three measures, each with a band per language or script:
-characters per token and entropy of the token distribution (bits) under a byte-level BPE for many languages,
-and the share of byte-fallback tokens under a piece BPE. A text outside a band is rejected.
+A text that a vocabulary knows costs few tokens. Each measure has a band per language or script: characters per
+token, and entropy and least entropy (of the commonest token) of the token distribution, in bits, under a byte-level
+BPE for many languages; the share of byte-fallback tokens under a piece BPE. A text outside a band is rejected.
 """
 
 from __future__ import annotations
@@ -17,21 +17,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: (least and most characters per token, least entropy in bits, most byte-fallback share) by language or script.
+#: (least and most characters per token, least entropy in bits, most byte-fallback share, least bits of the commonest token)
+#: by language or script.
 #: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words).
 SLACK = 1.0
 BANDS = {
-    "en": (2.11, 9.0, 5.3, 0.10),
-    "de": (2.22, 9.0, 5.3, 0.10),
-    "fr": (1.92, 9.0, 5.3, 0.10),
-    "es": (1.95, 9.0, 5.3, 0.10),
-    "latin": (1.84, 9.0, 5.3, 0.15),
-    "other": (0.40, 9.0, 4.5, 0.95),
+    "en": (2.11, 9.0, 5.3, 0.10, 3.1),
+    "de": (2.22, 9.0, 5.3, 0.10, 3.1),
+    "fr": (1.92, 9.0, 5.3, 0.10, 3.1),
+    "es": (1.95, 9.0, 5.3, 0.10, 3.1),
+    "latin": (1.84, 9.0, 5.3, 0.15, 3.1),
+    "other": (0.40, 9.0, 4.5, 0.95, 2.5),
 }
 #: Words whose tokens a worker remembers; beyond it the memory starts afresh.
 CACHE_WORDS = 400_000
 _SPACE, _SYMBOLS, _INNER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
-_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, token_entropy double, fallback_share double, script string"
+_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, token_entropy double, fallback_share double, min_entropy double, script string"
 _coders: dict[tuple[str, str], "WordTokens"] = {}
 
 
@@ -62,14 +63,14 @@ class WordTokens:
             self.ids[w] = np.array(self.ranked(" " + t), np.uint32).tobytes()
             self.fallback[w] = len(p) + (sum(map(byte, p)) << 32)
 
-    def measure(self, words: list[bytes], chars: int) -> tuple[float | None, float | None, float | None]:
-        """Characters per token, entropy of the tokens, share of byte tokens; None without words."""
+    def measure(self, words: list[bytes], chars: int) -> tuple[float | None, float | None, float | None, float | None]:
+        """Characters per token, entropy of the tokens, share of byte tokens, bits of the commonest token; None without words."""
         if not words:
-            return None, None, None
+            return None, None, None, None
         ids = np.sort(np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.uint32))
         p = np.diff(np.append(common.segments(ids), len(ids))) / len(ids)
         both = sum(map(self.fallback.__getitem__, words))
-        return chars / len(ids), float(-(p * np.log2(p)).sum()), (both >> 32) / max(1, both & 0xFFFFFFFF)
+        return chars / len(ids), float(-(p * np.log2(p)).sum()), (both >> 32) / max(1, both & 0xFFFFFFFF), float(-np.log2(p.max()))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -99,7 +100,7 @@ def statistics(docs: DataFrame, ranks_path: str, pieces_path: str, keep: tuple[s
     given = docs.select(F.col("text").cast("string"), F.struct(lang.alias("_band"), *own).alias("own"))
     schema = _SCHEMA + ", own " + given.schema["own"].dataType.simpleString() + (", text string" if "text" in keep else "")
     names = [*re.findall(r"(\w+) \w+", _SCHEMA), "own", *["text"] * ("text" in keep)]
-    kinds = (*[pa.int64()] * 5, *[pa.float64()] * 3, pa.string())
+    kinds = (*[pa.int64()] * 5, *[pa.float64()] * 4, pa.string())
 
     def run(batches):
         key = (ranks_path, pieces_path)
@@ -125,7 +126,7 @@ def statistics(docs: DataFrame, ranks_path: str, pieces_path: str, keep: tuple[s
 
     out = given.mapInArrow(run, schema)
     texts = ["text"] * ("text" in keep)
-    return out.select(*[F.col("own")[c].alias(c) for c in own], *texts, *names[:9], F.col("own")["_band"].alias("band"))
+    return out.select(*[F.col("own")[c].alias(c) for c in own], *texts, *names[:10], F.col("own")["_band"].alias("band"))
 
 
 def verdicts(stats: DataFrame, bands: dict = BANDS) -> DataFrame:
@@ -136,7 +137,7 @@ def verdicts(stats: DataFrame, bands: dict = BANDS) -> DataFrame:
         return F.coalesce(*[F.when(of == k, F.lit(float(v[i]))) for k, v in bands.items()])
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = (F.col("chars_per_token") >= limit(0) - SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.col("chars_per_token") <= limit(1)) & (F.col("token_entropy") >= limit(2)) & (F.col("fallback_share") <= limit(3))
+    inside = (F.col("chars_per_token") >= limit(0) - SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.col("chars_per_token") <= limit(1)) & (F.col("token_entropy") >= limit(2)) & (F.col("fallback_share") <= limit(3)) & (F.col("min_entropy") >= limit(4))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))
 
 
@@ -153,4 +154,4 @@ def assess(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bands: dict = B
 
 def op1_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assess(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "token_entropy", "fallback_share")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "token_entropy", "fallback_share", "min_entropy")

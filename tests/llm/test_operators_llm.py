@@ -86,11 +86,11 @@ def test_token_measures_match_whole_text_encoding():
     t = prose(300, 4) + " naïve café 漢字"
     ws = t.encode().split()
     coder.learn(set(ws))
-    cpt, entropy, share = coder.measure(ws, sum(len(w) for w in t.split()))
+    cpt, entropy, share, least = coder.measure(ws, sum(len(w) for w in t.split()))
     ids = enc.encode_ordinary(" " + t)
     p = np.array(list(collections.Counter(ids).values())) / len(ids)
     assert cpt == sum(len(w) for w in t.split()) / len(ids) and math.isclose(entropy, -(p * np.log2(p)).sum())
-    assert coder.measure([], 0) == (None, None, None) and 0 <= share < 1
+    assert coder.measure([], 0) == (None, None, None, None) and 0 <= share < 1 and math.isclose(least, -math.log2(p.max()))
 
 
 # Fixity
@@ -426,6 +426,9 @@ def test_decontamination(spark, docs, empty):
             if len(x) and any(100 * a >= 80 * b for p in range(max(1, len(w) - len(x) + 1)) for a, b in [contamination.similarity(w[p : p + len(x)], x)] if b):
                 want[d, i] += 1
     assert got == want
+    dirty = {d for d, _ in got}
+    assert collections.Counter(r["doc_id"] for r in contamination.clean(spark, given, table).collect()) == collections.Counter(d for d, _ in texts(given) if d not in dirty)
+    assert contamination.clean(spark, empty, table).count() == 0
     assert contamination.matches(spark, empty, table).count() == 0 and contamination.matches(spark, docs, table.limit(0)).count() == 0
 
 
@@ -440,7 +443,21 @@ def test_blocks_find_all_within_radius():
         for bit in rng.choice(64, rng.integers(0, contamination.RADIUS + 1), replace=False):
             x ^= np.uint64(1) << np.uint64(bit)
         parts = x.view(np.uint16)
-        assert any(i in rows[bounds[parts[b]] : bounds[int(parts[b]) + 1]] for b, (bounds, rows) in enumerate(tables))
+        assert any(i in rows[bounds[parts[b]] : bounds[int(parts[b]) + 1]] for b, (bounds, _, rows) in enumerate(tables))
+
+
+def test_very_long_text_is_searched_whole():
+    item = prose(50, 5)
+    w = (" ".join(prose(3000, i) for i in range(50)) + " " + item).split()
+    text = " ".join(w[:59_990]) + " " + item + " " + " ".join(w[59_990:])
+    found = list(contamination._find(contamination.Index([(1, item)]), [text, None]))
+    assert [(d, i, s) for d, i, s, _ in found] == [(0, 1, 100.0)]
+    ones = contamination._ones(contamination.normal(text)[:1000])
+    h = contamination.normal(text)[:1000]
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    for c, at in ((12, 0), (40, 480), (240, 720)):
+        want = np.packbits(bits[at : at + c].sum(axis=0) > c // 2).view(np.uint64)[0]
+        assert contamination.fingerprints(ones, c, 4)[at // 4] == want
 
 
 # Sharding
