@@ -168,6 +168,49 @@ def test_language_model_without_training_rows(spark, docs, empty):
     assert language_model.score(spark, given.limit(0), built, model).count() == 0
 
 
+def test_filter_grows_with_the_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FILTER_BYTES", 3 * 8 * 1000, raising=False)
+    rows = [(i, " ".join(f"w{(i * 7919 + k * 31) % 5003}" for k in range(200)), i % 7 == 0) for i in range(1500)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    built, model = language_model.train(spark, given.where("not held_out"), 3)
+    count = collections.Counter((v, w) for _, t, held in rows if not held for v, w in zip(t.split(), t.split()[1:]))
+    slices = {r["bucket"]: r for r in built.collect()}
+    entries = int(language_model.levels(np.array(list(count.values()))).sum())
+    assert 8 * sum(len(r["bits"]) for r in slices.values()) >= language_model.ENTRY_BITS * entries
+    # the slices of the table, probed for absent keys
+    f = language_model.LogFilter([np.frombuffer(slices[b]["bits"], np.uint64) for b in range(3)], [slices[b]["top"] for b in range(3)])
+    found = f.lookup(np.random.default_rng(2).integers(0, 1 << 48, 20000).astype(np.uint64))
+    assert (found > 0).mean() < 0.15
+
+
+def test_lookup_ends_at_the_highest_level():
+    full = language_model.LogFilter([np.full(4, ~np.uint64(0))], [5])
+    assert (full.lookup(np.arange(100, dtype=np.uint64)) == 5).all()
+    assert (language_model.LogFilter([np.full(4, ~np.uint64(0))]).lookup(np.arange(100, dtype=np.uint64)) < 128).all()
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_scores_are_those_of_the_whole_filter(spark, monkeypatch, buckets):
+    monkeypatch.setattr(language_model, "ROWS", 3)
+    rows = [(i, i % 4 == 0, " ".join(WORDS[(i * i + k) % len(WORDS)] for k in range(i % 40))) for i in range(60)] + [(None, True, None)]
+    given = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(3).localCheckpoint()
+    built, model = language_model.train(spark, given.where("not held_out"), buckets)
+    slices = {r["bucket"]: r for r in built.collect()}
+    f = language_model.LogFilter([np.frombuffer(slices[b]["bits"], np.uint64) if b in slices else np.zeros(1, np.uint64) for b in range(buckets)], [slices[b]["top"] if b in slices else 0 for b in range(buckets)])
+    total, kinds = built.agg(F.sum("total"), F.sum("tokens")).first()
+    of = lambda keys: language_model.counts_of(f.lookup(keys))
+
+    def want(t):
+        h, sizes = language_model._stream([t.encode() if t else None])
+        own, end = of(language_model._unigram(h, buckets)), of(language_model._unigram(np.array([language_model.END]), buckets))
+        before = np.concatenate([end, own[:-1]])
+        both = np.minimum(of(language_model._pairs(h, sizes)), before)
+        return np.log10((both + language_model.MU * (own + 1) / (total + kinds + 1)) / (before + language_model.MU)).sum()
+
+    key = lambda i, s: (-1 if i is None else i, round(float(s), 6))
+    assert sorted(key(r["doc_id"], r["score"]) for r in language_model.score(spark, given, built, model).collect()) == sorted(key(i, want(t)) for i, _, t in rows)
+
+
 # Packing
 
 
