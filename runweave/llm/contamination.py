@@ -18,8 +18,9 @@ from . import common
 WORDS, PERCENT = 5, 80
 BLOCKS, WITHIN = 4, 1
 RADIUS = BLOCKS * (WITHIN + 1) - 1
-#: Windows start at every STRIDE-th word where they have SPARSE words or more; an item then has a fingerprint at each of its
-#: first STRIDE words, so a whole copy meets one of them exactly. The largest class fits 8-bit counters.
+#: Windows for items of SPARSE + STRIDE - 1 words or more start at every STRIDE-th word; such an item has a fingerprint at each
+#: of its first STRIDE words, so a whole copy meets one of them exactly. Smaller items have one start, and windows at every word.
+#: The largest class fits 8-bit counters.
 STRIDE, SPARSE, LARGEST = 4, 8, 240
 #: Words that items may begin earlier or later than where a fingerprint was found; items compared in one pass over the texts.
 SHIFT, ITEMS = 2, 50_000
@@ -43,8 +44,9 @@ def size_class(n: int) -> int:
     return c
 
 
-def stride(c: int) -> int:
-    return STRIDE if c >= SPARSE else 1
+def stride(n: int) -> int:
+    """Distance of the windows for items of n words: 1 for those of one start, whose class is the item itself."""
+    return STRIDE if n >= SPARSE + STRIDE - 1 else 1
 
 
 #: Counters of 16 bits, four to a number, for the bits of a byte: 2 rows of 256.
@@ -80,11 +82,11 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, w) for i, t in items if len(w := normal(t))]
         self.shingles = [np.unique(common.shingles(w, WORDS)) for _, w in self.items]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, (_, w) in enumerate(self.items):
-            c = size_class(len(w))
-            for o, f in enumerate(fingerprints(_ones(w), c, 1)[: stride(c)].tolist()):
-                found.setdefault(c, []).append((f, k, o))
+            c, step = size_class(len(w)), stride(len(w))
+            for o, f in enumerate(fingerprints(_ones(w), c, 1)[:step].tolist()):
+                found.setdefault((c, step), []).append((f, k, o))
         near = np.array([0] + [1 << i for i in range(16)], np.uint16)
         self.classes = {}
         for c, rows in found.items():
@@ -107,8 +109,7 @@ class Index:
 
     def _stretch(self, h: np.ndarray, doc: np.ndarray) -> set[tuple[int, int, int]]:
         ones, out = _ones(h), set()
-        for c, (f, k, o, tables) in self.classes.items():
-            step = stride(c)
+        for (c, step), (f, k, o, tables) in self.classes.items():
             own = fingerprints(ones, c, step)
             if not len(own):
                 continue

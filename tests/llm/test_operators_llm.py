@@ -489,6 +489,15 @@ def test_blocks_find_all_within_radius():
         assert any(i in rows[bounds[parts[b]] : bounds[int(parts[b]) + 1]] for b, (bounds, _, rows) in enumerate(tables))
 
 
+def test_whole_copies_of_any_length_at_any_place():
+    items = [(n, " ".join(f"x{n}y{j}" for j in range(n))) for n in range(1, 21)]
+    index = contamination.Index(items)
+    for n, item in items:
+        for shift in range(4):
+            text = f"{prose(20 + shift, 500 + n)} {item} {prose(30, 600 + n)}"
+            assert [(i, s, p) for _, i, s, p in contamination._find(index, [text])] == [(n, 100.0, 20 + shift)]
+
+
 def test_very_long_text_is_searched_whole():
     item = prose(50, 5)
     w = (" ".join(prose(3000, i) for i in range(50)) + " " + item).split()
