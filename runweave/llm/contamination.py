@@ -1,6 +1,7 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: SimHash of windows, multi-index Hamming blocks, exact verification.
 
-Windows of every text are fingerprinted with 64 bits at the sizes of the benchmark items, rounded down to classes. Two
+Items are cut into disjoint parts, so many that the edits which leave an item similar enough cannot reach all of them
+(see parts). Windows of every text are fingerprinted with 64 bits at the sizes of the parts, rounded down to classes. Two
 fingerprints within RADIUS bits agree up to WITHIN bits in one of four blocks of 16, so tables of all block values that
 near an item's find every such pair. A found pair is verified on the item's whole window: the similarity of the two
 multisets of five-word shingles, weighted by their numbers, must reach PERCENT.
@@ -19,10 +20,10 @@ WORDS, PERCENT = 5, 80
 BLOCKS, WITHIN = 4, 1
 RADIUS = BLOCKS * (WITHIN + 1) - 1
 #: Windows for items of SPARSE + STRIDE - 1 words or more start at every STRIDE-th word; such an item has a fingerprint at each
-#: of its first STRIDE words, so a whole copy meets one of them exactly. Smaller items have one start, and windows at every word.
+#: of the first STRIDE words of its parts, so a whole part meets one of them exactly. Smaller items have one start, and windows at every word.
 #: The largest class fits 8-bit counters.
 STRIDE, SPARSE, LARGEST = 4, 8, 240
-#: Words that items may begin earlier or later than where a fingerprint was found; items compared in one pass over the texts.
+#: Words at least (else lost) that items may begin earlier or later than a fingerprint tells; items compared in one pass over the texts.
 SHIFT, ITEMS = 2, 50_000
 #: Words whose windows are fingerprinted together.
 CHUNK = 50_000
@@ -35,7 +36,7 @@ def normal(text: str | None) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Size of the fingerprinted windows for an item of n words: n under SPARSE + STRIDE - 1, else a class that leaves room for STRIDE starts."""
+    """Size of the fingerprinted windows for a part of n words: n under SPARSE + STRIDE - 1, else a class that leaves room for STRIDE starts."""
     if n < SPARSE + STRIDE - 1:
         return n
     c = SPARSE
@@ -49,6 +50,24 @@ def stride(n: int) -> int:
     return STRIDE if n >= SPARSE + STRIDE - 1 else 1
 
 
+def lost(n: int) -> int:
+    """Most shingles of an item of n words that a similar text may lack."""
+    return max(0, n - WORDS + 1) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def parts(n: int) -> tuple[list[int], int]:
+    """First words, and number of words, of the disjoint parts of an item of n words.
+
+    An edit at the item's edge costs a shingle for each word up to its inner end; the parts keep lost(n) words off the
+    edges, so no such edit reaches them. One inside costs 4 at least, and 6 where it reaches into two parts: 3 a part. With
+    more parts than lost(n) / 3, some part is whole in every similar text that does not repeat the item's own shingles.
+    """
+    d = lost(n)
+    many = 1 if d < 4 else d // 3 + 1
+    size = (n - 2 * d) // many
+    return [d + i * size for i in range(many)], size
+
+
 #: Counters of 16 bits, four to a number, for the bits of a byte: 2 rows of 256.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64).T.copy()
 #: Words that the counters hold, and by which stretches of a longer text overlap.
@@ -84,9 +103,11 @@ class Index:
         self.shingles = [np.unique(common.shingles(w, WORDS)) for _, w in self.items]
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, (_, w) in enumerate(self.items):
-            c, step = size_class(len(w)), stride(len(w))
-            for o, f in enumerate(fingerprints(_ones(w), c, 1)[:step].tolist()):
-                found.setdefault((c, step), []).append((f, k, o))
+            firsts, size = parts(len(w))
+            c, step = size_class(size), stride(size)
+            for first in firsts:
+                for o, f in enumerate(fingerprints(_ones(w[first : first + c + step - 1]), c, 1).tolist(), first):
+                    found.setdefault((c, step), []).append((f, k, o))
         near = np.array([0] + [1 << i for i in range(16)], np.uint16)
         self.classes = {}
         for c, rows in found.items():
@@ -164,13 +185,19 @@ def _find(index: Index, texts: list[str | None]):
         h = np.concatenate(words[at:end])
         starts = np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        done: dict[tuple[int, int], set[int]] = {}
         around = common.shingles(h, WORDS)
         for d, k, first in index.candidates(h, np.repeat(np.arange(len(sizes)), sizes)):
             own, item = words[at + d], index.items[k][1]
-            if not index.may_match(k, around[max(0, first - SHIFT) : first + SHIFT + len(item)]):
+            shift = max(SHIFT, lost(len(item)))
+            if not index.may_match(k, around[max(0, first - shift) : max(0, first + shift + len(item))]):
                 continue
-            for p in range(first - int(starts[d]) - SHIFT, first - int(starts[d]) + SHIFT + 1):
-                p = min(max(p, 0), max(0, len(own) - len(item)))
+            at_least, at_most = first - int(starts[d]) - shift, first - int(starts[d]) + shift
+            last = max(0, len(own) - len(item))
+            for p in range(min(max(at_least, 0), last), min(max(at_most, 0), last) + 1):
+                if p in done.setdefault((d, k), set()):
+                    continue
+                done[d, k].add(p)
                 least, most = similarity(own[p : p + len(item)], item)
                 if 100 * least >= PERCENT * most:
                     new = (100 * least / most, -p)

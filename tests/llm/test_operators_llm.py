@@ -498,6 +498,26 @@ def test_whole_copies_of_any_length_at_any_place():
             assert [(i, s, p) for _, i, s, p in contamination._find(index, [text])] == [(n, 100.0, 20 + shift)]
 
 
+def test_copies_edited_at_head_middle_and_tail():
+    rng = random.Random(11)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    items = [(n, fresh(n)) for n in (15, 31, 40, 50, 59, 100, 200, 400) for _ in range(3)]
+    index = contamination.Index([(i, " ".join(x)) for i, (_, x) in enumerate(items)])
+    for i, (n, x) in enumerate(items):
+        d = contamination.lost(n)
+        edits = {"head": fresh(d) + x[d:], "tail": x[: n - d] + fresh(d), "both": fresh(d // 2) + x[d // 2 : n - d + d // 2] + fresh(d - d // 2)}
+        if d >= 5:
+            edits["middle"] = x[: n // 2] + fresh(d - 4) + x[n // 2 + d - 4 :]
+            edits["inserted"] = x[: n // 2] + fresh(d - 4) + x[n // 2 :]
+            single = list(x)
+            for j in range(d // 5):
+                single[(2 * j + 1) * n // (2 * (d // 5))] = "other"
+            edits["single words"] = single
+        for where, e in edits.items():
+            found = list(contamination._find(index, [" ".join(fresh(20 + i % 4) + e + fresh(30))]))
+            assert [(k, s >= 80) for _, k, s, _ in found] == [(i, True)], (n, where)
+
+
 def test_very_long_text_is_searched_whole():
     item = prose(50, 5)
     w = (" ".join(prose(3000, i) for i in range(50)) + " " + item).split()
