@@ -14,24 +14,34 @@ def edges(tasks: DataFrame) -> DataFrame:
     return listed.select("run_id", "task_id", F.posexplode("d").alias("position", "x")).where(F.col("x") != "").select("run_id", F.col("x").cast("long").alias("source"), "task_id", "position")
 
 
+#: Levels of the graph that one round of dep_fail_closure follows before it writes what it found.
+HOPS = 3
+
+
 def dep_fail_closure(spark: SparkSession, tasks: DataFrame, failed: DataFrame) -> DataFrame:
     """Tasks that depend, directly or through others, on a failed one, with the least number of steps from it.
 
-    tasks: run_id, task_id, task_depends; failed: run_id, task_id. Breadth first: each round joins the newest tasks with the
-    edges, so it shuffles each edge's endpoints once a round; rounds are as many as the graph is deep.
+    tasks: run_id, task_id, task_depends; failed: run_id, task_id. Breadth first: a round follows HOPS levels of edges, a shuffle
+    of the newest tasks for each, and adds the tasks not reached before to the one table of reached tasks.
     """
-    links, _ = shared.materialize(spark, edges(tasks).select("run_id", "source", "task_id"), "edges")
-    seen, _ = shared.materialize(spark, failed.select("run_id", "task_id", F.lit(0).alias("steps")).distinct(), "reached")
-    depth = 0
+    links, path = shared.materialize(spark, edges(tasks).select("run_id", F.col("source").alias("task_id"), F.col("task_id").alias("next")), "edges")
+    base = shared.fresh(spark, "reached")
+    start = failed.select("run_id", "task_id", F.lit(0).alias("steps")).distinct()
+    start.write.parquet(f"{base}/round=0")
+    done = 0
     while True:
-        newest = seen.where(F.col("steps") == depth).select("run_id", F.col("task_id").alias("source"))
-        found = links.join(newest, ["run_id", "source"]).select("run_id", "task_id").distinct()
-        found = found.join(seen, ["run_id", "task_id"], "left_anti").withColumn("steps", F.lit(depth + 1))
-        found, _ = shared.materialize(spark, found, "reached")
-        if found.isEmpty():
-            return seen.where("steps > 0")
-        depth += 1
-        seen = seen.unionByName(found)
+        seen = spark.read.schema(start.schema).parquet(f"{base}/round=*")
+        level, found = seen.where(F.col("steps") == done * HOPS).select("run_id", "task_id"), None
+        for hop in range(done * HOPS + 1, (done + 1) * HOPS + 1):
+            level = links.join(level, ["run_id", "task_id"]).select("run_id", F.col("next").alias("task_id")).distinct()
+            told = level.withColumn("steps", F.lit(hop))
+            found = told if found is None else found.unionByName(told)
+        new = found.groupBy("run_id", "task_id").agg(F.min("steps").alias("steps")).join(seen, ["run_id", "task_id"], "left_anti")
+        done += 1
+        new.write.parquet(f"{base}/round={done}")
+        if spark.read.schema(start.schema).parquet(f"{base}/round={done}").where(F.col("steps") == done * HOPS).isEmpty():
+            shared.remove(spark, path)
+            return spark.read.schema(start.schema).parquet(f"{base}/round=*").where("steps > 0")
 
 
 def root_cause(spark: SparkSession, tasks: DataFrame, reached: DataFrame, failed: DataFrame) -> DataFrame:

@@ -85,6 +85,7 @@ class Flow:
     def __init__(self, threads: int = 4, retries: float = 0, retry_cost: Callable[[BaseException], float] | None = None):
         self.pool, self.retries, self.cost = ThreadPoolExecutor(threads), retries, retry_cost or (lambda e: 1.0)
         self.memo: dict[Any, Step] = {}
+        self.lock = Lock()
         self.steps: list[Step] = []
 
     def submit(self, f: Callable, *args: Any, key: Any = None, join: bool = False, **kwargs: Any) -> Step:
@@ -92,21 +93,22 @@ class Flow:
 
         With join, f returns a step or a list of steps, whose results are the step's.
         """
-        if key is not None and key in self.memo:
-            return self.memo[key]
         step = Step(self, getattr(f, "__name__", "step"))
-        self.steps.append(step)
-        if key is not None:
-            self.memo[key] = step
+        with self.lock:
+            if key is not None and self.memo.setdefault(key, step) is not step:
+                return self.memo[key]
+            self.steps.append(step)
         needs: list[Step] = []
         _walk([list(args), kwargs], lambda s: needs.append(s) or 0)
 
         def done() -> None:
             bad = [(s.exception(), s.name) for s in needs if s.exception()]
             if bad:
-                step.set_exception(DependencyError(step.name, bad))
-            else:
+                return step.set_exception(DependencyError(step.name, bad))
+            try:
                 self.pool.submit(self._run, step, f, _walk(list(args), Future.result), _walk(kwargs, Future.result), join)
+            except Exception as e:  # a result that does not fit its container, such as a list in a set, or a closed pool
+                step.set_exception(e)
 
         _when_all(needs, done)
         return step
@@ -117,7 +119,9 @@ class Flow:
             try:
                 value = f(*args, **kwargs)
                 break
-            except Exception as e:
+            except BaseException as e:
+                if not isinstance(e, Exception):
+                    return step.set_exception(e)
                 try:
                     spent += self.cost(e)
                 except Exception as worse:
@@ -140,8 +144,9 @@ class Flow:
         _when_all(inner, finish)
 
     def wait(self) -> None:
-        """Until all steps so far are done; their errors stay with them."""
-        wait(list(self.steps))
+        """Until all steps are done, those too that steps submit meanwhile; their errors stay with them."""
+        while left := [s for s in list(self.steps) if not s.done()]:
+            wait(left)
 
     def __enter__(self) -> "Flow":
         return self

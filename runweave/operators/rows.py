@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def in_slices(batches: Iterator[pd.DataFrame], columns: list[str], f: Callable[[dict], tuple], most_bytes: int) -> Iterator[pd.DataFrame]:
+    """The rows with the columns that f returns for each, passed on whenever their values reach most_bytes."""
+    for pdf in batches:
+        done, first, size = [], 0, 0
+        for i, row in enumerate(pdf.to_dict("records"), 1):
+            done.append(f(row))
+            size += sum(len(v) for v in done[-1] if isinstance(v, (bytes, str)))
+            if size >= most_bytes or i == len(pdf):
+                part = pdf.iloc[first:i]
+                yield part.assign(**{c: pd.Series([d[k] for d in done], index=part.index, dtype=object) for k, c in enumerate(columns)})
+                done, first, size = [], i, 0
+
+
 def map_rows(rows: DataFrame, column: str, f: Callable, result: str) -> DataFrame:
     """rows with the columns result (of the type given as 'name type') and error: f of the column's value, or why it failed.
 
@@ -32,14 +46,20 @@ def map_rows(rows: DataFrame, column: str, f: Callable, result: str) -> DataFram
     return rows.mapInPandas(run, schema)
 
 
-def run_commands(rows: DataFrame, column: str, timeout: float = 60) -> DataFrame:
+def run_commands(rows: DataFrame, column: str, timeout: float = 60, outputs: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """rows with exit_code, stdout and stderr of the shell command in the column, run on the executor; null if it timed out.
 
-    Commands may run again when a task is retried.
+    With outputs, the name of a column of paths, `missing` lists those that do not exist after the command. Commands may run
+    again when a task is retried. A task holds about most_bytes of output, and that of one command more.
     """
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + ", exit_code int, stdout string, stderr string"
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + ", exit_code int, stdout string, stderr string, missing array<string>"
 
-    def one(command: str) -> tuple:
+    def one(row: dict) -> tuple:
+        told = run_one(row[column])
+        paths = row[outputs] if outputs else None
+        return *told, None if paths is None else [p for p in paths if not os.path.exists(p)]
+
+    def run_one(command: str) -> tuple:
         try:
             p = subprocess.run(["/bin/bash", "-c", command], capture_output=True, text=True, timeout=timeout)
             return p.returncode, p.stdout, p.stderr
@@ -47,8 +67,6 @@ def run_commands(rows: DataFrame, column: str, timeout: float = 60) -> DataFrame
             return None, None, f"no end after {timeout} s"
 
     def run(batches):
-        for pdf in batches:
-            done = [one(c) for c in pdf[column]]
-            yield pdf.assign(exit_code=pd.array([d[0] for d in done], dtype="Int32"), stdout=[d[1] for d in done], stderr=[d[2] for d in done])
+        return in_slices(batches, ["exit_code", "stdout", "stderr", "missing"], one, most_bytes)
 
     return rows.mapInPandas(run, schema)

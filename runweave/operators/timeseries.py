@@ -19,18 +19,30 @@ def bucket(ts: Column | str, unit: int = 1) -> Column:
     return F.floor(epoch(ts, unit)).cast("long")
 
 
-def grid(bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """Every bucket from low to high (inclusive) of each row of bounds."""
-    return bounds.where(F.col("low") <= F.col("high")).select(*keys, "low", F.explode(F.sequence("low", "high")).alias("bucket"))
+def markers(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of no weight at the first bucket of each row of bounds (keys, low, high) and behind its last one; none where low is above high."""
+    ends = F.array(F.struct(F.col("low").alias("bucket"), F.lit(1).alias("mark")), F.struct((F.col("high") + 1).alias("bucket"), F.lit(2).alias("mark")))
+    return bounds.where(F.col("low") <= F.col("high")).select(*keys, F.explode(ends).alias("x")).select(*keys, "x.*")
 
 
-def sweep(deltas: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense series by keys: `points` of a bucket, plus all `delta` up to and with it. Deltas add up by bucket before the window."""
-    small = deltas.groupBy(*keys, "bucket").agg(F.sum("delta").alias("delta"), F.sum("points").alias("points"))
+def sweep(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """Dense series by keys: `points` of a bucket, plus all `delta` up to and with it.
+
+    deltas: keys, bucket, delta, points and mark (1 at the first bucket, 2 behind the last, else null). They add up by bucket, the
+    window runs over the buckets in which something changes, and what lies between is filled in last, behind all shuffles.
+    """
+    small = deltas.groupBy(*keys, "bucket").agg(F.sum("delta").alias("delta"), F.sum("points").alias("points"), F.min("mark").alias("first"), F.max("mark").alias("last"))
     zero = F.lit(0).cast(small.schema["delta"].dataType)
-    dense = frame.select(*keys, "low", "bucket").join(small, [*keys, "bucket"], "left")
-    run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.withColumn("value", F.sum(F.coalesce("delta", zero)).over(run) + F.coalesce("points", zero)).select(*keys, (F.col("bucket") - F.col("low")).alias("at"), "value")
+    own = Window.partitionBy(*keys).orderBy("bucket")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = own.rowsBetween(Window.unboundedPreceding, 0)
+    known = small.select(
+        *keys, "bucket", F.lead("bucket").over(own).alias("after"), F.sum(F.coalesce("delta", zero)).over(run).alias("level"), F.coalesce("points", zero).alias("points"),
+        F.max(F.when(F.col("first") == 1, F.col("bucket"))).over(whole).alias("low"), F.max(F.when(F.col("last") == 2, F.col("bucket"))).over(whole).alias("end"),
+    )
+    begin, end = F.greatest("bucket", "low"), F.least("after", "end") - 1
+    filled = known.where(F.col("low").isNotNull() & (begin <= end)).select(*keys, "bucket", "low", "level", "points", F.explode(F.sequence(begin, end)).alias("b"))
+    return filled.select(*keys, (F.col("b") - F.col("low")).alias("at"), (F.col("level") + F.when(F.col("b") == F.col("bucket"), F.col("points")).otherwise(zero)).alias("value"))
 
 
 def concurrency_per_app(tasks: DataFrame, unit: int = 1) -> DataFrame:
@@ -38,17 +50,20 @@ def concurrency_per_app(tasks: DataFrame, unit: int = 1) -> DataFrame:
 
     tasks: run_id, task_func_name, running, returned. A task counts in the buckets after that of running up to that of
     returned; without running it is skipped; without returned it counts up to the run's last return. at 0 is the first running.
+    The tasks are read once and shrink to changes by app and bucket before anything else is done.
     """
     t = tasks.select("run_id", F.col("task_func_name").alias("app"), bucket("running", unit).alias("s"), bucket("returned", unit).alias("e"))
-    bounds = t.groupBy("run_id").agg(F.min("s").alias("low"), F.max("e").alias("high"))
-    t = t.where(F.col("s").isNotNull()).join(bounds, "run_id").withColumn("e", F.coalesce("e", "high"))
-    steps = t.where("e > s").select("run_id", "app", F.explode(F.array(F.struct((F.col("s") + 1).alias("bucket"), F.lit(1).alias("delta")), F.struct((F.col("e") + 1).alias("bucket"), F.lit(-1).alias("delta")))).alias("x")).select("run_id", "app", "x.*")
-    steps = steps.groupBy("run_id", "app", "bucket").agg(F.sum("delta").alias("delta")).withColumn("points", F.lit(0))
-    steps = steps.unionByName(steps.withColumn("app", F.lit("All")))
-    apps = t.select("run_id", "app").distinct()
-    apps = apps.unionByName(apps.select("run_id", F.lit("All").alias("app")).distinct())
-    frame = grid(bounds.join(apps, "run_id"), ["run_id", "app"])
-    return sweep(steps, frame, ["run_id", "app"]).withColumnRenamed("value", "running")
+    counts = F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s")))
+    change = lambda at, d: F.struct(at.alias("bucket"), d.cast("long").alias("delta"))
+    none = F.lit(None).cast("long")
+    both = F.when(counts, F.array(change(F.col("s") + 1, F.lit(1)), change(F.col("e") + 1, F.lit(-1)))).otherwise(F.array(change(none, F.lit(0))))
+    small = t.select("run_id", "app", "s", "e", F.explode(both).alias("x")).groupBy("run_id", "app", "x.bucket").agg(F.sum("x.delta").alias("delta"), F.min("s").alias("s"), F.max("e").alias("e"))
+    run = Window.partitionBy("run_id")
+    small = small.select("run_id", "app", "bucket", "delta", F.col("s").isNotNull().alias("runs"), F.min("s").over(run).alias("low"), (F.max("e").over(run) + 1).alias("end"))
+    mark = lambda at, m: F.struct(at.alias("bucket"), F.lit(0).cast("long").alias("delta"), F.lit(m).alias("mark"))
+    rows = F.array(F.struct("bucket", "delta", F.lit(None).cast("int").alias("mark")), mark(F.col("low"), 1), mark(F.col("end"), 2))
+    spread = small.where("runs and low < end").select("run_id", F.explode(F.array("app", F.lit("All"))).alias("app"), rows.alias("x")).select("run_id", "app", F.explode("x").alias("x"))
+    return sweep(spread.select("run_id", "app", "x.*", F.lit(0).cast("long").alias("points")).where(F.col("bucket").isNotNull()), ["run_id", "app"]).withColumnRenamed("value", "running")
 
 
 def worker_efficiency(tries: DataFrame, nodes: DataFrame, unit: int = 1) -> DataFrame:
@@ -68,7 +83,7 @@ def worker_efficiency(tries: DataFrame, nodes: DataFrame, unit: int = 1) -> Data
     step = lambda at, d: F.struct(at.alias("bucket"), F.lit(float(d)).alias("delta"), F.lit(0.0).alias("points"))
     edges = F.array(point(a, 1 - (F.col("s") - a)), point(b, F.col("e") - b), step(a + 1, 1), step(b, -1))
     parts = F.when(a == b, F.array(point(a, F.col("e") - F.col("s")))).otherwise(edges)
-    series = sweep(t.select("run_id", F.explode(parts).alias("x")).select("run_id", "x.*"), grid(bounds, ["run_id"]), ["run_id"])
+    series = sweep(t.select("run_id", F.explode(parts).alias("x")).select("run_id", "x.*").unionByName(markers(bounds, ["run_id"]), allowMissingColumns=True), ["run_id"])
     return series.join(total.select("run_id", "workers", "workers_latest"), "run_id", "left").select("run_id", "at", (F.round("value", 4) + 0.0).alias("busy"), F.coalesce("workers", F.lit(0)).alias("workers"), F.coalesce("workers_latest", F.lit(0)).alias("workers_latest"))
 
 
@@ -94,7 +109,7 @@ def resource_efficiency(resources: DataFrame, nodes: DataFrame, label: str, unit
     whole = F.sum("cpu_count").cast("double") if label == "CPU" else F.sum("total_memory") / 2**30
     n = nodes.groupBy("run_id").agg(F.min(bucket("timestamp", unit)).alias("n"), whole.alias("total"))
     bounds = resources.groupBy("run_id").agg(F.min(bucket("timestamp", unit)).alias("r"), F.max(bucket("timestamp", unit)).alias("high")).join(n, "run_id", "left").select("run_id", F.least("r", "n").alias("low"), "high")
-    series = sweep(steps, grid(bounds, ["run_id"]), ["run_id"])
+    series = sweep(steps.unionByName(markers(bounds, ["run_id"]), allowMissingColumns=True), ["run_id"])
     return series.join(n.select("run_id", "total"), "run_id", "left").select("run_id", "at", (F.round("value", 4) + 0.0).alias("used"), "total")
 
 

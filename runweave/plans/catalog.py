@@ -265,9 +265,10 @@ def memory_efficiency(spark, resource, node):
 
 @_query(("task", "try"), f"""WITH t AS (SELECT y.run_id, t.task_func_name AS app, CAST(floor({_units('y.task_try_time_running', WEEK)}) AS BIGINT) AS s, CAST(floor({_units('t.task_time_returned', WEEK)}) AS BIGINT) AS e FROM "try" y JOIN task t ON t.task_id = y.task_id AND t.run_id = y.run_id),
         b AS (SELECT run_id, min(s) AS low, max(e) AS high FROM t GROUP BY run_id),
-        a AS (SELECT DISTINCT run_id, app FROM t WHERE s IS NOT NULL UNION SELECT DISTINCT run_id, 'All' FROM t WHERE s IS NOT NULL),
-        g AS (SELECT run_id, app, low, high, unnest(generate_series(low, high)) AS bucket FROM b JOIN a USING (run_id))
-        SELECT g.run_id, g.app, bucket - low AS at, count(t.s) AS running FROM g LEFT JOIN t ON t.run_id = g.run_id AND (g.app = 'All' OR t.app = g.app) AND bucket > t.s AND bucket <= coalesce(t.e, high) GROUP BY g.run_id, g.app, bucket, low""")
+        u AS (SELECT run_id, unnest([app, 'All']) AS app, s, e FROM t WHERE s IS NOT NULL),
+        n AS (SELECT run_id, app, bucket, count(*) AS n FROM (SELECT u.run_id, u.app, unnest(generate_series(u.s + 1, coalesce(u.e, b.high))) AS bucket FROM u JOIN b ON b.run_id = u.run_id) GROUP BY ALL),
+        g AS (SELECT b.run_id, a.app, low, unnest(generate_series(low, high)) AS bucket FROM b JOIN (SELECT DISTINCT run_id, app FROM u) a ON a.run_id = b.run_id)
+        SELECT g.run_id, g.app, g.bucket - low AS at, coalesce(n.n, 0) AS running FROM g LEFT JOIN n ON n.run_id = g.run_id AND n.app = g.app AND n.bucket = g.bucket""")
 def concurrency_per_app(spark, task, tries):
     both = monitoring.tries_with_tasks(task, tries)
     return timeseries.concurrency_per_app(both.select("run_id", "task_func_name", F.col("task_try_time_running").alias("running"), F.col("task_time_returned").alias("returned")), WEEK)

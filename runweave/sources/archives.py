@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,10 +32,17 @@ def read_zip(spark: SparkSession, path: str, members: str | None = None) -> Data
 def to_zips(rows: DataFrame, most_members: int = 1000) -> DataFrame:
     """archive, part and content: the rows (archive, member, content) as zip files of at most most_members members.
 
-    An archive's members are dealt over parts by their names' hash, so one large archive does not meet in one task.
+    An archive's members are dealt over parts by their names' hash, so one large archive does not meet in one task; a part that
+    has more than most_members then falls into several, by the members' order. A part is one task's, and in memory once.
     """
     sizes = rows.groupBy("archive").agg(F.ceil(2 * F.count("*") / most_members).alias("parts"))
-    dealt = rows.join(sizes, "archive").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    dealt = rows.join(sizes, "archive").withColumn("bin", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    place = F.row_number().over(Window.partitionBy("archive", "bin").orderBy("member")) - 1
+    dealt = dealt.withColumn("piece", F.floor(place / most_members).cast("int"))
+    # numbers without gaps: the pieces before a bin's are those of lesser bins
+    counts = dealt.groupBy("archive", "bin").agg((F.max("piece") + 1).alias("own"))
+    before = F.sum("own").over(Window.partitionBy("archive").orderBy("bin")) - F.col("own")
+    dealt = dealt.join(counts.select("archive", "bin", before.alias("before")), ["archive", "bin"]).withColumn("part", (F.col("before") + F.col("piece")).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()

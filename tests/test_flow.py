@@ -57,3 +57,29 @@ def test_memo():
     with Flow() as flow:
         a = flow.submit(boom, key="k")
         assert flow.submit(lambda: 1, key="k") is a and isinstance(a.exception(), ValueError)
+
+
+def test_results_that_fit_no_container_fail_their_step():
+    with Flow() as flow:
+        bad = flow.submit(lambda x: x, {flow.submit(lambda: [1])})
+        assert isinstance(bad.exception(timeout=20), TypeError)
+        assert isinstance(flow.submit(lambda x: x, bad).exception(timeout=20), DependencyError)
+
+
+def test_exits_of_a_step_are_its_errors():
+    def leave():
+        raise SystemExit(3)
+
+    with Flow(retries=5) as flow:
+        assert isinstance(flow.submit(leave).exception(timeout=20), SystemExit)
+
+
+def test_equal_keys_at_the_same_time_run_once():
+    from concurrent.futures import ThreadPoolExecutor
+
+    runs = []
+    with Flow() as flow, ThreadPoolExecutor(16) as pool:
+        steps = list(pool.map(lambda _: flow.submit(lambda: runs.append(1), key="k"), range(64)))
+        assert len(set(map(id, steps))) == 1
+        steps[0].result(timeout=20)
+    assert len(runs) == 1

@@ -104,13 +104,16 @@ def test_schema_conform_and_checks(spark):
     assert schemas.duplicate_keys(out.unionByName(out), "status").first()["n"] == 2
 
 
-def test_zip_round_trip(spark, tmp_path):
-    given = spark.createDataFrame([("a", f"m{i}", bytes([i])) for i in range(7)], "archive string, member string, content binary")
-    for i, r in enumerate(archives.to_zips(given, 4).collect()):
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_zip_round_trip(spark, tmp_path, most):
+    given = spark.createDataFrame([(a, f"m{i}", bytes([i])) for a, n in (("a", 40), ("b", 1)) for i in range(n)], "archive string, member string, content binary")
+    made = archives.to_zips(given, most).collect()
+    assert sorted(r["part"] for r in made if r["archive"] == "a") == list(range(sum(r["archive"] == "a" for r in made)))
+    for i, r in enumerate(made):
         (tmp_path / f"{i}.zip").write_bytes(r["content"])
-        assert len(zipfile.ZipFile(tmp_path / f"{i}.zip").namelist()) <= 7
+        assert 1 <= len(zipfile.ZipFile(tmp_path / f"{i}.zip").namelist()) <= most
     back = archives.read_zip(spark, f"file://{tmp_path}/*.zip").collect()
-    assert sorted((r["member"], bytes(r["content"])) for r in back) == [(f"m{i}", bytes([i])) for i in range(7)]
+    assert sorted((r["member"], bytes(r["content"])) for r in back) == sorted((r["member"], bytes(r["content"])) for r in given.collect())
 
 
 def test_logs(spark, tmp_path):
@@ -142,3 +145,17 @@ def test_map_rows_and_commands(spark):
     assert "ZeroDivisionError" in got[0][1]
     out = {r["c"]: (r["exit_code"], r["stdout"]) for r in rows.run_commands(spark.createDataFrame([("echo hi",), ("exit 5",)], "c string"), "c").collect()}
     assert out == {"echo hi": (0, "hi\n"), "exit 5": (5, "")}
+    given = spark.createDataFrame([("true", ["/bin/bash", "/no/such/file"]), ("true", None)], "c string, made array<string>")
+    assert sorted((r["missing"] for r in rows.run_commands(given, "c", outputs="made").collect()), key=str) == [None, ["/no/such/file"]]
+
+
+def test_fetch_passes_bodies_on_in_slices(spark):
+    import pandas as pd
+
+    from runweave.sources import fetch
+
+    seen = [len(p) for p in rows.in_slices([pd.DataFrame({"v": range(7)})], ["b"], lambda r: (bytes(10),), 30)]
+    assert seen == [3, 3, 1]
+    urls = spark.createDataFrame([("mem://a",), ("none://b",)], "url string")
+    got = {r["url"]: (r["content"], r["error"]) for r in fetch.fetch(urls, readers={"mem": lambda u, t: b"body"}, most_bytes=1).collect()}
+    assert bytes(got["mem://a"][0]) == b"body" and got["mem://a"][1] is None and got["none://b"][0] is None and "nothing reads" in got["none://b"][1]
