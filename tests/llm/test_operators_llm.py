@@ -193,7 +193,8 @@ def test_lookup_ends_at_the_highest_level():
 def test_scores_are_those_of_the_whole_filter(spark, monkeypatch, buckets):
     monkeypatch.setattr(language_model, "ROWS", 3)
     rows = [(i, i % 4 == 0, " ".join(WORDS[(i * i + k) % len(WORDS)] for k in range(i % 40))) for i in range(60)] + [(None, True, None)]
-    given = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(3).localCheckpoint()
+    given = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(3)
+    given, _ = common.materialize(spark, given, "given")
     built, model = language_model.train(spark, given.where("not held_out"), buckets)
     slices = {r["bucket"]: r for r in built.collect()}
     f = language_model.LogFilter([np.frombuffer(slices[b]["bits"], np.uint64) if b in slices else np.zeros(1, np.uint64) for b in range(buckets)], [slices[b]["top"] if b in slices else 0 for b in range(buckets)])
@@ -317,11 +318,13 @@ def brute_classes(rows):
     return collections.Counter((i, len(sets[k]), least[find(k)] if i is not None else None) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("limits", [(20_000, 16_000_000, 64), (4, 300, 2)])
+@pytest.mark.parametrize("limits", [(20_000, 16_000_000, 64, 10**6), (4, 300, 2, 2), (4, 300, 10**9, 10**6)])
 def test_jaccard_join(spark, docs, monkeypatch, limits):
     monkeypatch.setattr(jaccard_join, "GROUP_SETS", limits[0])
     monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", limits[1])
     monkeypatch.setattr(jaccard_join, "FREQUENT", limits[2])
+    monkeypatch.setattr(jaccard_join, "COPIES", limits[3])
+    monkeypatch.setattr(graph, "HUB", limits[3])
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(spark, docs).collect())
     assert got == brute_classes(texts(docs))
 
@@ -337,6 +340,24 @@ def test_near_copies_at_the_edge(spark):
     assert got == brute_classes(rows)
 
 
+def test_blocks_hold_every_pair():
+    sids = np.random.default_rng(3).integers(0, 1 << 60, 500).astype(np.uint64)
+    assert [len(x) for x in jaccard_join._blocks(sids, 500)] == [500]
+    parts = list(jaccard_join._blocks(sids, 100))
+    assert max(map(len, parts)) <= 150 and all((np.diff(x.astype(np.int64)) > 0).all() for x in parts)
+    met = {(a, b) for x in parts for a in x.tolist() for b in x.tolist()}
+    assert len(met) == 500 * 500
+    assert jaccard_join.tree_sets(10, 20_000, 2_000) == 2_000 and jaccard_join.tree_sets(10**9, 20_000, 2_000) == 20_000
+
+
+def test_sets_of_one_number_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "set_id", lambda u: int(math.log(len(u)) / jaccard_join.STEP) << 53 if len(u) else 0)
+    rows = [(i, prose(90 + i, i // 2)) for i in range(12)] + [(20, prose(90, 0)), (21, None)]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert {(i, n) for i, n, _ in got} == {(i, n) for i, n, _ in brute_classes(rows)}
+    assert next(c for i, _, c in got if i == 20) == 0
+
+
 def test_tree_finds_what_all_pairs_find():
     rng = random.Random(2)
     sets = []
@@ -370,11 +391,16 @@ def test_tree_finds_what_all_pairs_find():
             assert (root[i] == root[j]) == (find(i) == find(j))
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)]
-    got = {r["a"]: r["b"] for r in graph.components(spark, spark.createDataFrame(links, "x long, y long"), "t").collect()}
-    assert got == {**{i: 0 for i in range(1, 41)}, 200: 100}
-    assert graph.components(spark, spark.createDataFrame([], "x long, y long"), "t").count() == 0
+@pytest.mark.parametrize("hub", [10**6, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)] + [(500, 501 + i) for i in range(9)] + [(700 + i, 790) for i in range(9)]
+    want = {**{i: 0 for i in range(1, 41)}, 200: 100, **{501 + i: 500 for i in range(9)}, **{701 + i: 700 for i in range(8)}, 790: 700}
+    given = spark.createDataFrame(links, "x long, y long")
+    assert {r["a"]: r["b"] for r in graph.components(spark, given, "t")[0].collect()} == want
+    pairs = given.select(F.struct(F.lit(1).alias("p"), F.col("x").alias("q")).alias("x"), F.struct(F.lit(1).alias("p"), F.col("y").alias("q")).alias("y"))
+    assert {r["a"]["q"]: r["b"]["q"] for r in graph.components(spark, pairs, "t")[0].collect()} == want
+    assert graph.components(spark, spark.createDataFrame([], "x long, y long"), "t")[0].count() == 0
 
 
 # Personal data
