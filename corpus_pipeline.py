@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by its kind; n_chars is that of the new text."""
     found = pii.find(docs, pii.fit(spark), ("doc_id", "lang", "source"))
-    text = found.select("doc_id", pii.redact(found).alias("text"), "lang", "source")
+    text = found.select("own.doc_id", pii.redact(found).alias("text"), "own.lang", "own.source")
     return text.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
