@@ -9,6 +9,8 @@ multisets of five-word shingles, weighted by their numbers, must reach PERCENT.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ RADIUS = BLOCKS * (WITHIN + 1) - 1
 STRIDE, SPARSE, LARGEST = 4, 8, 240
 #: Words at least (else lost) that items may begin earlier or later than a fingerprint tells; items compared in one pass over the texts.
 SHIFT, ITEMS = 2, 50_000
+#: Bytes of items' texts in one pass; a worker keeps INDEXES of the block tables that it has built.
+ITEM_BYTES, INDEXES = 32 << 20, 2
 #: Words whose windows are fingerprinted together.
 CHUNK = 50_000
 _TO_SPACE = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -208,25 +212,39 @@ def _find(index: Index, texts: list[str | None]):
 
 
 def _indexed(spark: SparkSession, items: DataFrame):
-    """Broadcasts of the items (item_id, text) in blocks of about ITEMS."""
-    blocks = max(1, -(-items.count() // ITEMS))
+    """Names and broadcasts of the distinct items (item_id, text) in blocks of about ITEMS and ITEM_BYTES at most, or one longer item."""
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    many, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-many // ITEMS), -(-size // ITEM_BYTES))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()])
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
+
+
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, items: list[tuple[int, str | None]]) -> Index:
+    """The block tables of the items, built once in a worker."""
+    if name not in _built:
+        while len(_built) >= INDEXES:
+            _built.pop(next(iter(_built)))
+        _built[name] = Index(items)
+    return _built[name]
 
 
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, similarity, first_word): each item (item_id, text) that a text holds, where it fits best.
 
-    Null and empty texts and items match nothing; repeated rows match each for itself; other columns are ignored. More than
-    ITEMS items are compared in blocks, with a pass over the texts for each.
+    Null and empty texts and items match nothing; repeated rows of docs match each for itself, repeated items once; other columns
+    are ignored. More than ITEMS items, or ITEM_BYTES of them, are compared in blocks, with a pass over the texts for each.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for sent in _indexed(spark, items):
+    for name, sent in _indexed(spark, items):
 
-        def run(batches, sent=sent):
-            index = Index(sent.value)
+        def run(batches, name=name, sent=sent):
+            index = _index(name, sent.value)
             for batch in batches:
                 rows = list(_find(index, batch.column(1).to_pylist()))
                 if rows:
@@ -240,10 +258,10 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item; each row is judged by itself, so no join is needed."""
     place = docs.columns.index("text")
-    for sent in _indexed(spark, items):
+    for name, sent in _indexed(spark, items):
 
-        def run(batches, sent=sent):
-            index = Index(sent.value)
+        def run(batches, name=name, sent=sent):
+            index = _index(name, sent.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in _find(index, batch.column(place).to_pylist())]] = False
