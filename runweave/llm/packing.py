@@ -156,13 +156,14 @@ def pack(spark: SparkSession, parts: DataFrame, size: int = 4096, max_docs: int
     """Give each piece (columns doc_id, piece, length and any others) a sequence_id and an offset in it.
 
     max_docs and max_attention bound the pieces and the sum of squared lengths in a sequence; None sets the
-    bounds that `size` implies. An empty input gives an empty result.
+    bounds that `size` implies. An empty input gives an empty result; columns may have any names, and those called
+    sequence_id and offset are replaced. Rows are dealt by their place, so repeated ids or rows share the work too.
     """
     capacity = (size, max_docs or size, max_attention or size * size)
-    parts, _ = common.materialize(spark, parts, "pieces")
     n = common.partitions(spark)
-    cols = parts.columns
-    dealt = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    cols = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    # the place is written with the rows, so later reads agree on it
+    dealt, _ = common.materialize(spark, parts.select(F.struct(*cols).alias("own"), F.col("length").cast("long").alias("length"), F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("_part")), "pieces")
     sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part")
     starts = sizes.select("length", "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
@@ -170,7 +171,7 @@ def pack(spark: SparkSession, parts: DataFrame, size: int = 4096, max_docs: int
     keys = steps[:, 0] * (1 << 40) + steps[:, 1]
     order = np.argsort(keys, kind="stable")
     told = spark.sparkContext.broadcast((keys[order], steps[order]))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*cols)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("own")))
     ranked = ranked.join(starts, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
 
     def place(batches):
@@ -179,11 +180,10 @@ def pack(spark: SparkSession, parts: DataFrame, size: int = 4096, max_docs: int
             length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             at = np.searchsorted(keys, length * (1 << 40) + rank, "right") - 1
             s = steps[at]
-            columns = [b.column(c) for c in cols] + [pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])]
-            yield pa.RecordBatch.from_arrays(columns, [*cols, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])], ["own", "sequence_id", "offset"])
 
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*cols, "_rank").mapInArrow(place, schema)
+    schema = ranked.select("own").schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.select("own", "length", "_rank").mapInArrow(place, schema).select("own.*", "sequence_id", "offset")
 
 
 def vocabulary_path() -> str:
