@@ -19,14 +19,15 @@ from . import common
 
 #: (least and most characters per token, least entropy in bits, most byte-fallback share, least bits of the commonest token)
 #: by language or script.
-#: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words).
-SLACK = 1.0
+#: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words). What fit_bands() takes off, or adds.
+SLACK, MARGIN, TAIL = 1.0, 0.3, 0.001
+#: Rounded from fit_bands() on the labelled documents of even number at sf0.1; `latin` and `other` are for languages without labels.
 BANDS = {
-    "en": (2.11, 9.0, 5.3, 0.10, 3.1),
-    "de": (2.22, 9.0, 5.3, 0.10, 3.1),
-    "fr": (1.92, 9.0, 5.3, 0.10, 3.1),
-    "es": (1.95, 9.0, 5.3, 0.10, 3.1),
-    "latin": (1.84, 9.0, 5.3, 0.15, 3.1),
+    "en": (1.8, 9.0, 5.2, 0.10, 3.1),
+    "de": (1.9, 9.0, 5.5, 0.10, 3.1),
+    "fr": (1.6, 9.0, 5.3, 0.10, 3.1),
+    "es": (1.7, 9.0, 5.4, 0.10, 3.1),
+    "latin": (1.6, 9.0, 5.2, 0.15, 3.1),
     "other": (0.40, 9.0, 4.5, 0.95, 2.5),
 }
 #: Words whose tokens a worker remembers; beyond it the memory starts afresh.
@@ -129,6 +130,19 @@ def statistics(docs: DataFrame, ranks_path: str, pieces_path: str, keep: tuple[s
     return out.select(*[F.col("own")[c].alias(c) for c in own], *texts, *names[:10], F.col("own")["_band"].alias("band"))
 
 
+def fit_bands(stats: DataFrame, good: str = "quality", most_chars: float = 9.0) -> dict[str, tuple[float, ...]]:
+    """Bands by language from rows with statistics and a column that is 1 for good texts: one row a language is collected.
+
+    Of the good rows that pass the base rules, the TAIL quantile of each measure, MARGIN beyond. Only good rows count, so that
+    a band does not creep up to the bad ones; labels are the only input besides the measures.
+    """
+    rows = verdicts(stats).where((F.col(good) == 1) & ~F.col("base_failed") & F.col("band").isNotNull())
+    q = lambda c, p: F.percentile_approx(c, F.lit(p), 10_000)
+    chars = F.col("chars_per_token") + SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))
+    found = rows.groupBy("band").agg(q(chars, TAIL).alias("c"), q("token_entropy", TAIL).alias("t"), q("fallback_share", 1 - TAIL).alias("f"), q("min_entropy", TAIL).alias("m")).collect()
+    return {r["band"]: (r["c"] - MARGIN, most_chars, r["t"] - MARGIN, min(1.0, r["f"] + MARGIN / 3), r["m"] - MARGIN) for r in found}
+
+
 def verdicts(stats: DataFrame, bands: dict = BANDS) -> DataFrame:
     """base_failed and kept from the statistics and a `band` column; unknown bands are those of the script."""
     of = F.coalesce(*[F.when(F.col("band") == k, F.lit(k)) for k in bands], F.col("script"))
