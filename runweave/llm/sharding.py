@@ -29,6 +29,8 @@ def fill(shards: list[str], slots: int = SLOTS) -> np.ndarray:
     owner = np.full(slots, -1, np.int64)
     if not shards:
         return owner
+    if len(shards) > slots:
+        raise ValueError(f"{len(shards)} shards need as many slots, not {slots}")
     digests = [hashlib.md5(s.encode()).digest() for s in shards]
     at = [int.from_bytes(d[:8], "little") % slots for d in digests]
     skip = [int.from_bytes(d[8:], "little") % (slots - 1) + 1 for d in digests]
@@ -50,8 +52,9 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 def place(spark: SparkSession, rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """rows with the columns slot and shard; columns of these names are replaced. Equal keys go to one shard."""
     table = spark.createDataFrame([(i, shards[s] if s >= 0 else None) for i, s in enumerate(fill(shards, slots).tolist())], "_slot long, _shard string")
-    placed = rows.withColumn("slot", slot(F.col(key), slots)).drop("shard")
-    return placed.join(F.broadcast(table), placed["slot"] == table["_slot"], "left").withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    placed = rows.select(F.struct(*kept).alias("own"), slot(F.col(key), slots).alias("_slot"))
+    return placed.join(F.broadcast(table), "_slot", "left").select("own.*", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
 
 
 def op9_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
