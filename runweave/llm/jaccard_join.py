@@ -35,7 +35,7 @@ APART = int(math.log(100 / PERCENT) / STEP) + 1
 RARE, FREQUENT = 1000, 64
 #: Sets that one tree takes at most, and at least before a group is split; larger groups are dealt into blocks of about half as
 #: many, and each two blocks meet. See tree_sets().
-GROUP_SETS, GROUP_LEAST = 20_000, 2_000
+GROUP_SETS, GROUP_LEAST = 20_000, 1_000
 #: Shingles that one exact traversal takes, by the same rule.
 GROUP_SHINGLES = 16_000_000
 #: Documents of one set from which joins on the set are salted, and salts.
