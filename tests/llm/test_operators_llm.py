@@ -74,6 +74,26 @@ def test_quality_repeats_and_lines():
     assert quality.repeated_words(b"a b c".split()) == 0
 
 
+def test_bands_from_labels_keep_and_reject_others(spark):
+    """Bands of the labelled documents of even number, on those of odd number; the built-in bands on all."""
+    folder = "/root/testdata/sf0.01"
+    stats = quality.statistics(common.table(spark, folder, "documents"), *quality.paths(), ("doc_id",)).join(common.table(spark, folder, "labels"), "doc_id")
+    fitted = quality.fit_bands(stats.where("doc_id % 2 = 0"))
+    assert set(fitted) == {"en", "de", "fr", "es"}
+    for bands, part in (({**quality.BANDS, **fitted}, "doc_id % 2 = 1"), (quality.BANDS, "true")):
+        told = quality.verdicts(stats.where(part), bands).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+        assert dict(told)[1] >= 0.98 and dict(told)[0] <= 0.05
+
+
+def test_verdicts_equal_brute_force(spark, docs):
+    rows = quality.assess(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")), ("doc_id",)).collect()
+    for r in rows:
+        low, high, entropy, share, least = quality.BANDS[r["band"] if r["band"] in quality.BANDS else r["script"]]
+        inside = r["n_words"] > 0 and low - 1 / math.sqrt(r["n_words"]) <= r["chars_per_token"] <= high and r["token_entropy"] >= entropy and r["fallback_share"] <= share and r["min_entropy"] >= least
+        assert r["kept"] == (not r["base_failed"] and inside)
+    assert any(r["kept"] for r in rows) and not all(r["kept"] for r in rows)
+
+
 def test_token_measures_match_whole_text_encoding():
     import base64
 
@@ -237,6 +257,27 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(spark, packing.pieces(empty, packing.vocabulary_path()), 4096).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_under_every_capacity(spark, rule):
+    """Documents and attention bind before tokens do; repeated rows, null ids and clashing names are dealt by place."""
+    rows = [(None if i % 3 else i, 0, 1 + i * i % 40, "x") for i in range(600)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, own string").withColumns({"_part": F.lit(1), "_rank": F.lit(2), "offset": F.lit(3)})
+    out = packing.pack(spark, parts, 100, max_docs=4, max_attention=1700, rule=rule)
+    assert out.columns == ["doc_id", "piece", "length", "own", "_part", "_rank", "sequence_id", "offset"]
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(map(len, got.values())) == 600
+    tight = {"documents": 0, "attention": 0}
+    for items in got.values():
+        items.sort()
+        assert [o for o, _ in items] == list(np.cumsum([0] + [n for _, n in items[:-1]]))
+        assert sum(n for _, n in items) <= 100 and len(items) <= 4 and sum(n * n for _, n in items) <= 1700
+        tight["documents"] += len(items) == 4
+        tight["attention"] += sum(n * n for _, n in items) > 1500
+    assert all(tight.values())
+
+
 def test_special_strings_and_marks():
     from tokenizers import Tokenizer
 
@@ -603,6 +644,43 @@ def test_copies_edited_at_head_middle_and_tail():
             assert [(k, s >= 80) for _, k, s, _ in found] == [(i, True)], (n, where)
 
 
+def test_recall_at_the_edge():
+    """Copies with random edits that bring them near the limit, against the exact similarity: at least 0.95 are found."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
+    items = [fresh(rng.randrange(12, 300)) for _ in range(60)]
+    index = contamination.Index([(i, " ".join(x)) for i, x in enumerate(items)])
+    want = found = 0
+    for i, x in enumerate(items):
+        for _ in range(5):
+            copy, last = list(x), list(x)
+            while True:
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.randrange(2)] = fresh(rng.randrange(1, 3))
+                a, b = contamination.similarity(contamination.normal(" ".join(copy)), contamination.normal(" ".join(x)))
+                if 100 * a < 82 * b:
+                    break
+                last = list(copy)
+            text = " ".join(fresh(rng.randrange(40)) + last + fresh(30))
+            own = contamination.normal(text)
+            item = contamination.normal(" ".join(x))
+            if any(100 * a >= 80 * b for p in range(max(1, len(own) - len(item) + 1)) for a, b in [contamination.similarity(own[p : p + len(item)], item)]):
+                want += 1
+                found += any(k == i for _, k, _, _ in contamination._find(index, [text]))
+    assert want >= 250 and found >= 0.95 * want
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, prose(30, 900 + i)) for i in range(9)] * 2, "item_id long, text string")
+    given = spark.createDataFrame([(i, f"{prose(20, i)} {prose(30, 900 + i)} {prose(10, 50)}") for i in range(9)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("item_id", "similarity", "first_word", "name", "sent")})
+    for limits in ((50_000, 1 << 25), (2, 1 << 25), (50_000, 100)):
+        monkeypatch.setattr(contamination, "ITEMS", limits[0])
+        monkeypatch.setattr(contamination, "ITEM_BYTES", limits[1])
+        assert sorted((r["doc_id"], r["item_id"]) for r in contamination.matches(spark, given, items).collect()) == [(i, i) for i in range(9)]
+        assert contamination.clean(spark, given, items.where("item_id > 3")).columns == given.columns
+        assert sorted(r["doc_id"] for r in contamination.clean(spark, given, items.where("item_id > 3")).collect()) == [0, 1, 2, 3]
+
+
 def test_very_long_text_is_searched_whole():
     item = prose(50, 5)
     w = (" ".join(prose(3000, i) for i in range(50)) + " " + item).split()
@@ -638,6 +716,24 @@ def test_placement(spark, docs, empty):
         key = b"" if r["doc_id"] is None else str(r["doc_id"]).encode()
         assert r["slot"] == int(hashlib.md5(key).hexdigest()[:12], 16) % sharding.SLOTS and r["shard"] == names[table[r["slot"]]]
     assert sharding.place(spark, empty, "doc_id", names).count() == 0
+    odd = docs.withColumns({"_slot": F.lit(1), "_shard": F.lit("x"), "own": F.lit(2)})
+    assert {(r["_slot"], r["_shard"], r["own"]) for r in sharding.place(spark, odd, "doc_id", names).collect()} == {(1, "x", 2)}
+    with pytest.raises(ValueError, match="slots"):
+        sharding.fill(names, 3)
+
+
+def test_table_is_filled_by_turns():
+    """The table claimed slot by slot from whole preference lists."""
+    names, slots = [f"n{i}" for i in range(7)], 101
+    orders = []
+    for name in names:
+        d = hashlib.md5(name.encode()).digest()
+        start, skip = int.from_bytes(d[:8], "little") % slots, int.from_bytes(d[8:], "little") % (slots - 1) + 1
+        orders.append([(start + skip * k) % slots for k in range(slots)])
+    owner = {}
+    for turn in range(slots):
+        owner[next(s for s in orders[turn % 7] if s not in owner)] = turn % 7
+    assert sharding.fill(names, slots).tolist() == [owner[s] for s in range(slots)]
 
 
 # Language identification
