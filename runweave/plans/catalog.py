@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import dag, decisions, monitoring, timeseries
-from ..sources import shared
+from ..sources import results, shared
 from ..sources.bridge import duckdb, load
 from ..streaming import ingest
 
@@ -361,12 +361,15 @@ def manager_order(spark, node):
 _MESSAGES = """SELECT CASE event_type WHEN 'signup' THEN 'TRY_INFO' WHEN 'click' THEN 'FIRST' WHEN 'purchase' THEN 'LAST' ELSE 'RESOURCE_INFO' END AS type, concat('run-', CAST(user_id % 5 AS VARCHAR)) AS run_id, user_id AS task_id, event_id % 4 AS try_id, event_id AS seq, ts FROM events"""
 
 
-def deferred_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worker statuses of a finished message log in which tries' rows come late; the stream's operator gives the same."""
+def _worker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_type") == "signup", "TRY_INFO").when(F.col("event_type") == "click", "FIRST").when(F.col("event_type") == "purchase", "LAST").otherwise("RESOURCE_INFO")
-    messages = events.select(kind.alias("type"), F.concat(F.lit("run-"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.col("user_id").alias("task_id"), (F.col("event_id") % 4).alias("try_id"), F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"))
-    return ingest.worker_status_batch(messages)
+    return events.select(kind.alias("type"), F.concat(F.lit("run-"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.col("user_id").alias("task_id"), (F.col("event_id") % 4).alias("try_id"), F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"))
+
+
+def deferred_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker statuses of a finished message log in which tries' rows come late."""
+    return ingest.worker_status_batch(_worker_messages(spark, sf_dir))
 
 
 QUERIES["deferred_first_message"] = deferred_first_message
@@ -375,6 +378,46 @@ ORACLES["deferred_first_message"] = f"""WITH m AS ({_MESSAGES}), y AS (SELECT ru
         UNION ALL SELECT m.run_id, m.task_id, m.try_id, 'running', m.ts, m.seq FROM m JOIN y USING (run_id, task_id, try_id) WHERE m.type = 'FIRST' AND (m.seq > y.seq OR m.seq = (SELECT max(q.seq) FROM m q WHERE q.type = 'FIRST' AND q.run_id = m.run_id AND q.task_id = m.task_id AND q.try_id = m.try_id AND q.seq < y.seq))"""
 
 
+def _streamed(spark: SparkSession, messages: DataFrame) -> tuple[DataFrame, str]:
+    """The messages, written aside as finished files, as a stream; and a folder for what is made of them."""
+    base = shared.fresh(spark, "stream")
+    messages.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{base}/in")
+    return ingest.read(spark, f"{base}/in"), base
+
+
+def streamed_worker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deferred_first_message by the stateful stream operator, from files to a file sink."""
+    stream, base = _streamed(spark, _worker_messages(spark, sf_dir))
+    out = ingest.worker_status(stream)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+QUERIES["streamed_worker_status"] = streamed_worker_status
+ORACLES["streamed_worker_status"] = ORACLES["deferred_first_message"]
+
+
+@_query(("task",), "SELECT run_id, task_id, task_func_name, task_fail_count, task_hashsum FROM task")
+def streamed_tasks(spark, task):
+    """Task rows that come as two messages each through the ingest, and their state after both: the second has only what changed."""
+    body = lambda **c: F.to_json(F.struct("run_id", "task_id", *[v.alias(k) for k, v in c.items()]))
+    first = body(task_func_name=F.col("task_func_name"), task_hashsum=F.col("task_hashsum"), task_fail_count=F.lit(-1))
+    head = lambda seq, payload: task.select(F.lit("TASK_INFO").alias("type"), "run_id", "task_id", F.lit(seq).alias("seq"), payload.alias("payload"))
+    stream, base = _streamed(spark, head(2, body(task_fail_count=F.col("task_fail_count"))).unionByName(head(1, first)))
+    ingest.ingest(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    log = spark.read.parquet(f"{base}/out/task").select("seq", "run_id", F.col("task_id").cast("long").alias("task_id"), "task_func_name", "task_fail_count", "task_hashsum")
+    return monitoring.upsert(log, ["run_id", "task_id"], ["seq"])
+
+
+@_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_id % 3, task_id) AS result FROM task WHERE task_id % 3 < 2 GROUP BY task_hashsum")
+def stored_results(spark, task):
+    """Results of two runs, appended to a table and read back: the later run's count."""
+    folder = shared.fresh(spark, "results")
+    for run in (0, 1):
+        results.append(task.where(F.col("task_id") % 3 == run).select(F.col("task_hashsum").alias("hash"), F.col("task_id").alias("result"), F.col("task_id").alias("seq")), folder, run)
+    return results.read(spark, folder)
+
+
 @_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_time_invoked, task_id) AS result FROM task GROUP BY task_hashsum")
 def latest_results(spark, task):
     return task.groupBy(F.col("task_hashsum").alias("hash")).agg(F.max_by("task_id", F.struct("task_time_invoked", "task_id")).alias("result"))
