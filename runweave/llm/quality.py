@@ -21,7 +21,7 @@ from . import common
 #: by language or script.
 #: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words). What fit_bands() takes off, or adds.
 SLACK, MARGIN, TAIL = 1.0, 0.3, 0.001
-#: Rounded from fit_bands() on the labelled documents of even number at sf0.1; `latin` and `other` are for languages without labels.
+#: Rounded down from fit_bands() on the labelled documents of even number at sf0.1; `latin` and `other` are for languages without labels.
 BANDS = {
     "en": (1.8, 9.0, 5.2, 0.10, 3.1),
     "de": (1.9, 9.0, 5.5, 0.10, 3.1),
