@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fixed value: how dates are written in texts.
+DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+
+def date_text(time: Column) -> Column:
+    return F.date_format(time, DATE_FORMAT)
+
+
+def text_seconds(text: Column) -> Column:
+    """Whole seconds since 1970 of a date text in the session's time zone; null if it is none."""
+    return F.unix_seconds(F.try_to_timestamp(text, F.lit(DATE_FORMAT)))
+
+
+def try_name(task_id: Column, try_id: Column, between: str = "-") -> Column:
+    """A try's name in plots ('-') and in logs ('.'); joins use both columns as the key."""
+    return F.concat_ws(between, task_id, try_id)
 
 
 def zip_archive(path: Column) -> Column:
@@ -62,8 +80,29 @@ def log_directory(task_id: Column) -> Column:
 
 
 def memo_key(function: Column, version: Column, *arguments: Column) -> Column:
-    """MD5 over a canonical text of a call: function, version and the JSON of the arguments, with map entries in key order.
+    """MD5 over a text of a call: function, version and the JSON of the arguments; the keys' values are this library's own.
 
-    Equal calls have equal keys; the keys' values are this library's own.
+    Maps keep the order of their entries here; memo_keys() brings them into one.
     """
     return F.md5(F.concat_ws("\x1f", function, version, *[F.coalesce(F.to_json(F.struct(a.alias("v"))), F.lit("null")) for a in arguments]).cast("binary"))
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """value with each map in it, at any depth, as its entries in the order of their keys."""
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(canonical(e["key"], kind.keyType).alias("key"), canonical(e["value"], kind.valueType).alias("value"))
+        return F.sort_array(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: canonical(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[canonical(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def memo_keys(calls: DataFrame, function: str, version: str, arguments: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
+    """calls with the column hash: equal calls have equal keys, whatever the order of the arguments and of entries in their maps.
+
+    Arguments in ignore, such as paths of logs, do not count.
+    """
+    told = [canonical(F.col(f"`{a}`"), calls.schema[a].dataType) for a in sorted(set(arguments) - set(ignore))]
+    return calls.withColumn("hash", memo_key(F.col(function), F.col(version), *told))

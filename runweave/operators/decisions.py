@@ -71,3 +71,17 @@ def dispatch_order(tasks: DataFrame, slots: int | None = None) -> DataFrame:
 def manager_order(managers: DataFrame) -> DataFrame:
     """Managers in the order in which they get tasks: greatest block_id (as text) first, those without a block last."""
     return managers.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc_nulls_last("block_id"), "id")))
+
+
+def retry_outcome(tries: DataFrame, retries: float) -> DataFrame:
+    """For each task of a log of tries (run_id, task_id, try_id, cost; null cost for a success): how it ends if costs are bounded.
+
+    A try runs as long as those before it failed and their costs never summed to more than retries. The window is by task.
+    """
+    w = Window.partitionBy("run_id", "task_id").orderBy("try_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("run_id", "task_id").orderBy("try_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = tries.select("run_id", "task_id", "try_id", "cost").withColumn("spent", F.coalesce(F.sum("cost").over(upto), F.lit(0.0)))
+    runs = F.coalesce(~F.bool_or(F.col("cost").isNull()).over(w) & (F.max("spent").over(w) <= retries), F.lit(True))
+    made = t.withColumn("runs", runs).where("runs")
+    ends = F.when(F.bool_or(F.col("cost").isNull()), "exec_done").otherwise("failed")
+    return made.groupBy("run_id", "task_id").agg(F.count("*").alias("tries"), F.max_by("spent", "try_id").alias("fail_cost"), ends.alias("final_state"))

@@ -113,3 +113,28 @@ def throughput(tries: DataFrame) -> DataFrame:
     t = tries.where(F.col("task_try_time_returned").isNotNull()).select("run_id", seconds("task_try_time_launched").alias("l"), seconds("task_try_time_returned").alias("r"))
     out = t.groupBy("run_id").agg(F.count("*").alias("tries"), (F.max("r") - F.min("l")).alias("seconds"), F.min(F.col("r") - F.col("l")).alias("least"), F.round(F.avg(F.col("r") - F.col("l")), 3).alias("mean"), F.max(F.col("r") - F.col("l")).alias("greatest"))
     return out.withColumn("rate", F.round(F.when(F.col("seconds") > 0, F.col("tries") / F.col("seconds")), 9))
+
+
+def run_pages(asked: DataFrame, workflows: DataFrame, resources: DataFrame) -> DataFrame:
+    """What can be shown of each run_id asked for: 'unknown' runs have no row, 'no resources' have no samples, else 'resources'."""
+    known = asked.select("run_id").join(workflows.select("run_id").distinct().withColumn("known", F.lit(True)), "run_id", "left")
+    sampled = known.join(resources.select("run_id").distinct().withColumn("sampled", F.lit(True)), "run_id", "left")
+    return sampled.select("run_id", F.when(F.col("known").isNull(), "unknown").when(F.col("sampled").isNull(), "no resources").otherwise("resources").alias("page"))
+
+
+def key_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one of the two has, and which: one aggregation, combined before its shuffle."""
+    both = left.select(*keys, F.lit(1).alias("side")).unionByName(right.select(*keys, F.lit(2).alias("side")))
+    sides = both.groupBy(*keys).agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least = most")
+    return sides.select(*keys, F.when(F.col("least") == 1, "left").otherwise("right").alias("side"))
+
+
+def state_log(tasks: DataFrame, tries: DataFrame) -> DataFrame:
+    """The states that tasks and their tries went through, as rows of the status table: no shuffle, each row is told once.
+
+    A try is launched and runs; a task is pending from its call, and in its final state from its return. try_id is null for a task.
+    """
+    state = lambda name, time: F.struct(F.lit(name).alias("task_status_name") if isinstance(name, str) else name.alias("task_status_name"), F.col(time).alias("timestamp"))
+    of_try = tries.select("run_id", "task_id", "try_id", F.inline(F.array(state("launched", "task_try_time_launched"), state("running", "task_try_time_running"))))
+    of_task = tasks.select("run_id", "task_id", F.lit(None).cast("long").alias("try_id"), F.inline(F.array(state("pending", "task_time_invoked"), state(F.col("final_state"), "task_time_returned"))))
+    return of_try.unionByName(of_task).where(F.col("timestamp").isNotNull())

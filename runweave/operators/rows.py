@@ -3,11 +3,39 @@
 from __future__ import annotations
 
 import os
+import signal
 import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def zipped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each position of the array columns, up to the shortest one, with the position as `place`; in place of the arrays."""
+    least = F.least(*[F.size(c) for c in columns]) if len(columns) > 1 else F.size(columns[0])
+    kept = [c for c in rows.columns if c not in columns]
+    whole = rows.where(least > 0).select(*[F.col(f"`{c}`") for c in kept], F.posexplode(F.arrays_zip(*[F.slice(c, 1, least).alias(c) for c in columns])).alias("place", "_at"))
+    return whole.select(*[F.col(f"`{c}`") for c in kept], "place", *[F.col("_at").getField(c).alias(c) for c in columns])
+
+
+def within(f: Callable, seconds: float) -> Callable:
+    """f, ended by a TimeoutError after the seconds. For the main thread, in which Python workers run."""
+
+    def end(*_):
+        raise TimeoutError(f"no end after {seconds} s")
+
+    def run(*args):
+        before = signal.signal(signal.SIGALRM, end)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return f(*args)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return run
 
 
 def in_slices(batches: Iterator[pd.DataFrame], columns: list[str], f: Callable[[dict], tuple], most_bytes: int) -> Iterator[pd.DataFrame]:
@@ -23,11 +51,12 @@ def in_slices(batches: Iterator[pd.DataFrame], columns: list[str], f: Callable[[
                 done, first, size = [], i, 0
 
 
-def map_rows(rows: DataFrame, column: str, f: Callable, result: str) -> DataFrame:
+def map_rows(rows: DataFrame, column: str, f: Callable, result: str, walltime: float | None = None) -> DataFrame:
     """rows with the columns result (of the type given as 'name type') and error: f of the column's value, or why it failed.
 
-    The order of rows is kept in each partition; a failing row does not end the job.
+    The order of rows is kept in each partition; a failing row does not end the job, nor does one that takes over walltime seconds.
     """
+    f = within(f, walltime) if walltime else f
     name = result.split()[0]
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + f", {result}, error string"
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import dag, decisions, monitoring, timeseries
-from ..sources import results, shared
+from ..operators import dag, decisions, monitoring, rows, timeseries
+from ..sources import archives, logs, results, schemas, shared
 from ..sources.bridge import duckdb, load
 from ..streaming import ingest
 
@@ -508,3 +508,160 @@ def scalar_functions(spark, task):
     path = scalars.url_path(url)
     return task.select("task_id", scalars.url_scheme(url).alias("scheme"), path.alias("path"), scalars.file_name(url).alias("name"), scalars.zip_archive(path).alias("archive"), scalars.zip_member(path).alias("member"), scalars.walltime_minutes(time).cast("long").alias("minutes"),
                        scalars.dns_label(F.concat("task_func_name", F.lit("--"), "run_id", F.lit("."))).alias("label"), scalars.log_directory(F.col("task_id")).alias("logs"))
+
+
+@_query(("task",), """SELECT task_id, strftime(task_time_invoked, '%Y-%m-%d %H:%M:%S') AS "text", epoch(task_time_invoked)::BIGINT AS seconds, TRUE AS no_date, run_id || '-' || task_id AS plot_name, run_id || '.' || task_id AS log_name FROM task""")
+def date_texts(spark, task):
+    text = scalars.date_text(F.col("task_time_invoked"))
+    names = [scalars.try_name(F.col("run_id"), F.col("task_id"), b).alias(n) for b, n in (("-", "plot_name"), (".", "log_name"))]
+    return task.select("task_id", text.alias("text"), scalars.text_seconds(text).alias("seconds"), scalars.text_seconds(F.concat(F.lit("x"), text)).isNull().alias("no_date"), *names)
+
+
+@_query(("task",), """SELECT task_id, md5(task_func_name || chr(31) || '1' || chr(31) || '{"v":[{"key":"a","value":"' || run_id || '"},{"key":"b","value":"' || task_fail_count || '"}]}' || chr(31) || '{"v":[' || task_fail_count || ',7]}') AS hash FROM task""")
+def call_keys(spark, task):
+    """Keys of calls whose map arguments have their entries in either order, and which differ in an ignored argument."""
+    a, b, count = F.lit("a"), F.lit("b"), F.col("task_fail_count").cast("string")
+    options = F.when(F.col("task_id") % 2 == 0, F.create_map(a, F.col("run_id"), b, count)).otherwise(F.create_map(b, count, a, F.col("run_id")))
+    calls = task.select("task_id", "task_func_name", F.lit("1").alias("version"), options.alias("options"), F.array("task_fail_count", F.lit(7)).alias("sizes"), F.col("task_id").alias("stdout"))
+    return scalars.memo_keys(calls, "task_func_name", "version", ["sizes", "stdout", "options"], ignore=("stdout",)).select("task_id", "hash")
+
+
+# Runs that are asked for, keys of one side only, states by time, retries.
+
+
+@_query(("task", "workflow", "node"), """WITH a AS (SELECT DISTINCT run_id FROM task UNION ALL SELECT DISTINCT 'lost-' || run_id FROM task), n AS (SELECT DISTINCT run_id FROM node WHERE id % 1000 = 0)
+        SELECT run_id, CASE WHEN run_id NOT IN (SELECT run_id FROM workflow) THEN 'unknown' WHEN run_id NOT IN (SELECT run_id FROM n) THEN 'no resources' ELSE 'resources' END AS page FROM a""")
+def run_pages(spark, task, workflow, node):
+    """Runs of the tasks and as many that do not exist; reports of every thousandth node stand for samples, so that some runs have none."""
+    runs = task.select("run_id").distinct()
+    asked = runs.unionByName(runs.select(F.concat(F.lit("lost-"), "run_id").alias("run_id")))
+    return monitoring.run_pages(asked, workflow, node.where("id % 1000 = 0"))
+
+
+@_query(("workflow",), "SELECT run_id, workflow_name FROM workflow ORDER BY run_id LIMIT 1")
+def first_workflow(spark, workflow):
+    return workflow.select("run_id", "workflow_name").orderBy("run_id").limit(1)
+
+
+@_query(("task", "try"), """SELECT run_id, task_id, 'left' AS side FROM task t WHERE NOT EXISTS (SELECT 1 FROM "try" y WHERE y.run_id = t.run_id AND y.task_id = t.task_id AND y.try_id > 2)
+        UNION ALL SELECT DISTINCT run_id, task_id, 'right' FROM "try" y WHERE try_id > 2 AND NOT EXISTS (SELECT 1 FROM task t WHERE y.run_id = t.run_id AND y.task_id = t.task_id)""")
+def tasks_without_third_try(spark, task, tries):
+    return monitoring.key_difference(task, tries.where("try_id > 2"), ["run_id", "task_id"])
+
+
+@_query(("task", "try"), """SELECT run_id, task_id, try_id, 'launched' AS task_status_name, task_try_time_launched AS "timestamp" FROM "try" WHERE task_try_time_launched IS NOT NULL
+        UNION ALL SELECT run_id, task_id, try_id, 'running', task_try_time_running FROM "try" WHERE task_try_time_running IS NOT NULL
+        UNION ALL SELECT run_id, task_id, -1, 'pending', task_time_invoked FROM task WHERE task_time_invoked IS NOT NULL UNION ALL SELECT run_id, task_id, -1, final_state, task_time_returned FROM task WHERE task_time_returned IS NOT NULL""")
+def state_log(spark, task, tries):
+    return monitoring.state_log(task, tries).withColumn("try_id", F.coalesce("try_id", F.lit(-1).cast("long")))
+
+
+@_query(("try",), """WITH c AS (SELECT run_id, task_id, try_id, CASE WHEN hash % 5 > 1 THEN (1 + hash % 3) / 2.0 END::DOUBLE AS cost FROM (SELECT *, task_id * 7 + try_id * 3 AS hash FROM "try")),
+        walk(run_id, task_id, try_id, spent, cost) AS (SELECT run_id, task_id, try_id, coalesce(cost, 0), cost FROM c WHERE try_id = 0 UNION ALL SELECT c.run_id, c.task_id, c.try_id, w.spent + coalesce(c.cost, 0), c.cost FROM walk w JOIN c ON c.run_id = w.run_id AND c.task_id = w.task_id AND c.try_id = w.try_id + 1 WHERE w.cost IS NOT NULL AND w.spent <= 2)
+        SELECT run_id, task_id, count(*) AS tries, max(spent) AS fail_cost, CASE WHEN bool_or(cost IS NULL) THEN 'exec_done' ELSE 'failed' END AS final_state FROM walk GROUP BY ALL""")
+def retry_outcome(spark, tries):
+    n = F.col("task_id") * 7 + F.col("try_id") * 3
+    return decisions.retry_outcome(tries.select("run_id", "task_id", "try_id", F.when(n % 5 > 1, (1 + n % 3) / 2).alias("cost")), 2)
+
+
+# Functions and commands by row.
+
+
+@_query(("task",), """SELECT run_id, task_id, unnest(range(least(len(string_split(task_depends, ',')), task_fail_count + 1)))::INT AS place, unnest(string_split(task_depends, ',')[:task_fail_count + 1]) AS depend, unnest(range(least(len(string_split(task_depends, ',')), task_fail_count + 1)))::INT * 10 AS n FROM task WHERE task_depends IS NOT NULL""")
+def zipped_arguments(spark, task):
+    """Two arrays of each task, position by position up to the shorter one's end."""
+    two = task.select("run_id", "task_id", F.split("task_depends", ",").alias("depend"), F.transform(F.sequence(F.lit(0), F.col("task_fail_count")), lambda i: i * 10).alias("n"))
+    return rows.zipped(two, ["depend", "n"])
+
+
+@_query(("node",), """SELECT id, CASE WHEN cpu_count % 5 > 0 THEN 60.0::DOUBLE / (cpu_count % 5) END AS share, CASE WHEN cpu_count % 5 = 0 THEN 'ZeroDivisionError' END AS error FROM node""")
+def mapped_rows(spark, node):
+    """A function of each row, which fails for some."""
+    out = rows.map_rows(node.select("id", (F.col("cpu_count") % 5).alias("v")), "v", lambda v: 60.0 / int(v), "share double", walltime=60)
+    return out.select("id", "share", F.substring_index("error", ":", 1).alias("error"))
+
+
+def command_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command for each nation, with exit codes and outputs that are not there."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    made = F.array(F.lit("/bin/bash"), F.concat(F.lit("/no/such/file-"), "n_nationkey"))
+    given = nation.select("n_nationkey", F.concat(F.lit("echo key "), "n_nationkey", F.lit("; exit "), F.col("n_nationkey") % 3).alias("command"), made.alias("made"))
+    return rows.run_commands(given, "command", outputs="made").select("n_nationkey", "exit_code", "stdout", F.concat_ws(",", "missing").alias("missing"))
+
+
+QUERIES["command_rows"] = command_rows
+ORACLES["command_rows"] = "SELECT n_nationkey, CAST(n_nationkey % 3 AS INT) AS exit_code, 'key ' || n_nationkey || chr(10) AS stdout, '/no/such/file-' || n_nationkey AS missing FROM nation"
+
+
+# Tables, archives, logs and messages as they are stored.
+
+
+@_query(("workflow",), "SELECT run_id, workflow_name, host, TRUE AS uncounted, 2::BIGINT AS n FROM workflow")
+def created_tables(spark, workflow):
+    """Tables made where there were none, and runs inserted twice: the key check reports each."""
+    folder = shared.fresh(spark, "tables")
+    for _ in range(2):
+        schemas.create(spark, folder)
+        schemas.insert(workflow, folder, "workflow")
+    kept = schemas.table(spark, folder, "workflow")
+    return kept.select("run_id", "workflow_name", "host", F.col("tasks_failed_count").isNull().alias("uncounted")).distinct().join(schemas.duplicate_keys(kept, "workflow"), "run_id")
+
+
+@_query(("status",), "SELECT task_id, run_id, task_status_name, \"timestamp\", count(*) AS n FROM status GROUP BY ALL HAVING count(*) > 1")
+def repeated_statuses(spark, status):
+    return schemas.duplicate_keys(schemas.conform(status, "status"), "status")
+
+
+@_query(("block",), "SELECT run_id, block_id, lower(status) AS status FROM block WHERE status = 'MISSING'")
+def unknown_block_states(spark, block):
+    """Blocks of a source that writes one state in small letters, which the domain does not have."""
+    told = block.withColumn("status", F.when(F.col("status") == "MISSING", "missing").otherwise(F.col("status")))
+    return schemas.unknown_states(told, "block").select("run_id", "block_id", "status")
+
+
+@_query(("task",), "SELECT task_func_name AS archive, 'run/' || task_id || '.txt' AS member, md5(task_hashsum || task_id) AS content FROM task")
+def zipped_members(spark, task):
+    """A file for each task, in one archive for each function, packed into zip files and taken out of them."""
+    files = task.select(F.col("task_func_name").alias("archive"), F.concat(F.lit("run/"), "task_id", F.lit(".txt")).alias("member"), F.concat("task_hashsum", "task_id").cast("binary").alias("content"))
+    return archives.members_of(archives.to_zips(files), r"^run/\d+\.txt$").withColumn("content", F.md5("content"))
+
+
+@_query(("status",), """SELECT CASE WHEN task_id % 3 > 0 THEN 'run.' || task_status_name END AS name, CASE WHEN task_id % 3 > 0 THEN CASE WHEN task_status_name = 'failed' THEN 'ERROR' ELSE 'INFO' END END AS "level",
+        CASE WHEN task_id % 3 > 0 THEN 'task ' || task_id ELSE 'at task ' || task_id END AS message, count(*) AS n FROM status GROUP BY ALL""")
+def text_logs(spark, status):
+    """Statuses written as lines of a text log, some of them without a head, and read back."""
+    path = shared.fresh(spark, "log")
+    level = F.when(F.col("task_status_name") == "failed", "ERROR").otherwise("INFO")
+    head = F.format_string("1.5 2024-01-01 00:00:00 run.%s:12 Main(1) Thread [%s]  task %d", F.col("task_status_name"), level, F.col("task_id"))
+    status.select(F.when(F.col("task_id") % 3 > 0, head).otherwise(F.concat(F.lit("at task "), "task_id"))).write.text(path)
+    return logs.read_text_log(spark, path).groupBy("name", "level", "message").agg(F.count("*").alias("n"))
+
+
+@_query(("status",), """SELECT CASE WHEN task_id % 3 > 0 THEN task_status_name END AS message, task_id % 3 = 0 AS bad, count(*) AS n, coalesce(sum(task_id) FILTER (task_id % 3 > 0), 0)::BIGINT AS threads FROM status GROUP BY ALL""")
+def json_logs(spark, status):
+    """Statuses written as a JSON log, some lines of which are none, and read back."""
+    path = shared.fresh(spark, "log")
+    line = F.to_json(F.struct(F.col("task_status_name").alias("message"), F.col("task_id").alias("thread")))
+    status.select(F.when(F.col("task_id") % 3 > 0, line).otherwise(F.concat(F.lit("{at task "), "task_id"))).write.text(path)
+    read = logs.read_json_log(spark, path).select("message", "thread", F.col("_corrupt_record").isNotNull().alias("bad"))
+    return read.groupBy("message", "bad").agg(F.count("*").alias("n"), F.coalesce(F.sum("thread"), F.lit(0)).alias("threads"))
+
+
+@_query(("task",), """WITH k AS (SELECT task_hashsum AS hash, max(task_id) AS result FROM task WHERE task_id % 3 = 0 AND task_id % 5 > 0 GROUP BY ALL)
+        SELECT t.task_hashsum AS hash, count(*) AS calls, coalesce(k.result, -1) AS result FROM task t LEFT JOIN k ON k.hash = t.task_hashsum GROUP BY ALL""")
+def reused_results(spark, task):
+    """Calls by whether an earlier run has a result; those that failed there were not kept."""
+    folder = shared.fresh(spark, "results")
+    calls = task.select(F.col("task_hashsum").alias("hash"), F.col("task_id").alias("result"), F.col("task_id").alias("seq"), F.when(F.col("task_id") % 5 == 0, "failed").alias("error"))
+    results.append(calls.where("seq % 3 = 0"), folder, 0)
+    counted = calls.groupBy("hash").agg(F.count("*").alias("calls"))
+    have, need = results.split(counted, results.read(spark, folder))
+    return have.unionByName(need.withColumn("result", F.lit(-1).cast("long")))
+
+
+@_query(("task",), """SELECT task_id AS seq FROM task WHERE task_id % 4 = 0 UNION ALL SELECT task_id FROM task WHERE task_id % 4 = 1""")
+def rejected_messages(spark, task):
+    """Messages of an unknown type, and of a known one whose payload is no JSON object."""
+    kind = F.when(F.col("task_id") % 4 == 0, "ODD_INFO").when(F.col("task_id") % 4 == 3, "FIRST").otherwise("TASK_INFO")
+    payload = F.when(F.col("task_id") % 4 == 1, "{broken").otherwise(F.to_json(F.struct("run_id", "task_id")))
+    return ingest.rejected(task.select(kind.alias("type"), "run_id", "task_id", F.col("task_id").alias("seq"), payload.alias("payload"))).select("seq")

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+from .sources import logs
+
 
 @dataclass
 class Config:
@@ -49,3 +51,22 @@ def next_run(spark: SparkSession, folder: str) -> str:
     new = f"{folder}/{max([-1, *(int(n) for n in names if n.isdigit())]) + 1:03d}"
     fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(new))
     return new
+
+
+def close(spark: SparkSession, *flows, name: str = "runweave") -> list[str]:
+    """End a run in order: its flows' steps, its streams after what they have read, its log files, the session.
+
+    Returns what streams failed with; a failed one does not keep the others from ending.
+    """
+    errors = []
+    for flow in flows:
+        flow.__exit__()
+    for query in spark.streams.active:
+        try:
+            query.processAllAvailable()
+        except Exception as e:
+            errors.append(f"{query.name or query.id}: {e}")
+        query.stop()
+    logs.stop_logs(name)
+    spark.stop()
+    return errors

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 
 def read_zip(spark: SparkSession, path: str, members: str | None = None) -> DataFrame:
-    """archive, member and content of each file in the archives that path names; members is a pattern on their names.
+    """members_of() the archives that path names."""
+    return members_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"), members)
+
+
+def members_of(archives: DataFrame, members: str | None = None) -> DataFrame:
+    """archive, member and content of each file in the zip files (archive, content); members is a pattern on their names.
 
     Archives spread over tasks; members leave one by one, so a task holds one archive and one member at a time.
     """
@@ -20,13 +25,13 @@ def read_zip(spark: SparkSession, path: str, members: str | None = None) -> Data
         import re
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in z.namelist():
                         if not name.endswith("/") and (members is None or re.search(members, name)):
-                            yield pd.DataFrame({"archive": [path], "member": [name], "content": [z.read(name)]})
+                            yield pd.DataFrame({"archive": [archive], "member": [name], "content": [z.read(name)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+    return archives.select("archive", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
 def to_zips(rows: DataFrame, most_members: int = 1000) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +22,35 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
     line = F.col("value")
     part = lambda n: F.nullif(F.regexp_extract(line, r"^(\d+\.\d+) \S+ \S+ (\S+?):\d+ .*?\[(\w+)\]\s+(.*)$", n), F.lit(""))
     return spark.read.text(path).select(part(1).cast("double").alias("time"), part(2).alias("name"), part(3).alias("level"), F.coalesce(part(4), line).alias("message"))
+
+
+class JsonLines(logging.Formatter):
+    """A record as one JSON object in a line, as read_json_log() reads it."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        record.message = record.getMessage()
+        names = [c.split()[0] for c in JSON_LOG.split(", ")]
+        return json.dumps({n: getattr(record, n) for n in names})
+
+
+#: How lines of a log file are written: as read_text_log() and read_json_log() read them.
+FORMS = {"text": logging.Formatter("%(created)f %(asctime)s %(name)s:%(lineno)d %(processName)s(%(process)d) %(threadName)s [%(levelname)s]  %(message)s"), "json": JsonLines()}
+
+
+def start_log(path: str, form: str = "text", name: str = "runweave", level: int = logging.INFO) -> logging.Logger:
+    """The driver's logger of that name, writing to the file; a file is opened once a process, whoever asks again."""
+    log = logging.getLogger(name)
+    if not any(isinstance(h, logging.FileHandler) and h.get_name() == path for h in log.handlers):
+        handler = logging.FileHandler(path)
+        handler.set_name(path)
+        handler.setFormatter(FORMS[form])
+        log.addHandler(handler)
+    log.setLevel(level)
+    return log
+
+
+def stop_logs(name: str = "runweave") -> None:
+    log = logging.getLogger(name)
+    for handler in list(log.handlers):
+        log.removeHandler(handler)
+        handler.close()

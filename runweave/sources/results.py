@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def append(results: DataFrame, folder: str, run: int) -> None:
-    """Add results (hash, result, seq) of a run. Failed calls are not among them: they run again."""
+    """Add results (hash, result, seq) of a run. Where there is a column error, calls that have one stay out: they run again."""
+    if "error" in results.columns:
+        results = results.where(F.col("error").isNull())
     results.select("hash", "result", "seq").write.mode("append").parquet(f"{folder}/run={run:06d}")
 
 

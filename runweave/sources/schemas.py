@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,30 @@ def unknown_states(rows: DataFrame, name: str) -> DataFrame:
     """Rows of status or block whose state is not in the domain."""
     column, domain = {"status": ("task_status_name", TASK_STATES), "block": ("status", BLOCK_STATES)}[name]
     return rows.where(~F.col(column).isin(*domain) | F.col(column).isNull())
+
+
+def create(spark: SparkSession, folder: str) -> None:
+    """Make each table that folder does not have yet, empty."""
+    for name, schema in TABLES.items():
+        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        spark.createDataFrame([], nullable).write.mode("ignore").parquet(f"{folder}/{name}")
+
+
+def insert(rows: DataFrame, folder: str, name: str) -> None:
+    """Append rows to a table of the folder, in its columns."""
+    conform(rows, name).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 16, **options: str) -> DataFrame:
+    """A table (or a query in brackets with a name) of a database. With a number column, as parts that are read at a time.
+
+    bounds say where the column's parts lie, not what is read. Filters and columns are pushed to the database.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if column:
+        reader = reader.options(partitionColumn=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+    return reader.load()

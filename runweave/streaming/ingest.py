@@ -19,9 +19,13 @@ KEY = ("run_id", "task_id", "try_id")
 _OUT = "run_id string, task_id long, try_id long, task_status_name string, timestamp timestamp, seq long"
 
 
-def read(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Messages of the files that appear in a folder; writers rename finished files into it."""
-    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+def read(spark: SparkSession, folder: str, files_per_trigger: int = 100, bytes_per_trigger: str | None = None) -> DataFrame:
+    """Messages of the files that appear in a folder; writers rename finished files into it.
+
+    A micro-batch takes so many files, or, where bytes_per_trigger is given ('1g'), files of about so many bytes.
+    """
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(MESSAGE).option(*limit).json(folder)
 
 
 def rows_for(messages: DataFrame, name: str) -> DataFrame:

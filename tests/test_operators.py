@@ -159,3 +159,47 @@ def test_fetch_passes_bodies_on_in_slices(spark):
     urls = spark.createDataFrame([("mem://a",), ("none://b",)], "url string")
     got = {r["url"]: (r["content"], r["error"]) for r in fetch.fetch(urls, readers={"mem": lambda u, t: b"body"}, most_bytes=1).collect()}
     assert bytes(got["mem://a"][0]) == b"body" and got["mem://a"][1] is None and got["none://b"][0] is None and "nothing reads" in got["none://b"][1]
+
+
+def test_memo_keys_order_maps_and_arguments(spark):
+    given = spark.sql("select 'f' f, '1' v, i, if(i = 0, map('b', array(map('y', 1, 'x', 2)), 'a', null), map('a', null, 'b', array(map('x', 2, 'y', if(i < 2, 1, 3))))) m, null n from range(3) t(i)")
+    keys = {r["i"]: r["hash"] for r in scalars.memo_keys(given, "f", "v", ["m", "n", "i"], ignore=("i",)).collect()}
+    assert keys[0] == keys[1] != keys[2]
+    again = {r["i"]: r["hash"] for r in scalars.memo_keys(given, "f", "v", ["n", "m"]).collect()}
+    assert again == keys
+
+
+def test_walltime_ends_slow_rows_only(spark):
+    import time
+
+    given = spark.createDataFrame([(0,), (1,), (2,)], "v int")
+    got = {r["v"]: (r["w"], r["error"]) for r in rows.map_rows(given, "v", lambda v: time.sleep(20 * (v == 1)) or v, "w int", walltime=1).collect()}
+    assert got[0] == (0, None) and got[2] == (2, None) and got[1][0] is None and "TimeoutError" in got[1][1]
+
+
+def test_zipped_ends_with_the_shortest(spark):
+    given = spark.sql("select 1 `a.b`, array(5, 6, 7) x, array('p', 'q') y union all select 2, array(), array('p') union all select 3, null, array('p')")
+    assert [tuple(r) for r in rows.zipped(given, ["x", "y"]).orderBy("place").collect()] == [(1, 0, 5, "p"), (1, 1, 6, "q")]
+
+
+def test_failed_calls_stay_out_of_results(spark, tmp_path):
+    results.append(spark.createDataFrame([("h", "x", 1, None), ("g", None, 2, "boom")], "hash string, result string, seq long, error string"), f"file://{tmp_path}/r", 1)
+    assert [r["hash"] for r in results.read(spark, f"file://{tmp_path}/r").collect()] == ["h"]
+
+
+def test_database_table_in_parts(spark):
+    url = "jdbc:derby:memory:runs;create=true"
+    spark.range(10).selectExpr("id", "id * 2 as twice").write.jdbc(url, "numbers")
+    got = schemas.read_jdbc(spark, url, "numbers", "id", (2, 6), 3)
+    assert got.rdd.getNumPartitions() == 3 and sorted(r["id"] for r in got.where("twice > 4").collect()) == list(range(3, 10))
+
+
+def test_log_forms_read_back(spark, tmp_path):
+    for form, read in (("text", logs.read_text_log), ("json", logs.read_json_log)):
+        path = f"{tmp_path}/{form}.log"
+        for _ in range(2):
+            log = logs.start_log(path, form, name=f"test.{form}")
+        log.warning("disk %s", "full")
+        logs.stop_logs(f"test.{form}")
+        got = [r.asDict() for r in read(spark, f"file://{path}").collect()]
+        assert [(r["name"], r.get("level") or r["levelname"], r["message"]) for r in got] == [(f"test.{form}", "WARNING", "disk full")]
