@@ -1,4 +1,7 @@
 import http.server
+import os
+import subprocess
+import sys
 import threading
 
 from runweave import session
@@ -24,3 +27,33 @@ def test_fetch(spark, tmp_path):
     rows = {r["url"]: r for r in fetch.fetch(spark.createDataFrame([(f"{base}/a.txt",), (f"{base}/none",), ("odd://x",)], "url string"), timeout=5).collect()}
     server.shutdown()
     assert bytes(rows[f"{base}/a.txt"]["content"]) == b"hello" and "404" in rows[f"{base}/none"]["error"] and "odd" in rows["odd://x"]["error"]
+
+
+CLOSE = """
+import sys
+from runweave import session
+from runweave.operators.flow import Flow
+from runweave.sources import logs
+spark, folder = session.session(session.Config(master="local[2]", options={"spark.ui.enabled": "false"})), sys.argv[1]
+logs.start_log(folder + "/run.log").info("begun")
+flow = Flow()
+step = flow.submit(lambda: spark.range(5).count())
+rate = lambda *c: spark.readStream.format("rate").load().selectExpr(*c).writeStream.format("noop").queryName(c[0][:5])
+good = rate("value").option("checkpointLocation", folder + "/a").start()
+bad = rate("raise_error('odd')").option("checkpointLocation", folder + "/b").start()
+try:
+    bad.awaitTermination(60)
+except Exception:
+    pass
+errors = session.close(spark, (flow,), (good, bad))
+assert step.result() == 5 and not good.isActive and len(errors) == 1 and errors[0].startswith("raise"), errors
+assert "begun" in open(folder + "/run.log").read() and spark.sparkContext._jsc is None
+print("closed")
+"""
+
+
+def test_closing_a_run(tmp_path):
+    """In a process of its own, as it ends the session."""
+    env = {**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    run = subprocess.run([sys.executable, "-c", CLOSE, str(tmp_path)], env=env, capture_output=True, text=True, timeout=180)
+    assert run.stdout.strip().endswith("closed"), run.stderr[-2000:]
