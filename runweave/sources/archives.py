@@ -15,21 +15,30 @@ def read_zip(spark: SparkSession, path: str, members: str | None = None) -> Data
     return members_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"), members)
 
 
-def members_of(archives: DataFrame, members: str | None = None) -> DataFrame:
+def members_of(archives: DataFrame, members: str | None = None, most_bytes: int = 16 << 20) -> DataFrame:
     """archive, member and content of each file in the zip files (archive, content); members is a pattern on their names.
 
-    Archives spread over tasks; members leave one by one, so a task holds one archive and one member at a time.
+    Archives spread over tasks; members leave whenever their contents reach most_bytes, so a task holds one archive, about so many
+    bytes, and one member more.
     """
 
     def run(batches):
         import re
 
+        frame = lambda archive, part: pd.DataFrame({"archive": archive, "member": [n for n, _ in part], "content": [c for _, c in part]})
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    part, size = [], 0
                     for name in z.namelist():
                         if not name.endswith("/") and (members is None or re.search(members, name)):
-                            yield pd.DataFrame({"archive": [archive], "member": [name], "content": [z.read(name)]})
+                            part.append((name, z.read(name)))
+                            size += len(part[-1][1])
+                            if size >= most_bytes:
+                                yield frame(archive, part)
+                                part, size = [], 0
+                    if part:
+                        yield frame(archive, part)
 
     return archives.select("archive", "content").mapInPandas(run, "archive string, member string, content binary")
 
