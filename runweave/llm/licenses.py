@@ -2,7 +2,8 @@
 
 For every size class of notices the text is cut into windows a little longer than the class, at a stride that leaves each
 notice whole in some window. A window and a notice that share a band's minimum collide; the number of bands is set so
-that a notice of which CONTAINED percent lies in a window is missed with odds of MISS at most. Only DataFrame functions.
+that a notice of which CONTAINED percent lies in a window is missed with odds of MISS at most. Only windows near an anchor
+word are cut, since no other can hold CONTAINED percent of a notice. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from . import common
 
 WORDS, CONTAINED, MISS = 5, 80, 1e-4
 
+#: Bytes up to which the notices' band keys are broadcast; more are joined by a shuffle.
+KEY_BYTES = 16_000_000
+
 # Wording of public license notices.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -105,22 +109,29 @@ def scan(spark: SparkSession, docs: DataFrame, notices: dict[str, str] = NOTICES
     found in texts of no more words only.
     """
     known = templates(spark, notices)
-    n = bands(notices)
+    n, anchor = bands(notices), "|".join(anchors(notices))
     low = F.lower(F.col("text").cast("string"))
-    text = docs.select(F.col("doc_id").cast("long"), low.alias("text")).where(F.col("text").rlike("|".join(anchors(notices))))
+    text = docs.select(F.col("doc_id").cast("long"), low.alias("text")).where(F.col("text").rlike(anchor))
     words = F.filter(F.split(F.regexp_replace("text", "[^a-z0-9]+", " "), " "), lambda w: w != "")
     has = text.select("doc_id", words.alias("w")).where(F.size("w") > 0)
     each = lambda i: F.xxhash64(F.array_join(F.slice("w", i, WORDS), " "))
-    hashed = has.select("doc_id", F.size("w").alias("n"), F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))), each).alias("h"))
+    marked = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(anchor), i)), lambda i: i.isNotNull())
+    hashed = has.select("doc_id", F.size("w").alias("n"), marked.alias("a"), F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))), each).alias("h"))
     classes = sorted({size_class(len(normal(t))) for t in notices.values()})
 
     def cut(c: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(stride(c))), lambda i: F.struct(F.lit(c).alias("class"), i.alias("at"), F.lit(c + stride(c) - WORDS).alias("size")))
+        """Windows of a class at multiples of its stride, for each anchor all that reach it."""
+        s = stride(c)
+        near = F.array_distinct(F.transform("a", lambda i: i - i % s))
+        at = F.array_distinct(F.flatten(F.transform(near, lambda i: F.array(*(i - s * k for k in range((c + s - 2) // s + 1))))))
+        inside = F.filter(at, lambda i: (i >= 0) & (i < F.size("h")))
+        return F.transform(inside, lambda i: F.struct(F.lit(c).alias("class"), i.alias("at"), F.lit(c + s - WORDS).alias("size")))
 
     windows = hashed.select("doc_id", "n", "h", F.explode(F.concat(*map(cut, classes))).alias("x")).select("doc_id", "n", "x.class", "x.at", F.slice("h", F.col("x.at") + 1, F.col("x.size")).alias("h"))
     probes = windows.select("doc_id", "n", "class", "at", "h", F.explode(_minima(F.col("h"), n)).alias("m")).select("doc_id", "n", "class", "at", "h", "m.band", "m.low")
     keys = known.select("license", "class", "t", F.explode(_minima(F.col("t"), n)).alias("m")).select("license", "class", "t", "m.band", "m.low")
-    met = probes.join(F.broadcast(keys), ["class", "band", "low"])
+    weight = 8 * n * sum(len(_shingles(normal(t))) for t in notices.values())
+    met = probes.join(F.broadcast(keys) if weight <= KEY_BYTES else keys, ["class", "band", "low"])
     share = (100 * F.size(F.array_intersect("h", "t")) / F.size("t")).alias("containment")
     good = met.select("doc_id", "license", "at", F.least(F.col("at") + F.size("h") + WORDS - 2, F.col("n") - 1).alias("end"), share).where(F.col("containment") >= CONTAINED)
     best = good.groupBy("doc_id", "license").agg(F.max_by(F.struct("containment", "at", "end"), F.struct("containment", -F.col("at"))).alias("b"))

@@ -130,6 +130,16 @@ def test_fixity(spark):
     assert fixity.audit(spark, leaf(ours.limit(0)), leaf(ours.limit(0))).count() == 0
 
 
+def test_fixity_of_a_repeated_id(spark):
+    rows = [(7, f"u{i}", f"page {i}") for i in range(300)]
+    content = fixity.record(F.col("url"), F.col("html"))
+    leaf = lambda r: fixity.leaves(spark.createDataFrame(r, "page_id long, url string, html string").repartition(5), "page_id", content)
+    assert fixity.audit(spark, leaf(rows), leaf(rows[::-1])).count() == 0
+    swapped = [(7, "u0", "page 1"), (7, "u1", "page 0"), *rows[2:]]
+    for other in (rows[1:], rows + rows[:1], swapped):
+        assert [(r["key"], r["status"]) for r in fixity.audit(spark, leaf(rows), leaf(other)).collect()] == [(7, "corrupt")]
+
+
 def test_fixity_offsets_are_gapless(spark):
     d = spark.createDataFrame([(i, "u", "x" * (i % 50)) for i in range(1500)], "page_id long, url string, html string")
     level = fixity.tree(fixity.leaves(d, "page_id", fixity.record(F.col("url"), F.col("html"))))
@@ -324,6 +334,19 @@ def test_licenses(spark, docs, empty):
     assert licenses.bands(licenses.NOTICES) >= 10
 
 
+@pytest.mark.parametrize("key_bytes", [licenses.KEY_BYTES, 0])
+def test_licenses_at_every_place(spark, monkeypatch, key_bytes):
+    monkeypatch.setattr(licenses, "KEY_BYTES", key_bytes)
+    rows, want = [], set()
+    for name, text in licenses.NOTICES.items():
+        for before in range(45):
+            rows.append((len(rows), f"{prose(before, before)} {text} {prose(before % 7, 3)}"))
+            want.add((rows[-1][0], name))
+    rows.append((len(rows), "license " * 30_000))
+    got = licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("containment = 100").collect()
+    assert want <= {(r["doc_id"], r["license"]) for r in got}
+
+
 def test_license_anchors_lose_no_match():
     words_ = licenses.anchors(licenses.NOTICES)
     for text in licenses.NOTICES.values():
