@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, fixity, jaccard_join, language, language_model, licenses, packing, pii, quality, sharding
+from . import contamination, fixity, jaccard_join, language, language_model, licenses, neighbour_graph, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_tokenizer_fertility": quality.op1_tokenizer_fertility,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_decontamination": contamination.op8_simhash_decontamination,
     "op9_permutation_sharding": sharding.op9_permutation_sharding,
     "op10_language_id": language.op10_language_id,
+    "op13_nn_descent": neighbour_graph.op13_nn_descent,
 }
 
 #: DuckDB SQL for those whose rows SQL can express.
