@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph, signature_tree
@@ -69,7 +69,7 @@ def tree_sets(n: int, most: int, least: int) -> int:
 
 
 def _sets(batch: pa.RecordBatch):
-    for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
+    for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch.column("text")), strict=True):
         u = shingle_set(text)
         yield doc, u, set_id(u), set_check(u)
 
@@ -78,11 +78,11 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-_PROFILE = "doc_id long, n long, sid long, uid long, bits binary, h long, c long"
+_PROFILE = "doc_id long, key long, n long, sid long, uid long, bits binary, h long, c long"
 
 
 def _profile_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    kinds = (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _PROFILE.split(", ")])
 
 
@@ -90,11 +90,11 @@ def _named(sets: list[np.ndarray]) -> list[tuple]:
     """Rows of the shingles that are frequent among these sets."""
     some, many = np.unique(np.concatenate(sets), return_counts=True)
     keep = many >= max(8, len(sets) // RARE)
-    return [(None, None, None, None, None, h, c) for h, c in zip(_signed(some[keep]).tolist(), many[keep].tolist(), strict=True)]
+    return [(*[None] * 6, h, c) for h, c in zip(_signed(some[keep]).tolist(), many[keep].tolist(), strict=True)]
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, sid, uid, bits) for each document, and rows (h, c) of shingles that are frequent in a part of a task's rows.
+    """A row (doc_id, key, n, sid, uid, bits) for each document, and rows (h, c) of shingles that are frequent in a part of a task's rows.
 
     A very frequent shingle is so in some part, so these rows name all of them, but for tables in parts of under 8 sets.
     """
@@ -105,9 +105,9 @@ def _profiles(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             rows = []
-            for doc, u, s, check in _sets(batch):
+            for (doc, u, s, check), key in zip(_sets(batch), batch.column("key").to_pylist(), strict=True):
                 new = len(u) > 0 and (s, check) not in seen
-                rows.append((doc, len(u), s, check, signature_tree.bitmap(u) if new else None, None, None))
+                rows.append((doc, key, len(u), s, check, signature_tree.bitmap(u) if new else None, None, None))
                 if new:
                     seen.add((s, check))
                     held.append(u)
@@ -304,14 +304,15 @@ def _verified(batches):
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles and component_id for each row of docs (doc_id, text; other columns are ignored), and key, root.
 
-    Documents link when 100 * intersection >= PERCENT * union of their shingle sets. Texts without words (null, empty)
+    key tells the texts of one doc_id apart: it is text_key() of the text. root is the same for all rows of a component and no others;
+    it is null where there is no component. Documents link when 100 * intersection >= PERCENT * union of their shingle sets. Texts without words (null, empty)
     have 0 shingles and are linked with nothing; rows with a null doc_id have a null component and link nothing; repeated
     rows and equal texts are in one component. component_id is the smallest doc_id reachable.
     """
     buckets = common.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("key"))
     profiles, _ = common.materialize(spark, _profiles(docs), "profiles")
     rows = profiles.where(F.col("sid").isNotNull())
     often = frequent(profiles, rows.count())
@@ -342,6 +343,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["near", "pair", "sid", "uid", "data"])
 
     found = docs.join(look, docs["doc_id"] == look["doc"]).select("text", "sid", "uid", "near", "blocks").mapInArrow(whole, "near long, pair long, sid long, uid long, data binary")
+    # repeated rows give a set more than once; one is left before the sets of a component meet
+    found = found.dropDuplicates(["near", "pair", "sid", "uid"])
     exact = found.repartition(buckets, "near", "pair").sortWithinPartitions("near", "pair").mapInArrow(_verified, "a long, a2 long, b long, b2 long")
     links, _ = graph.components(spark, exact.select(F.struct(F.col("a").alias("sid"), F.col("a2").alias("uid")).alias("a"), F.struct(F.col("b").alias("sid"), F.col("b2").alias("uid")).alias("b")), "links")
     for path in (near_used, again_used):
@@ -351,19 +354,29 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     linked = links.select(F.col("a.sid").alias("sid"), F.col("a.uid").alias("uid"), F.col("b").alias("root"))
     rooted = sets.select("sid", "uid", "doc").join(linked, ["sid", "uid"], "left").select("sid", "uid", "doc", F.coalesce("root", own).alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.join(least, "root").select("sid", "uid", "component_id")
+    named = rooted.join(least, "root").select("sid", "uid", "component_id", "root")
     # sets of very many copies are few, so their list is short; their rows are spread over SALTS keys
     copied = [r["sid"] for r in rows.where("n > 0").groupBy("sid").agg(F.count("*").alias("c")).where(F.col("c") >= COPIES).collect()]
-    given = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "uid")
+    given = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "sid", "uid")
     if copied:
         many = F.col("sid").isin(copied)
         given = given.withColumn("salt", F.when(many, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
         named = named.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         named = named.withColumn("salt", F.col("salt").cast("long"))
     out = given.join(named, [c for c in given.columns if c in named.columns], "left")
-    alone = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", F.when(~alone, F.col("root")).alias("root"))
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart, by 64 bits."""
+    return F.xxhash64(text.cast("string"))
+
+
+def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, key): of each component the text with the smallest doc_id, and of that one's texts the one with the smallest key."""
+    return classes(spark, docs).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("kept")).select("kept.*")
 
 
 def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark, common.table(spark, sf_dir, "documents"))
+    return classes(spark, common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
