@@ -15,7 +15,7 @@ from ..functions import scalars
 from ..operators import dag, decisions, monitoring, rows, timeseries
 from ..sources import archives, logs, results, schemas, shared
 from ..sources.bridge import duckdb, load
-from ..streaming import ingest
+from ..streaming import ingest, worker_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -369,7 +369,7 @@ def _worker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deferred_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worker statuses of a finished message log in which tries' rows come late."""
-    return ingest.worker_status_batch(_worker_messages(spark, sf_dir))
+    return worker_status.worker_status_batch(_worker_messages(spark, sf_dir))
 
 
 QUERIES["deferred_first_message"] = deferred_first_message
@@ -386,9 +386,10 @@ def _streamed(spark: SparkSession, messages: DataFrame) -> tuple[DataFrame, str]
 
 
 def streamed_worker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """deferred_first_message by the stateful stream operator, from files to a file sink."""
-    stream, base = _streamed(spark, _worker_messages(spark, sf_dir))
-    out = ingest.worker_status(stream)
+    """deferred_first_message by the stateful stream operator, from files to a file sink, with every message delivered twice."""
+    once = _worker_messages(spark, sf_dir)
+    stream, base = _streamed(spark, once.unionByName(once))
+    out = worker_status.worker_status(spark, stream)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 

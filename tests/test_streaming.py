@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from runweave.streaming import ingest
+from runweave.streaming import ingest, worker_status
 
 
 def put(folder, name, messages):
@@ -29,18 +29,47 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out/rejected").count() == 2
 
 
-def test_first_message_waits_for_its_try(spark, tmp_path):
-    folder = str(tmp_path / "new")
-    log = [message("FIRST", 1), message("FIRST", 2), message("LAST", 3), message("TRY_INFO", 4), message("FIRST", 5), message("FIRST", 6, task=2), message("TRY_INFO", 7, task=3), message("LAST", 8, task=3)]
+def files(folder, log):
+    """A file for each message, in the order of the log."""
     for i, m in enumerate(log):
         put(folder, f"f{i}", [m])
         os.utime(f"{folder}/f{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
-    stream = ingest.worker_status(ingest.read(spark, f"file://{folder}", 1))
-    query = stream.writeStream.format("memory").queryName("statuses").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    assert query.awaitTermination(300)
-    got = sorted((r["task_id"], r["task_status_name"], r["seq"]) for r in spark.table("statuses").collect())
-    want = [(1, "running", 2), (1, "running", 5), (1, "running_ended", 3), (3, "running_ended", 8)]
-    assert got == want
+
+
+def told(spark, messages, tmp_path, name, n=None, **options):
+    """What the stream tells; one with timers does not end by itself and is stopped after n messages."""
+    stream = worker_status.worker_status(spark, messages, **options)
+    writer = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/cp")
+    query = (writer if n else writer.trigger(availableNow=True)).start()
+    for _ in range(120):
+        if query.awaitTermination(1) or n and sum(p.numInputRows for p in query.recentProgress) >= n:
+            break
+    query.stop()
+    return sorted((r["task_id"], r["task_status_name"], r["seq"]) for r in spark.table(name).collect())
+
+
+def test_first_message_waits_for_its_try(spark, tmp_path):
+    """Messages one by one, each delivered again later on, some of them in a batch of their own."""
+    folder = str(tmp_path / "new")
+    log = [message("FIRST", 1), message("FIRST", 2), message("LAST", 3), message("FIRST", 1), message("TRY_INFO", 4), message("FIRST", 5), message("FIRST", 6, task=2), message("TRY_INFO", 7, task=3), message("LAST", 8, task=3)]
+    files(folder, [*log, *log[::2], message("LAST", 3), {**message("LAST", 9), "task_id": None}])
+    got = told(spark, ingest.read(spark, f"file://{folder}", 1), tmp_path, "statuses")
+    assert got == [(1, "running", 2), (1, "running", 5), (1, "running_ended", 3), (3, "running_ended", 8)]
     batch = spark.read.schema(ingest.MESSAGE).json(f"file://{folder}")
-    assert sorted((r["task_id"], r["task_status_name"], r["seq"]) for r in ingest.worker_status_batch(batch).collect()) == want
-    assert batch.where(F.col("type") == "FIRST").count() == 4
+    assert sorted((r["task_id"], r["task_status_name"], r["seq"]) for r in worker_status.worker_status_batch(batch).collect()) == got
+
+
+def test_senders_number_their_own_messages(spark, tmp_path):
+    folder = str(tmp_path / "new")
+    files(folder, [message("FIRST", 1), message("TRY_INFO", 1), message("LAST", 1)])
+    assert told(spark, ingest.read(spark, f"file://{folder}", 1), tmp_path, "equal_numbers") == [(1, "running", 1), (1, "running_ended", 1)]
+
+
+def test_idle_tries_are_forgotten(spark, tmp_path):
+    """With a bound of no time at all, the timer of a batch has run before the next one: a replay is told again, a waiting message is lost."""
+    folder = str(tmp_path / "new")
+    files(folder, [message("LAST", 1), message("FIRST", 2, task=2), message("LAST", 3, task=3), message("LAST", 1), message("TRY_INFO", 4, task=2)])
+    got = told(spark, ingest.read(spark, f"file://{folder}", 1), tmp_path, "forgotten", 5, idle_ms=1)
+    assert got == [(1, "running_ended", 1), (1, "running_ended", 1), (3, "running_ended", 3)]
+    kept = told(spark, ingest.read(spark, f"file://{folder}", 1), tmp_path / "kept", "kept", 5, idle_ms=10_000_000)
+    assert kept == [(1, "running_ended", 1), (2, "running", 2), (3, "running_ended", 3)]
