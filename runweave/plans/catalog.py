@@ -15,7 +15,7 @@ from ..functions import scalars
 from ..operators import dag, decisions, monitoring, rows, timeseries
 from ..sources import archives, logs, results, schemas, shared
 from ..sources.bridge import duckdb, load
-from ..streaming import ingest, worker_status
+from ..streaming import ingest, snapshot, worker_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -410,6 +410,44 @@ def streamed_tasks(spark, task):
     return monitoring.upsert(log, ["run_id", "task_id"], ["seq"])
 
 
+def _in_files(messages: DataFrame, base: str, number, files: int) -> DataFrame:
+    """The messages as a stream that reads a file a micro-batch; number says which of the files has a message."""
+    messages.withColumn("k", number.cast("int")).repartition(files, "k").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").partitionBy("k").json(f"{base}/in")
+    return ingest.read(messages.sparkSession, f"{base}/in/*", 1)
+
+
+def _task_message(task: DataFrame, seq, **values) -> DataFrame:
+    payload = F.to_json(F.struct("run_id", "task_id", *[v.alias(k) for k, v in values.items()]))
+    return task.select(F.lit("TASK_INFO").alias("type"), "run_id", "task_id", seq.cast("long").alias("seq"), payload.alias("payload"))
+
+
+@_query(("task",), "SELECT run_id, task_id, task_func_name, task_hashsum, task_fail_count FROM task")
+def kept_tasks(spark, task):
+    """The state of tasks whose rows come in three messages each, in any order, over 12 micro-batches of which every fourth merges the changes."""
+    base = shared.fresh(spark, "kept")
+    called = _task_message(task, F.lit(1), task_func_name=F.col("task_func_name"), task_fail_count=F.lit(-2))
+    hashed = _task_message(task, F.lit(2), task_hashsum=F.col("task_hashsum"), task_fail_count=F.lit(-1))
+    ended = _task_message(task, F.lit(3), task_fail_count=F.col("task_fail_count"))
+    messages = called.unionByName(hashed).unionByName(ended)
+    stream = _in_files(messages, base, F.pmod(F.xxhash64("task_id", "seq"), F.lit(12)), 12)
+    state = snapshot.Snapshot(spark, f"{base}/state", ("run_id", "task_id"), ("seq",))
+    rows = lambda batch: ingest.rows_for(batch, "task").select("seq", "run_id", "task_id", "task_func_name", "task_hashsum", "task_fail_count")
+    snapshot.keep(stream, rows, state, f"{base}/checkpoint", 4).awaitTermination()
+    return state.read()
+
+
+@_query(("task",), "SELECT run_id, task_id, CASE WHEN task_id % 4 = 3 THEN 'put aside' ELSE 'stored' END AS state FROM task WHERE task_id % 4 < 3 OR task_id % 64 <> 7")
+def isolated_batches(spark, task):
+    """Tasks through a strict ingest in four micro-batches; one of them has messages without their task and is put aside, the others are stored."""
+    base = shared.fresh(spark, "isolated")
+    good = _task_message(task.where("task_id % 64 <> 7"), F.col("task_id"))
+    bad = task.where("task_id % 64 = 7").select(F.lit("TASK_INFO").alias("type"), "run_id", F.col("task_id").alias("seq"), F.lit("{}").alias("payload"))
+    stream = _in_files(good.unionByName(bad, allowMissingColumns=True), base, F.col("seq") % 4, 4)
+    ingest.ingest(stream, f"{base}/out", f"{base}/checkpoint", strict=True, isolate=True).awaitTermination()
+    stored = spark.read.parquet(f"{base}/out/task").select("run_id", F.col("task_id").cast("long").alias("task_id"), F.lit("stored").alias("state"))
+    return stored.unionByName(ingest.errors(spark, f"{base}/out").where("task_id is not null").select("run_id", "task_id", F.lit("put aside").alias("state")))
+
+
 @_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_id % 3, task_id) AS result FROM task WHERE task_id % 3 < 2 GROUP BY task_hashsum")
 def stored_results(spark, task):
     """Results of two runs, appended to a table and read back: the later run's count."""
