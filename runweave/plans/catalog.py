@@ -284,6 +284,39 @@ def worker_efficiency(spark, tries, node):
     return timeseries.worker_efficiency(tries.select("run_id", F.col("task_try_time_launched").alias("launched"), F.col("task_try_time_running").alias("running"), F.col("task_try_time_returned").alias("returned")), node, WEEK)
 
 
+def _steps(keys: str, moves: str, bounds: str, shown: str) -> str:
+    """SQL of a series as it changes: `moves` has keys, bucket and d, `bounds` keys, low and end; every bucket of either is a step."""
+    return f"""m AS ({moves}), b AS ({bounds}), s AS (SELECT {keys}, bucket, sum(d) AS d FROM (SELECT {keys}, bucket, d FROM m UNION ALL SELECT {keys}, low, 0 FROM b UNION ALL SELECT {keys}, "end", 0 FROM b) GROUP BY {keys}, bucket),
+        l AS (SELECT *, sum(d) OVER (PARTITION BY {keys} ORDER BY bucket) AS level, lead(bucket) OVER (PARTITION BY {keys} ORDER BY bucket) AS after FROM s)
+        SELECT {keys}, greatest(bucket, low) - low AS at, least(after, "end") - greatest(bucket, low) AS length, {shown} FROM l JOIN b USING ({keys}) WHERE greatest(bucket, low) < least(after, "end")"""
+
+
+@_query(("task", "try"), "WITH " + f"""t AS (SELECT y.run_id, t.task_func_name AS app, CAST(floor({_units('y.task_try_time_running', 1)}) AS BIGINT) AS s, CAST(floor({_units('t.task_time_returned', 1)}) AS BIGINT) AS e FROM "try" y JOIN task t ON t.task_id = y.task_id AND t.run_id = y.run_id),
+        u AS (SELECT run_id, unnest([app, 'All']) AS app, s, e FROM t WHERE s IS NOT NULL), """ + _steps(
+    "run_id, app",
+    "SELECT run_id, app, s + 1 AS bucket, 1 AS d FROM u WHERE e IS NULL OR e > s UNION ALL SELECT run_id, app, e + 1, -1 FROM u WHERE e > s",
+    'SELECT DISTINCT u.run_id, u.app, r.low, r."end" FROM u JOIN (SELECT run_id, min(s) AS low, max(e) + 1 AS "end" FROM t GROUP BY run_id) r ON r.run_id = u.run_id WHERE r.low < r."end"',
+    "CAST(level AS BIGINT) AS running",
+))
+def concurrency_by_second(spark, task, tries):
+    """Running tasks by app to the second, as the buckets in which they change."""
+    both = monitoring.tries_with_tasks(task, tries)
+    return timeseries.concurrency_changes(both.select("run_id", "task_func_name", F.col("task_try_time_running").alias("running"), F.col("task_time_returned").alias("returned")))
+
+
+@_query(("try", "node"), "WITH " + f"""t AS (SELECT run_id, CAST(floor({_units('task_try_time_launched', 1)}) AS BIGINT) AS l, CAST(floor({_units('task_try_time_running', 1)}) AS BIGINT) AS s, CAST(floor({_units('task_try_time_returned', 1)}) AS BIGINT) AS e FROM "try"),
+        w AS (SELECT t.run_id, least(min(l), any_value(n)) AS low, max(e) AS high FROM t LEFT JOIN (SELECT run_id, CAST(floor(min({_units('"timestamp"', 1)})) AS BIGINT) AS n FROM node GROUP BY run_id) n ON n.run_id = t.run_id GROUP BY t.run_id),
+        v AS (SELECT t.run_id, s, coalesce(e, high) AS e FROM t JOIN w ON w.run_id = t.run_id WHERE s IS NOT NULL AND coalesce(e, high) >= s), """ + _steps(
+    "run_id",
+    "SELECT run_id, unnest([s, s + 1, e]) AS bucket, unnest([0, CASE WHEN e > s THEN 1 ELSE 0 END, CASE WHEN e > s THEN -1 ELSE 0 END]) AS d FROM v WHERE e > s UNION ALL SELECT run_id, s, 0 FROM v WHERE e = s",
+    'SELECT run_id, low, high + 1 AS "end" FROM w WHERE low <= high',
+    "round(CAST(level AS DOUBLE), 4) + 0.0 AS busy, round(CAST(level + (SELECT count(*) FROM v WHERE v.run_id = l.run_id AND v.s = l.bucket AND v.e > v.s) AS DOUBLE), 4) + 0.0 AS first",
+))
+def workers_by_second(spark, tries, node):
+    """Busy workers to the second, as the buckets in which they change. Times are whole seconds here, so a worker is busy for whole ones."""
+    return timeseries.worker_changes(tries.select("run_id", F.col("task_try_time_launched").alias("launched"), F.col("task_try_time_running").alias("running"), F.col("task_try_time_returned").alias("returned")), node)
+
+
 def _distribution(column: str, fold: str) -> str:
     return f"""WITH v AS (SELECT r.run_id, r.task_id, {fold}({column}) AS v FROM resource r JOIN event_task t ON t.run_id = r.run_id AND t.task_id = r.task_id GROUP BY ALL),
         b AS (SELECT run_id, min({column}) AS low, max({column}) AS high FROM resource GROUP BY run_id), g AS (SELECT *, unnest(generate_series(0, 20)) AS bar FROM b)
