@@ -698,25 +698,27 @@ def zipped_members(spark, task):
     return archives.members_of(archives.to_zips(files), r"^run/\d+\.txt$").withColumn("content", F.md5("content"))
 
 
-@_query(("status",), """SELECT CASE WHEN task_id % 3 > 0 THEN 'run.' || task_status_name END AS name, CASE WHEN task_id % 3 > 0 THEN CASE WHEN task_status_name = 'failed' THEN 'ERROR' ELSE 'INFO' END END AS "level",
-        CASE WHEN task_id % 3 > 0 THEN 'task ' || task_id ELSE 'at task ' || task_id END AS message, count(*) AS n FROM status GROUP BY ALL""")
+@_query(("status",), """SELECT 'run.' || task_status_name AS name, CASE WHEN task_status_name = 'failed' THEN 'ERROR' ELSE 'INFO' END AS levelname, try_id AS lineno,
+        'task ' || task_id || CASE WHEN task_status_name = 'failed' THEN chr(10) || 'Traceback (most recent call last):' || chr(10) || '  in try ' || try_id ELSE '' END AS message, count(*) AS n FROM status GROUP BY ALL""")
 def text_logs(spark, status):
-    """Statuses written as lines of a text log, some of them without a head, and read back."""
+    """Statuses written as records of a text log, failures with a traceback of several lines, and read back field by field."""
     path = shared.fresh(spark, "log")
-    level = F.when(F.col("task_status_name") == "failed", "ERROR").otherwise("INFO")
-    head = F.format_string("1.5 2024-01-01 00:00:00 run.%s:12 Main(1) Thread [%s]  task %d", F.col("task_status_name"), level, F.col("task_id"))
-    status.select(F.when(F.col("task_id") % 3 > 0, head).otherwise(F.concat(F.lit("at task "), "task_id"))).write.text(path)
-    return logs.read_text_log(spark, path).groupBy("name", "level", "message").agg(F.count("*").alias("n"))
+    failed = F.col("task_status_name") == "failed"
+    head = F.format_string("1.500000 2024-01-01 00:00:00,500 MainProcess-7 Thread-1 (run)-99 run.%s:%d step %s: task %d", "task_status_name", "try_id", F.when(failed, "ERROR").otherwise("INFO"), "task_id")
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n  in try "), "try_id")
+    status.select(F.concat(head, F.when(failed, trace).otherwise(""))).write.text(path)
+    return logs.read_text_log(spark, path).groupBy("name", "levelname", "lineno", "message").agg(F.count("*").alias("n"))
 
 
-@_query(("status",), """SELECT CASE WHEN task_id % 3 > 0 THEN task_status_name END AS message, task_id % 3 = 0 AS bad, count(*) AS n, coalesce(sum(task_id) FILTER (task_id % 3 > 0), 0)::BIGINT AS threads FROM status GROUP BY ALL""")
+@_query(("status",), """SELECT CASE WHEN task_id % 3 > 0 THEN 'task ' || task_status_name END AS formatted, CASE WHEN task_id % 3 = 1 THEN task_status_name END AS state, task_id % 3 = 0 AS bad, count(*) AS n, coalesce(sum(task_id) FILTER (task_id % 3 > 0), 0)::BIGINT AS threads FROM status GROUP BY ALL""")
 def json_logs(spark, status):
-    """Statuses written as a JSON log, some lines of which are none, and read back."""
+    """Statuses written as a JSON log, with a key of their own for some and lines that are no JSON, and read back."""
     path = shared.fresh(spark, "log")
-    line = F.to_json(F.struct(F.col("task_status_name").alias("message"), F.col("task_id").alias("thread")))
+    state = F.col("task_status_name")
+    line = F.to_json(F.struct(F.lit("task %s").alias("msg"), F.concat(F.lit("task "), state).alias("formatted"), F.col("task_id").alias("thread"), F.when(F.col("task_id") % 3 == 1, state).alias("own.state")))
     status.select(F.when(F.col("task_id") % 3 > 0, line).otherwise(F.concat(F.lit("{at task "), "task_id"))).write.text(path)
-    read = logs.read_json_log(spark, path).select("message", "thread", F.col("_corrupt_record").isNotNull().alias("bad"))
-    return read.groupBy("message", "bad").agg(F.count("*").alias("n"), F.coalesce(F.sum("thread"), F.lit(0)).alias("threads"))
+    read = logs.read_json_log(spark, path).select("formatted", F.col("extra")["own.state"].alias("state"), "thread", F.col("_corrupt_record").isNotNull().alias("bad"))
+    return read.groupBy("formatted", "state", "bad").agg(F.count("*").alias("n"), F.coalesce(F.sum("thread"), F.lit(0)).alias("threads"))
 
 
 @_query(("task",), """WITH k AS (SELECT task_hashsum AS hash, max(task_id) AS result FROM task WHERE task_id % 3 = 0 AND task_id % 5 > 0 GROUP BY ALL)

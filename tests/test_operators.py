@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runweave.functions import scalars
 from runweave.operators import dag, decisions, monitoring, rows, timeseries
-from runweave.sources import archives, logs, results, schemas
+from runweave.sources import archives, results, schemas
 
 
 def at(second):
@@ -116,14 +116,6 @@ def test_zip_round_trip(spark, tmp_path, most):
     assert sorted((r["member"], bytes(r["content"])) for r in back) == sorted((r["member"], bytes(r["content"])) for r in given.collect())
 
 
-def test_logs(spark, tmp_path):
-    (tmp_path / "j.log").write_text('{"created": 1.5, "levelname": "INFO", "message": "hi"}\n')
-    assert logs.read_json_log(spark, f"file://{tmp_path}/j.log").first()["levelname"] == "INFO"
-    (tmp_path / "t.log").write_text("1.5 2024-01-01 00:00:00 a.b:12 MainProcess(1) MainThread [INFO]  started\nother\n")
-    got = logs.read_text_log(spark, f"file://{tmp_path}/t.log").collect()
-    assert (got[0]["level"], got[0]["name"], got[0]["message"]) == ("INFO", "a.b", "started") and got[1]["message"] == "other"
-
-
 def test_results(spark, tmp_path):
     folder = f"file://{tmp_path}/results"
     results.append(spark.createDataFrame([("h", "old", 1), ("g", "x", 2)], "hash string, result string, seq long"), folder, 1)
@@ -192,14 +184,3 @@ def test_database_table_in_parts(spark):
     spark.range(10).selectExpr("id", "id * 2 as twice").write.jdbc(url, "numbers")
     got = schemas.read_jdbc(spark, url, "numbers", "id", (2, 6), 3)
     assert got.rdd.getNumPartitions() == 3 and sorted(r["id"] for r in got.where("twice > 4").collect()) == list(range(3, 10))
-
-
-def test_log_forms_read_back(spark, tmp_path):
-    for form, read in (("text", logs.read_text_log), ("json", logs.read_json_log)):
-        path = f"{tmp_path}/{form}.log"
-        for _ in range(2):
-            log = logs.start_log(path, form, name=f"test.{form}")
-        log.warning("disk %s", "full")
-        logs.stop_logs(f"test.{form}")
-        got = [r.asDict() for r in read(spark, f"file://{path}").collect()]
-        assert [(r["name"], r.get("level") or r["levelname"], r["message"]) for r in got] == [(f"test.{form}", "WARNING", "disk full")]
