@@ -8,9 +8,14 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
+#: Bits of monotonically_increasing_id() that count a partition's rows.
+_ROW_BITS = (1 << 33) - 1
+
 
 def zipped(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each position of the array columns, up to the shortest one, with the position as `place`; in place of the arrays."""
@@ -20,6 +25,28 @@ def zipped(rows: DataFrame, columns: list[str]) -> DataFrame:
     return whole.select(*[F.col(f"`{c}`") for c in kept], "place", *[F.col("_at").getField(c).alias(c) for c in columns])
 
 
+def positions(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows with the column position: 0, 1, ... in the order of their partitions, and within each in its order.
+
+    The rows are written where they are, with their number in their partition, and the partitions' counts are summed up: nothing is
+    sorted, and no task gets more than its partition, or than a row a partition. A table sorted by orderBy() keeps that order.
+    """
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("number"))
+    written, _ = materialize(spark, own, "positions")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return written.join(F.broadcast(starts), "part").select("own.*", (F.col("start") + F.col("number")).alias("position"))
+
+
+def zipped_tables(spark: SparkSession, *tables: DataFrame) -> DataFrame:
+    """The tables row beside row by position, up to the end of the shortest; columns must have different names."""
+    placed = [positions(spark, t) for t in tables]
+    out = placed[0]
+    for other in placed[1:]:
+        out = out.join(other, "position")
+    return out
+
+
 def within(f: Callable, seconds: float) -> Callable:
     """f, ended by a TimeoutError after the seconds. For the main thread, in which Python workers run."""
 

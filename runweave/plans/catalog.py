@@ -124,10 +124,10 @@ def state_counts(spark, task, status):
     return monitoring.state_counts(monitoring.latest_task_status(task, status))
 
 
-@_query(("task", "try"), """SELECT count(*) AS n FROM task t, "try" y WHERE t.task_id = y.task_id AND t.final_state = 'exec_done' AND y.task_try_time_running IS NULL""")
+@_query(("task", "try"), """SELECT count(*) AS n FROM task t, "try" y WHERE t.task_id = y.task_id AND t.run_id = y.run_id AND t.final_state = 'exec_done' AND y.task_try_time_running IS NULL""")
 def exec_done_without_running(spark, task, tries):
-    done = task.where("final_state = 'exec_done'").select("task_id")
-    return tries.where(F.col("task_try_time_running").isNull()).select("task_id").join(done, "task_id").agg(F.count("*").alias("n"))
+    done = task.where("final_state = 'exec_done'").select("run_id", "task_id")
+    return tries.where(F.col("task_try_time_running").isNull()).select("run_id", "task_id").join(done, ["run_id", "task_id"]).agg(F.count("*").alias("n"))
 
 
 _EDGES = """SELECT run_id, CAST(x AS BIGINT) AS source, task_id, min(p) AS place FROM (SELECT run_id, task_id, unnest(string_split(task_depends, ',')) AS x, generate_subscripts(string_split(task_depends, ','), 1) AS p FROM task WHERE task_depends IS NOT NULL) GROUP BY ALL"""
@@ -481,15 +481,33 @@ def isolated_batches(spark, task):
     return stored.unionByName(ingest.errors(spark, f"{base}/out").where("task_id is not null").select("run_id", "task_id", F.lit("put aside").alias("state")))
 
 
-@_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_id % 3, task_id) AS result FROM task WHERE task_id % 3 < 2 GROUP BY task_hashsum")
+@_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_id % 3, task_id) AS result FROM task GROUP BY task_hashsum")
 def stored_results(spark, task):
-    """Results of two runs, appended to a table and read back: the later run's count."""
+    """Results of three runs, appended to a table and read back: the later run's count."""
     folder = shared.fresh(spark, "results")
-    for run in (0, 1):
+    for run in (0, 1, 2):
         results.append(task.where(F.col("task_id") % 3 == run).select(F.col("task_hashsum").alias("hash"), F.col("task_id").alias("result"), F.col("task_id").alias("seq")), folder, run)
     return results.read(spark, folder)
 
 
+@_query(("task",), """WITH r AS (SELECT task_func_name, count(*) AS n, sum(task_fail_count)::BIGINT AS fails FROM task GROUP BY ALL)
+        SELECT 'first' AS run, false AS stored, * FROM r UNION ALL SELECT 'again', true, * FROM r UNION ALL SELECT 'more rows', false, task_func_name, 2 * n, 2 * fails FROM r UNION ALL SELECT 'another plan', false, task_func_name, 2 * n, 2 * fails FROM r WHERE n > 1""")
+def results_by_plan(spark, task):
+    """An aggregate over files, asked for again, after more files have come, and by another plan: stored results are found by plan and files."""
+    base = shared.fresh(spark, "plans")
+    rows = task.select("task_func_name", "task_fail_count")
+    rows.write.parquet(f"{base}/task")
+    plan = lambda: spark.read.parquet(f"{base}/task").groupBy("task_func_name").agg(F.count("*").alias("n"), F.sum("task_fail_count").alias("fails"))
+
+    def told(run: str, df: DataFrame) -> DataFrame:
+        stored = results.has_plan(df, f"{base}/results")
+        return results.by_plan(df, f"{base}/results").select(F.lit(run).alias("run"), F.lit(stored).alias("stored"), "*")
+
+    out = told("first", plan()).unionByName(told("again", plan()))
+    rows.write.mode("append").parquet(f"{base}/task")
+    return out.unionByName(told("more rows", plan())).unionByName(told("another plan", plan().where("n > 1")))
+
+
 @_query(("task",), "SELECT task_hashsum AS hash, last(task_id ORDER BY task_time_invoked, task_id) AS result FROM task GROUP BY task_hashsum")
 def latest_results(spark, task):
     return task.groupBy(F.col("task_hashsum").alias("hash")).agg(F.max_by("task_id", F.struct("task_time_invoked", "task_id")).alias("result"))
@@ -601,13 +619,13 @@ def call_keys(spark, task):
 # Runs that are asked for, keys of one side only, states by time, retries.
 
 
-@_query(("task", "workflow", "node"), """WITH a AS (SELECT DISTINCT run_id FROM task UNION ALL SELECT DISTINCT 'lost-' || run_id FROM task), n AS (SELECT DISTINCT run_id FROM node WHERE id % 1000 = 0)
+@_query(("task", "workflow", "resource"), """WITH a AS (SELECT DISTINCT run_id FROM task UNION ALL SELECT DISTINCT 'lost-' || run_id FROM task), n AS (SELECT DISTINCT run_id FROM resource)
         SELECT run_id, CASE WHEN run_id NOT IN (SELECT run_id FROM workflow) THEN 'unknown' WHEN run_id NOT IN (SELECT run_id FROM n) THEN 'no resources' ELSE 'resources' END AS page FROM a""")
-def run_pages(spark, task, workflow, node):
-    """Runs of the tasks and as many that do not exist; reports of every thousandth node stand for samples, so that some runs have none."""
+def run_pages(spark, task, workflow, resource):
+    """Runs of the tasks and as many that do not exist; only some runs have samples."""
     runs = task.select("run_id").distinct()
     asked = runs.unionByName(runs.select(F.concat(F.lit("lost-"), "run_id").alias("run_id")))
-    return monitoring.run_pages(asked, workflow, node.where("id % 1000 = 0"))
+    return monitoring.run_pages(asked, workflow, resource)
 
 
 @_query(("workflow",), "SELECT run_id, workflow_name FROM workflow ORDER BY run_id LIMIT 1")
@@ -646,6 +664,14 @@ def zipped_arguments(spark, task):
     return rows.zipped(two, ["depend", "n"])
 
 
+@_query(("task", "node"), """SELECT position, run_id, task_id, id, hostname FROM (SELECT run_id, task_id, row_number() OVER (ORDER BY task_id) - 1 AS position FROM task)
+        JOIN (SELECT id, hostname, row_number() OVER (ORDER BY id DESC) - 1 AS position FROM node) USING (position)""")
+def zipped_tables(spark, task, node):
+    """Tasks in their order beside nodes in theirs, row by row up to the end of the shorter table."""
+    tables = (task.select("run_id", "task_id").orderBy("task_id"), node.select("id", "hostname").orderBy(F.desc("id")))
+    return rows.zipped_tables(spark, *tables)
+
+
 @_query(("node",), """SELECT id, CASE WHEN cpu_count % 5 > 0 THEN 60.0::DOUBLE / (cpu_count % 5) END AS share, CASE WHEN cpu_count % 5 = 0 THEN 'ZeroDivisionError' END AS error FROM node""")
 def mapped_rows(spark, node):
     """A function of each row, which fails for some."""
@@ -679,9 +705,11 @@ def created_tables(spark, workflow):
     return kept.select("run_id", "workflow_name", "host", F.col("tasks_failed_count").isNull().alias("uncounted")).distinct().join(schemas.duplicate_keys(kept, "workflow"), "run_id")
 
 
-@_query(("status",), "SELECT task_id, run_id, task_status_name, \"timestamp\", count(*) AS n FROM status GROUP BY ALL HAVING count(*) > 1")
+@_query(("status",), "SELECT task_id, run_id, task_status_name, \"timestamp\", sum(CASE WHEN try_id = 1 THEN 3 ELSE 1 END)::BIGINT AS n FROM status GROUP BY ALL HAVING sum(CASE WHEN try_id = 1 THEN 3 ELSE 1 END) > 1")
 def repeated_statuses(spark, status):
-    return schemas.duplicate_keys(schemas.conform(status, "status"), "status")
+    """Statuses of which those of second tries were told three times."""
+    again = status.where("try_id = 1")
+    return schemas.duplicate_keys(schemas.conform(status.unionByName(again).unionByName(again), "status"), "status")
 
 
 @_query(("block",), "SELECT run_id, block_id, lower(status) AS status FROM block WHERE status = 'MISSING'")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from .sources import logs
 
+T = TypeVar("T")
+
 
 @dataclass
 class Config:
@@ -44,13 +51,56 @@ def session(config: Config | None = None) -> SparkSession:
 
 
 def next_run(spark: SparkSession, folder: str) -> str:
-    """A new folder under the given one, named by the number after the greatest so far, with three digits at least."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    """A new folder under the given one, named by the number after the greatest so far, with three digits at least.
+
+    It is this run's alone: the folder, or on other stores than local disks a file of its claim, is created only where there is none,
+    and another run that comes first leaves the next number.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    new = f"{folder}/{max([-1, *(int(n) for n in names if n.isdigit())]) + 1:03d}"
-    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(new))
-    return new
+    fs.mkdirs(path)
+    number = max([-1, *(int(n) for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.isdigit())])
+    while True:
+        number += 1
+        new = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:03d}")
+        try:
+            if fs.getScheme() == "file":
+                jvm.java.nio.file.Files.createDirectory(jvm.java.io.File(new.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                fs.create(jvm.org.apache.hadoop.fs.Path(new, ".claim"), False).close()
+            return f"{folder}/{number:03d}"
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+
+
+def limited(spark: SparkSession, action: Callable[[], T], seconds: float) -> tuple[T | None, str | None]:
+    """(result, None) of an action that runs jobs, or (None, why) if it fails or takes over so many seconds; then its jobs are cancelled.
+
+    The jobs of the calling thread are tagged while the action runs, so those of others go on. What the driver does between
+    jobs ends with the next one.
+    """
+    tag, done = f"limited-{uuid.uuid4().hex}", threading.Event()
+    late = threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.2):
+                spark.sparkContext.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.sparkContext.addJobTag(tag)
+    watcher.start()
+    try:
+        return action(), None
+    except Exception as e:
+        return None, f"no end after {seconds} s" if late.is_set() else str(e)
+    finally:
+        done.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)
 
 
 def close(spark: SparkSession, flows: tuple = (), queries: tuple = (), name: str = "runweave") -> list[str]:
