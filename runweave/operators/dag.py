@@ -16,32 +16,72 @@ def edges(tasks: DataFrame) -> DataFrame:
 
 #: Levels of the graph that one round of dep_fail_closure follows before it writes what it found.
 HOPS = 3
+#: Doubling rounds after which a chain must be a circle.
+MOST_ROUNDS = 60
+
+
+def chains(spark: SparkSession, links: DataFrame, stops: DataFrame) -> tuple[DataFrame, str]:
+    """For each task with one dependency: the nearest task up its chain that has none or several, or is in stops, as top, and the steps there; and the folder.
+
+    links: run_id, source, task_id, each pair once; stops: run_id, task_id, distinct. Pointers are followed by doubling, so a chain of n
+    tasks takes log2(n) rounds; those that have arrived are not joined again.
+    """
+    single = links.groupBy("run_id", "task_id").agg(F.count("*").alias("n"), F.min("source").alias("top")).where("n = 1").select("run_id", "task_id", "top")
+    onward = single.select("run_id", F.col("task_id").alias("top"), F.lit(True).alias("goes_on"))
+    marked = stops.select("run_id", F.col("task_id").alias("top"), F.lit(True).alias("stop"))
+    start = single.join(onward, ["run_id", "top"], "left").join(marked, ["run_id", "top"], "left")
+    arrived = F.col("stop").isNotNull() | F.col("goes_on").isNull()
+    now, path = shared.materialize(spark, start.select("run_id", "task_id", "top", F.lit(1).cast("long").alias("steps"), arrived.alias("arrived")), "chains")
+    for _ in range(MOST_ROUNDS):
+        if now.where("not arrived").isEmpty():
+            return now.drop("arrived"), path
+        ahead = now.select("run_id", F.col("task_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("arrived").alias("there"))
+        moved = now.where("not arrived").join(ahead, ["run_id", "top"]).select("run_id", "task_id", F.col("next").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("arrived"))
+        after, new = shared.materialize(spark, now.where("arrived").unionByName(moved), "chains")
+        shared.remove(spark, path)
+        now, path = after, new
+    raise ValueError("tasks depend on each other in a circle")
 
 
 def dep_fail_closure(spark: SparkSession, tasks: DataFrame, failed: DataFrame) -> DataFrame:
     """Tasks that depend, directly or through others, on a failed one, with the least number of steps from it.
 
-    tasks: run_id, task_id, task_depends; failed: run_id, task_id. Breadth first: a round follows HOPS levels of edges, a shuffle
-    of the newest tasks for each, and adds the tasks not reached before to the one table of reached tasks.
+    tasks: run_id, task_id, task_depends; failed: run_id, task_id. Chains of tasks with one dependency each are contracted to
+    one edge first, see chains(). What is left is followed from the failed tasks on: a round follows HOPS edges, a shuffle of the newest tasks
+    for each, and adds the tasks that it reached for the first time, or by fewer steps. At the end the chains take the steps of
+    their tops. So rounds grow with the number of tasks of several dependencies on a path, not with its length.
     """
-    links, path = shared.materialize(spark, edges(tasks).select("run_id", F.col("source").alias("task_id"), F.col("task_id").alias("next")), "edges")
-    base = shared.fresh(spark, "reached")
-    start = failed.select("run_id", "task_id", F.lit(0).alias("steps")).distinct()
-    start.write.parquet(f"{base}/round=0")
-    done = 0
+    links, links_path = shared.materialize(spark, edges(tasks).select("run_id", "source", "task_id"), "edges")
+    start = failed.select("run_id", "task_id").distinct()
+    up, up_path = chains(spark, links, start)
+    joint = links.join(up.select("run_id", "task_id"), ["run_id", "task_id"], "left_anti")
+    over = up.select("run_id", F.col("task_id").alias("source"), "top", F.col("steps").alias("more")).join(start.select("run_id", F.col("task_id").alias("source")), ["run_id", "source"], "left_anti")
+    short = joint.join(over, ["run_id", "source"], "left").select("run_id", F.coalesce("top", "source").alias("task_id"), F.col("task_id").alias("next"), (F.coalesce("more", F.lit(0)) + 1).alias("more"))
+    short, short_path = shared.materialize(spark, short.groupBy("run_id", "task_id", "next").agg(F.min("more").alias("more")), "short")
+    base, done = shared.fresh(spark, "reached"), 0
+    first = start.withColumns({"steps": F.lit(0).cast("long"), "newest": F.lit(True)})
+    first.write.parquet(f"{base}/round=0")
+    reached = lambda rounds: spark.read.schema(first.schema).parquet(f"{base}/round={rounds}")
     while True:
-        seen = spark.read.schema(start.schema).parquet(f"{base}/round=*")
-        level, found = seen.where(F.col("steps") == done * HOPS).select("run_id", "task_id"), None
-        for hop in range(done * HOPS + 1, (done + 1) * HOPS + 1):
-            level = links.join(level, ["run_id", "task_id"]).select("run_id", F.col("next").alias("task_id")).distinct()
-            told = level.withColumn("steps", F.lit(hop))
+        level, found = reached(done).where("newest").select("run_id", "task_id", "steps"), None
+        for hop in range(HOPS):
+            level = short.join(level, ["run_id", "task_id"]).groupBy("run_id", F.col("next").alias("task_id")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+            told = level.withColumn("last", F.lit(hop == HOPS - 1))
             found = told if found is None else found.unionByName(told)
-        new = found.groupBy("run_id", "task_id").agg(F.min("steps").alias("steps")).join(seen, ["run_id", "task_id"], "left_anti")
+        best = found.groupBy("run_id", "task_id").agg(F.min(F.struct("steps", "last")).alias("x")).select("run_id", "task_id", "x.steps", F.col("x.last").alias("newest"))
+        known = reached("*").groupBy("run_id", "task_id").agg(F.min("steps").alias("known"))
+        better = best.join(known, ["run_id", "task_id"], "left").where("known is null or steps < known").drop("known")
         done += 1
-        new.write.parquet(f"{base}/round={done}")
-        if spark.read.schema(start.schema).parquet(f"{base}/round={done}").where(F.col("steps") == done * HOPS).isEmpty():
-            shared.remove(spark, path)
-            return spark.read.schema(start.schema).parquet(f"{base}/round=*").where("steps > 0")
+        better.write.parquet(f"{base}/round={done}")
+        if reached(done).where("newest").isEmpty():
+            break
+    steps = reached("*").groupBy("run_id", "task_id").agg(F.min("steps").alias("steps"))
+    chained = up.join(steps.withColumnsRenamed({"task_id": "top", "steps": "more"}), ["run_id", "top"]).select("run_id", "task_id", (F.col("steps") + F.col("more")).alias("steps"))
+    every = steps.unionByName(chained).groupBy("run_id", "task_id").agg(F.min("steps").cast("int").alias("steps"))
+    out, _ = shared.materialize(spark, every.where("steps > 0"), "closure")
+    for path in (links_path, up_path, short_path, base):
+        shared.remove(spark, path)
+    return out
 
 
 def root_cause(spark: SparkSession, tasks: DataFrame, reached: DataFrame, failed: DataFrame) -> DataFrame:
