@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import dag, decisions, monitoring, rows, timeseries
-from ..sources import archives, logs, results, schemas, shared
+from ..sources import archives, logs, results, schemas, shared, zip_source
 from ..sources.bridge import duckdb, load
-from ..streaming import ingest, snapshot, worker_status
+from ..streaming import ingest, progress, snapshot, worker_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -726,6 +727,36 @@ def zipped_members(spark, task):
     return archives.members_of(archives.to_zips(files), r"^run/\d+\.txt$").withColumn("content", F.md5("content"))
 
 
+@_query(("task",), "SELECT 'run-' || (task_id % 5) || '/' || run_id || '-' || task_id AS member, octet_length(encode(task_hashsum || task_id))::BIGINT AS size, md5(task_hashsum || task_id) AS content FROM task WHERE task_id % 5 = 3")
+def zip_source_members(spark, task):
+    """A file for each task written as zip files by the data source, and those of one folder read back: the filter reaches the reader."""
+    zip_source.register(spark)
+    folder = shared.fresh(spark, "zips")
+    member = F.concat(F.lit("run-"), F.col("task_id") % 5, F.lit("/"), "run_id", F.lit("-"), "task_id")
+    task.select(member.alias("member"), F.concat("task_hashsum", "task_id").cast("binary").alias("content")).write.format("zip").mode("append").save(folder)
+    return spark.read.format("zip").load(folder).where(F.col("member").startswith("run-3/")).select("member", "size", F.md5("content").alias("content"))
+
+
+@_query(("task",), """SELECT 'counted' AS name, 'exec_done' AS state, count(*) FILTER (task_id % 3 < 2) AS "rows", 2::BIGINT AS batches, false AS told FROM task UNION ALL SELECT 'broken', 'failed', 0, 0, true""")
+def stream_states(spark, task):
+    """Two streams of messages told of by a listener: one reads two of three files in a batch each, the other one fails at its first."""
+    base = shared.fresh(spark, "states")
+    messages = _task_message(task.where("task_id % 3 < 2"), F.col("task_id"))
+    stream = _in_files(messages, base, F.col("seq") % 3, 2)
+    log = progress.StreamLog(spark, f"{base}/states").start()
+    out = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/a").trigger(availableNow=True).queryName("counted").start()
+    out.awaitTermination()
+    bad = stream.select(F.raise_error(F.lit("odd"))).writeStream.format("noop").option("checkpointLocation", f"{base}/b").trigger(availableNow=True).queryName("broken").start()
+    try:
+        bad.awaitTermination()
+    except StreamingQueryException:
+        pass
+    log.stop()
+    rows = progress.states(spark, f"{base}/states").where(F.col("name").isin("counted", "broken"))
+    ended = F.max(F.when(F.col("task_status_name").isin("exec_done", "failed"), F.col("task_status_name")))
+    return rows.groupBy("name").agg(ended.alias("state"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("rows") > 0).alias("batches"), F.bool_or(F.coalesce(F.col("error").contains("odd"), F.lit(False))).alias("told"))
+
+
 @_query(("status",), """SELECT 'run.' || task_status_name AS name, CASE WHEN task_status_name = 'failed' THEN 'ERROR' ELSE 'INFO' END AS levelname, try_id AS lineno,
         'task ' || task_id || CASE WHEN task_status_name = 'failed' THEN chr(10) || 'Traceback (most recent call last):' || chr(10) || '  in try ' || try_id ELSE '' END AS message, count(*) AS n FROM status GROUP BY ALL""")
 def text_logs(spark, status):
