@@ -1,10 +1,40 @@
-"""Scheduling and scaling rules as expressions over snapshot rows."""
+"""What a run's records say of its scaling: states as of a moment, the rules for them, and orders of launch, joining and idling."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rows
+
+#: States in which a block is no more.
+ENDED = ("CANCELLED", "COMPLETED", "FAILED", "TIMEOUT", "MISSING", "SCALED_IN")
+
+
+def placed(spark: SparkSession, ordered: DataFrame, key: str = "run_id") -> DataFrame:
+    """ordered (a table sorted by key first) with place, 1 and up by key: positions over its partitions, so no task numbers a whole run."""
+    numbered = rows.positions(spark, ordered)
+    first = numbered.groupBy(key).agg(F.min("position").alias("first"))
+    return numbered.join(first, key).withColumn("place", F.col("position") - F.col("first") + 1).drop("position", "first")
+
+
+def as_of(tasks: DataFrame, blocks: DataFrame, nodes: DataFrame, moment: str, max_blocks: int, parallelism: float) -> DataFrame:
+    """The rows that scaling_decision() judges, from what was recorded up to a moment: one for each run with tasks.
+
+    tasks: run_id, task_time_invoked, task_time_returned; blocks: rows of the block table; nodes: run_id, timestamp, worker_count. A task
+    is outstanding from its call to its return; a block counts while its last state is none of ENDED.
+    """
+    at = F.lit(moment).cast("timestamp_ntz")
+    late = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    out = tasks.where(F.col("task_time_invoked") <= at).groupBy("run_id").agg(
+        F.count_if(F.col("task_time_returned").isNull() | (F.col("task_time_returned") > at)).alias("tasks"), F.max(F.when(F.col("task_time_returned") <= at, late("task_time_returned"))).alias("last")
+    )
+    live = latest_blocks(blocks.where(F.col("timestamp") <= at)).where(~F.col("status").isin(*ENDED)).groupBy("run_id").agg(F.count("*").alias("blocks"))
+    workers = nodes.where(F.col("timestamp") <= at).groupBy("run_id").agg(F.max("worker_count").cast("long").alias("workers_per_node"))
+    whole = out.join(live, "run_id", "left").join(workers, "run_id", "left").withColumn("at", at)
+    idle = F.when(F.col("tasks") == 0, F.coalesce(late("at") - F.col("last"), F.lit(0.0))).otherwise(0.0)
+    return whole.select("run_id", "tasks", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("workers_per_node", F.lit(1)).alias("workers_per_node"), F.lit(0).alias("min_blocks"), F.lit(max_blocks).alias("max_blocks"), F.lit(1).alias("nodes_per_block"), F.lit(parallelism).alias("parallelism"), idle.alias("idle_seconds"), F.lit(120).alias("max_idletime"), F.lit(True).alias("can_shrink"))
+
 
 def scaling_decision(snapshot: DataFrame) -> DataFrame:
     """case and blocks (to add; negative: to remove) for each executor row.
@@ -49,28 +79,26 @@ def windowed_block_failure(latest: DataFrame, threshold: int = 3) -> DataFrame:
     return tail.groupBy("run_id", "executor_label").agg(F.count_if(bad).alias("failed")).withColumn("bad_state", F.col("failed") == threshold)
 
 
-def block_idle_ranking(blocks: DataFrame, managers: DataFrame, terminal: tuple[str, ...] = ("CANCELLED", "COMPLETED", "FAILED", "TIMEOUT", "MISSING", "SCALED_IN")) -> DataFrame:
-    """Blocks in the order in which they are scaled in: longest idle first, then fewest tasks, then block_id.
+def block_idle_ranking(spark: SparkSession, blocks: DataFrame, tries: DataFrame, moment: str) -> DataFrame:
+    """The live blocks of each run as of a moment, in the order in which they could go: longest idle first, then by block_id.
 
-    blocks: run_id, block_id, status; managers: run_id, block_id, active, tasks, idle. A block's idle time is the least of
-    its active managers, infinite without any; managers' blocks count even if unknown.
+    tries: run_id, block_id, task_try_time_launched, task_try_time_returned. A block is idle since its last return, not at all while it
+    has a try, and without end if it never had one. Blocks with tries count even if the block table does not know them.
     """
-    known = blocks.where(~F.col("status").isin(*terminal)).select("run_id", "block_id").distinct()
-    busy = managers.where("active").groupBy("run_id", "block_id").agg(F.sum("tasks").alias("tasks"), F.min("idle").alias("idle"))
-    all_ = known.join(busy, ["run_id", "block_id"], "full_outer").select("run_id", "block_id", F.coalesce("tasks", F.lit(0)).alias("tasks"), F.coalesce("idle", F.lit(float("inf"))).alias("idle"))
-    return all_.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("idle"), "tasks", "block_id")))
-
-
-def dispatch_order(tasks: DataFrame, slots: int | None = None) -> DataFrame:
-    """Tasks of a run by priority (lower first; null last) and id; the first `slots` if given."""
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("priority"), "task_id"))
-    out = tasks.withColumn("place", place)
-    return out if slots is None else out.where(F.col("place") <= slots)
-
-
-def manager_order(managers: DataFrame) -> DataFrame:
-    """Managers in the order in which they get tasks: greatest block_id (as text) first, those without a block last."""
-    return managers.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc_nulls_last("block_id"), "id")))
+    at = F.lit(moment).cast("timestamp_ntz")
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    known = latest_blocks(blocks.where(F.col("timestamp") <= at)).where(~F.col("status").isin(*ENDED)).select("run_id", "block_id").distinct()
+    back = F.col("task_try_time_returned")
+    used = tries.where(F.col("task_try_time_launched") <= at).groupBy("run_id", "block_id").agg(F.count_if(back.isNull() | (back > at)).alias("tasks"), F.max(F.when(back <= at, back)).alias("last"))
+    every = known.join(used, ["run_id", "block_id"], "full_outer")
+    idle = F.when(F.col("tasks") > 0, 0.0).otherwise(F.coalesce(seconds(at) - seconds(F.col("last")), F.lit(float("inf"))))
+    return placed(spark, every.select("run_id", "block_id", F.coalesce("tasks", F.lit(0)).alias("tasks"), idle.alias("idle")).orderBy("run_id", F.desc("idle"), "block_id"))
+
+
+def first_launches(tries: DataFrame, most: int) -> DataFrame:
+    """The `most` tries of each run that were launched first, by time, task and try: each task of the shuffle is sent so many of a run at most."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("task_try_time_launched", "task_id", "try_id"))
+    return tries.where(F.col("task_try_time_launched").isNotNull()).withColumn("place", place).where(F.col("place") <= most)
 
 
 def retry_outcome(tries: DataFrame, retries: float) -> DataFrame:

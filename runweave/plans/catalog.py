@@ -378,16 +378,16 @@ def task_upsert(spark, status):
     return monitoring.upsert(log, ["run_id", "task_id"], ["timestamp", "seq"])
 
 
-@_query(("task",), "SELECT run_id, task_id, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(CASE WHEN task_id % 5 = 0 THEN NULL ELSE CAST(task_id % 4 AS DOUBLE) END, 'inf'::DOUBLE), task_id) AS place FROM task) WHERE place <= 50")
-def dispatch_order(spark, task):
-    given = task.select("run_id", "task_id", F.when(F.col("task_id") % 5 == 0, None).otherwise(F.col("task_id") % 4).alias("priority"))
-    return decisions.dispatch_order(given, 50).select("run_id", "task_id", F.col("place").cast("long").alias("place"))
+@_query(("try",), """SELECT run_id, task_id, try_id, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY task_try_time_launched, task_id, try_id) AS place FROM "try" WHERE task_try_time_launched IS NOT NULL) WHERE place <= 50""")
+def dispatch_order(spark, tries):
+    """The 50 tries of each run that were launched first."""
+    return decisions.first_launches(tries, 50).select("run_id", "task_id", "try_id", F.col("place").cast("long").alias("place"))
 
 
-@_query(("node",), "SELECT run_id, id, block_id, row_number() OVER (PARTITION BY run_id ORDER BY (block_id IS NULL), block_id DESC, id) AS place FROM (SELECT run_id, id, CASE WHEN id % 9 = 0 THEN NULL ELSE block_id END AS block_id FROM node)")
+@_query(("node",), 'SELECT run_id, id, "timestamp", row_number() OVER (PARTITION BY run_id ORDER BY "timestamp", id) AS place FROM node')
 def manager_order(spark, node):
-    given = node.select("run_id", "id", F.when(F.col("id") % 9 == 0, None).otherwise(F.col("block_id")).alias("block_id"))
-    return decisions.manager_order(given).withColumn("place", F.col("place").cast("long"))
+    """The reports of each run's nodes in the order in which they came."""
+    return decisions.placed(spark, node.select("run_id", "id", "timestamp").orderBy("run_id", "timestamp", "id"))
 
 
 # Messages and earlier results.
@@ -550,19 +550,18 @@ def app_fail_count(spark, task):
 
 # Decisions.
 
-_SNAPSHOT = """SELECT run_id, count(*) AS nodes, CAST(sum(cpu_count) % 160 * (count(*) % 3) AS BIGINT) AS tasks, CAST(count(*) % 7 AS BIGINT) AS blocks, 0 AS min_blocks, 5 AS max_blocks, CAST(max(worker_count) AS BIGINT) AS workers_per_node, CAST(1 + count(*) % 2 AS BIGINT) AS nodes_per_block,
-        CASE WHEN count(*) % 2 = 0 THEN 1.0 ELSE 0.5 END AS parallelism, CAST(sum(cpu_count) AS BIGINT) AS idle_seconds, 120 AS max_idletime, count(*) % 2 = 1 AS can_shrink FROM node GROUP BY run_id"""
+_AT = "1995-01-03 12:00:00"
+_LIVE = f"""l AS (SELECT run_id, executor_label, block_id, arg_max(status, "timestamp") AS status FROM block WHERE "timestamp" <= TIMESTAMP '{_AT}' GROUP BY ALL),
+        k AS (SELECT * FROM l WHERE status NOT IN ('CANCELLED', 'COMPLETED', 'FAILED', 'TIMEOUT', 'MISSING', 'SCALED_IN'))"""
 
 
-@_query(("node",), f"""WITH s AS ({_SNAPSHOT}), x AS (SELECT *, workers_per_node * nodes_per_block AS per, blocks * workers_per_node * nodes_per_block AS slots FROM s),
-        c AS (SELECT *, CASE WHEN tasks = 0 THEN CASE WHEN blocks <= min_blocks THEN '1a' ELSE '1b' END WHEN slots < tasks * parallelism THEN CASE WHEN blocks >= max_blocks THEN '2a' ELSE '2b' END WHEN slots = 0 THEN '4a' WHEN slots > tasks THEN '4b' ELSE '3' END AS "case" FROM x)
-        SELECT run_id, tasks, blocks, "case", CAST(CASE "case" WHEN '1b' THEN CASE WHEN idle_seconds > max_idletime THEN min_blocks - blocks ELSE 0 END WHEN '2b' THEN least(ceil(ceil(tasks * parallelism - slots) / per), max_blocks - blocks)
-        WHEN '4b' THEN CASE WHEN can_shrink AND blocks > min_blocks THEN -least(floor(floor(slots - tasks * parallelism) / per), blocks - min_blocks) ELSE 0 END ELSE 0 END AS BIGINT) AS change FROM c""")
-def scaling_decision(spark, node):
-    agg = node.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("cpu_count").alias("cpu"), F.max("worker_count").cast("long").alias("workers_per_node"))
-    n = F.col("n")
-    given = agg.select("run_id", (F.col("cpu") % 160 * (n % 3)).alias("tasks"), (n % 7).alias("blocks"), F.lit(0).alias("min_blocks"), F.lit(5).alias("max_blocks"), "workers_per_node", (1 + n % 2).alias("nodes_per_block"), F.when(n % 2 == 0, 1.0).otherwise(0.5).alias("parallelism"), F.col("cpu").alias("idle_seconds"), F.lit(120).alias("max_idletime"), (n % 2 == 1).alias("can_shrink"))
-    return decisions.scaling_decision(given).select("run_id", "tasks", "blocks", "case", "change")
+@_query(("task", "block", "node"), f"""WITH {_LIVE}, s AS (SELECT t.run_id, count(*) FILTER (task_time_returned IS NULL OR task_time_returned > TIMESTAMP '{_AT}') AS tasks, epoch(TIMESTAMP '{_AT}') - epoch(max(task_time_returned) FILTER (task_time_returned <= TIMESTAMP '{_AT}')) AS idle,
+        coalesce((SELECT count(*) FROM k WHERE k.run_id = t.run_id), 0) AS blocks, coalesce((SELECT max(worker_count) FROM node n WHERE n.run_id = t.run_id AND n."timestamp" <= TIMESTAMP '{_AT}'), 1) AS per FROM task t WHERE task_time_invoked <= TIMESTAMP '{_AT}' GROUP BY t.run_id),
+        c AS (SELECT *, CASE WHEN tasks = 0 THEN CASE WHEN blocks = 0 THEN '1a' ELSE '1b' END WHEN blocks * per < tasks THEN CASE WHEN blocks >= 5 THEN '2a' ELSE '2b' END WHEN blocks * per > tasks THEN '4b' ELSE '3' END AS "case" FROM s)
+        SELECT run_id, tasks, blocks, "case", CAST(CASE "case" WHEN '1b' THEN CASE WHEN coalesce(idle, 0) > 120 THEN -blocks ELSE 0 END WHEN '2b' THEN least(ceil((tasks - blocks * per) / per), 5 - blocks) WHEN '4b' THEN -least((blocks * per - tasks) // per, blocks) ELSE 0 END AS BIGINT) AS change FROM c""")
+def scaling_decision(spark, task, block, node):
+    """What the rule of scaling says of each run as it was recorded at a moment."""
+    return decisions.scaling_decision(decisions.as_of(task, block, node, _AT, 5, 1.0)).select("run_id", "tasks", "blocks", "case", "change")
 
 
 _BLOCKS = """l AS (SELECT run_id, executor_label, block_id, arg_max(status, "timestamp") AS status FROM block GROUP BY ALL)"""
@@ -579,12 +578,12 @@ def windowed_block_failure(spark, block):
     return decisions.windowed_block_failure(decisions.latest_blocks(block), 2)
 
 
-@_query(("block", "node"), f"""WITH {_BLOCKS}, k AS (SELECT DISTINCT run_id, block_id FROM l WHERE status NOT IN ('CANCELLED', 'COMPLETED', 'FAILED', 'TIMEOUT', 'MISSING', 'SCALED_IN')), m AS (SELECT run_id, block_id, sum(id % 3)::BIGINT AS tasks, min(CAST(id % 50 AS DOUBLE)) AS idle FROM node WHERE active GROUP BY ALL),
-        u AS (SELECT run_id, block_id FROM k UNION SELECT run_id, block_id FROM m)
-        SELECT u.run_id, u.block_id, coalesce(tasks, 0) AS tasks, coalesce(idle, 'inf'::DOUBLE) AS idle, row_number() OVER (PARTITION BY u.run_id ORDER BY coalesce(idle, 'inf'::DOUBLE) DESC, coalesce(tasks, 0), u.block_id) AS place FROM u LEFT JOIN m ON m.run_id = u.run_id AND m.block_id = u.block_id""")
-def block_idle_ranking(spark, block, node):
-    managers = node.select("run_id", "block_id", "active", (F.col("id") % 3).alias("tasks"), (F.col("id") % 50).cast("double").alias("idle"))
-    return decisions.block_idle_ranking(decisions.latest_blocks(block), managers).withColumn("place", F.col("place").cast("long"))
+@_query(("block", "try"), f"""WITH {_LIVE}, m AS (SELECT run_id, block_id, count(*) FILTER (task_try_time_returned IS NULL OR task_try_time_returned > TIMESTAMP '{_AT}') AS tasks, max(task_try_time_returned) FILTER (task_try_time_returned <= TIMESTAMP '{_AT}') AS last FROM "try" WHERE task_try_time_launched <= TIMESTAMP '{_AT}' GROUP BY ALL),
+        u AS (SELECT run_id, block_id FROM k UNION SELECT run_id, block_id FROM m), i AS (SELECT u.run_id, u.block_id, coalesce(tasks, 0) AS tasks, CASE WHEN tasks > 0 THEN 0.0 ELSE coalesce(epoch(TIMESTAMP '{_AT}') - epoch(last), 'inf'::DOUBLE) END AS idle FROM u LEFT JOIN m ON m.run_id = u.run_id AND m.block_id = u.block_id)
+        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idle DESC, block_id) AS place FROM i""")
+def block_idle_ranking(spark, block, tries):
+    """Live blocks of each run as recorded at a moment, the longest idle ones first."""
+    return decisions.block_idle_ranking(spark, block, tries, _AT)
 
 
 # Scalar functions.

@@ -103,15 +103,13 @@ def limited(spark: SparkSession, action: Callable[[], T], seconds: float) -> tup
         spark.sparkContext.removeJobTag(tag)
 
 
-def close(spark: SparkSession, flows: tuple = (), queries: tuple = (), name: str = "runweave") -> list[str]:
-    """End a run in order: its flows' steps, its streams, its log files, the session.
+def close(spark: SparkSession, queries: tuple = (), name: str = "runweave") -> list[str]:
+    """End a run in order: its streams, its log files, the session.
 
     A stream stops after the micro-batch that its checkpoint knows; the next run goes on from there. Returns what queries, and
     streams still active, failed with; a failed one does not keep the others from ending.
     """
     errors = []
-    for flow in flows:
-        flow.__exit__()
     for query in {q.runId: q for q in (*queries, *spark.streams.active)}.values():
         if query.exception() is not None:
             errors.append(f"{query.name or query.id}: {query.exception()}")
