@@ -20,6 +20,8 @@ from . import common
 
 #: Ratio of neighbouring count levels, bits for each filter entry, bits that an entry sets.
 BASE, ENTRY_BITS, PROBES = 2**0.5, 6, 3
+#: Bytes of text for each bucket at most: its n-grams, counts and bits stay below 256 MB then, even if no n-gram repeats.
+BUCKET_TEXT = 48 << 20
 #: Rows whose n-grams are counted, or looked up, together.
 ROWS = 4000
 #: Weight of a token's own share against the pairs seen after its predecessor (Dirichlet smoothing).
@@ -172,9 +174,12 @@ class LogFilter:
 def train(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Exact token counts and the filter of quantised token and pair counts of all rows of docs, and the number of buckets.
 
-    The table has a row for each bucket: the tokens' hashes h and counts c, the slice's bits and highest level (top).
+    The table has a row for each bucket: the tokens' hashes h and counts c, the slice's bits and highest level (top). There are as many
+    buckets as shuffle partitions, and more where these would take more than BUCKET_TEXT of the texts each; a task has one bucket.
     """
-    buckets = buckets or max(8, common.partitions(spark))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(8, common.partitions(spark), -(-size // BUCKET_TEXT))
 
     def build(batches):
         held: dict[int, dict[str, list]] = {}
@@ -190,7 +195,7 @@ def train(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> t
             bits = slice_of(keys, level)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary()), pa.array([int(level.max(initial=0))], pa.int32()), pa.array([int(c.sum())], pa.int64()), pa.array([len(h)], pa.int64())], ["bucket", "h", "c", "bits", "top", "total", "tokens"])
 
-    built = count(docs, buckets).repartition(buckets, "bucket").mapInArrow(build, "bucket int, h binary, c binary, bits binary, top int, total long, tokens long")
+    built = count(docs, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(build, "bucket int, h binary, c binary, bits binary, top int, total long, tokens long")
     return common.materialize(spark, built, "ngrams")[0], buckets
 
 
@@ -291,7 +296,7 @@ def _answers(spark: SparkSession, docs: DataFrame, built: DataFrame, buckets: in
 
     slices = built.select(F.lit(None).cast("long").alias("batch"), "bucket", "top", F.col("bits").alias("blob"))
     asked = docs.mapInArrow(ask, _ASK).unionByName(slices)
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("batch").asc_nulls_first()).mapInArrow(answer, _ASK)
+    return asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("batch").asc_nulls_first()).mapInArrow(answer, _ASK)
 
 
 def score(spark: SparkSession, docs: DataFrame, built: DataFrame, buckets: int) -> DataFrame:
