@@ -213,13 +213,25 @@ def test_filter_grows_with_the_ngrams(spark, monkeypatch):
     assert (found > 0).mean() < 0.15
 
 
+def test_buckets_follow_the_texts(spark, monkeypatch):
+    """More text than the shuffle partitions' buckets may hold makes more buckets, each of them one task's."""
+    given = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(200)], "doc_id long, text string")
+    assert language_model.train(spark, given)[1] == 8
+    monkeypatch.setattr(language_model, "BUCKET_TEXT", 2_000)
+    built, buckets = language_model.train(spark, given)
+    assert buckets == -(-given.agg(F.sum(F.octet_length("text"))).first()[0] // 2_000) > 30
+    assert sorted(r["bucket"] for r in built.collect()) == list(range(buckets))
+    placed = language_model.count(given, buckets).repartitionById(buckets, F.col("bucket")).select("bucket", F.spark_partition_id().alias("p")).distinct().collect()
+    assert all(r["bucket"] == r["p"] for r in placed) and len(placed) == buckets
+
+
 def test_lookup_ends_at_the_highest_level():
     full = language_model.LogFilter([np.full(4, ~np.uint64(0))], [5])
     assert (full.lookup(np.arange(100, dtype=np.uint64)) == 5).all()
     assert (language_model.LogFilter([np.full(4, ~np.uint64(0))]).lookup(np.arange(100, dtype=np.uint64)) < 128).all()
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
+@pytest.mark.parametrize("buckets", [1, 7, 64])
 def test_scores_are_those_of_the_whole_filter(spark, monkeypatch, buckets):
     monkeypatch.setattr(language_model, "ROWS", 3)
     rows = [(i, i % 4 == 0, " ".join(WORDS[(i * i + k) % len(WORDS)] for k in range(i % 40))) for i in range(60)] + [(None, True, None)]
@@ -496,6 +508,19 @@ def base_spans(t):
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
 
 
+def test_generators_propose_spans_of_any_length(spark):
+    """Recall of the generators on planted spans: none is missed for its length."""
+    letters = lambda n: "".join("abcdefghijklmnopqrstuvwxyz"[(7 * i) % 26] for i in range(n))
+    planted = [("secret", letters(n) + "7" + letters(20)) for n in (0, 1, 30, 59, 60, 61, 64, 200, 5_000)] + [("secret", "9" * n + "Az") for n in (14, 100, 3_000)]
+    planted += [("contact", f"{letters(n)} [at] mail (dot) example (dot) org") for n in (1, 63, 64, 65, 300, 5_000)] + [("contact", f"jo (at) {letters(n)}.org") for n in (1, 64, 300)]
+    planted += [("ipv6", ":".join(["20ab"] * n)) for n in (4, 6, 8)]
+    planted += [("number", "-".join("123" for _ in range(n))) for n in range(3, pii.GROUPS + 1)] + [("number", "5" * n) for n in (7, 12, 19)]
+    given = spark.createDataFrame([(i, f"see {span} there") for i, (_, span) in enumerate(planted)], "doc_id long, text string")
+    got = pii.candidates(given, pii.MORE_KINDS, ("doc_id",)).select("own.doc_id", F.transform(F.concat(*pii.MORE_KINDS), lambda x: x["raw"]).alias("raw"), F.transform(F.concat(*pii.MORE_KINDS), lambda x: x["kind"]).alias("kind")).collect()
+    missed = [planted[r["doc_id"]] for r in got if (pii.KINDS.index(planted[r["doc_id"]][0]), planted[r["doc_id"]][1]) not in set(zip(r["kind"], r["raw"]))]
+    assert len(got) == len(planted) and missed == []
+
+
 TRICKY = [
     "a@b.c_d@e.f g@h@i.j x..@y.z- @a.b a.b@c.d.e.", "1.2.3.4.5 256.1.1.1 001.02.3.255 1.1.1 9.9.9.9", "4539 1488 0343 6467 4539-1488-0343-6467 4539148803436467  4539148803436468 12345678901234567890",
     "+1 (811) 555-3281 +4 +12345678 +1 2 3 4 5 6 7 8 9 tel +1+2345678901", "𝔘 漢 é a.b@c.de ☃ 10.0.0.1", "+4539148803436467 a4539148803436467b", "a" * 20_000 + "@", "1." * 9000, "1 " * 9000, "+" * 5000 + "(" * 5000,
@@ -785,6 +810,22 @@ def test_language_identification(spark, docs, empty):
         assert 0 <= r["score"] <= 1 and r["lang_pred"] in (*labels, "und")
         if r["doc_id"] in (100, 101, 102, 109):
             assert (r["lang_pred"], r["score"]) == ("und", 0)
+    # every score by plain cosines: letters bound one by one, prototypes added up text by text
+    L = language.letters().astype(np.int64)
+
+    def vector(t):
+        x = [0, *[language._symbol(ord(ch)) for ch in (t or "").lower()], 0]
+        x = [a for i, a in enumerate(x) if i == 0 or a or x[i - 1]]
+        return sum((np.roll(L[a], 2) * np.roll(L[b], 1) * L[c] for a, b, c in zip(x, x[1:], x[2:]) if b), np.zeros(language.DIMENSIONS, np.int64))
+
+    sums = {k: sum(vector(t) for _, t, lang in rows if t and lang == k) for k in labels}
+    texts_ = collections.Counter()
+    for r in given.collect():
+        v = vector(r["text"])
+        cos = [float(v @ sums[k]) / max(1e-9, np.linalg.norm(v) * np.linalg.norm(sums[k])) for k in labels]
+        best = max(range(len(labels)), key=lambda i: cos[i])
+        texts_[r["doc_id"], labels[best] if v.any() else "und", round(max(0.0, cos[best]), 4) if v.any() else 0.0] += 1
+    assert texts_ == collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in out)
     none, zero = language.train(labelled.limit(0))
     assert none == [] and all(r["lang_pred"] == "und" for r in language.identify(spark, given, none, zero).collect())
     assert language.identify(spark, given.limit(0), labels, prototypes).count() == 0

@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: columns of their contracts, hold-outs, and brute force where it is short."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from runweave.llm import common, fixity, language_model, packing, queries, sharding
+from runweave.llm import common, fixity, language_model, packing, pii, queries, sharding
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,6 +104,30 @@ def test_op6(spark, texts):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_op7(spark, texts):
+    """Base spans by plain patterns; what the trees add comes behind, lies clear of them and is of the further kinds."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda x: sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(x)))) % 10 == 0
+    base = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+    got = rows(spark, "op7_boosted_pii", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        found = {k: [(m.start(), m.end()) for m in re.finditer(p, texts[r["doc_id"]][0] or "") if good(m[0])] for k, (p, good) in base.items()}
+        told = [f"{k}:{a}:{b}" for k, xs in found.items() for a, b in xs]
+        assert tuple(r)[1:5] == tuple(len(xs) for xs in found.values())
+        assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert spans[: len(told)] == told
+        taken = [x for xs in found.values() for x in xs]
+        for kind, a, b in (x.split(":") for x in spans[len(told) :]):
+            assert kind in pii.MORE_KINDS and all(int(b) <= c or d <= int(a) for c, d in taken)
+
+
 def test_op9(spark, texts):
     table = sharding.fill([f"shard-{i:03d}" for i in range(sharding.SHARDS)])
     got = rows(spark, "op9_permutation_sharding", "doc_id", "slot", "shard")
