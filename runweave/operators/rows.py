@@ -78,21 +78,21 @@ def in_slices(batches: Iterator[pd.DataFrame], columns: list[str], f: Callable[[
                 done, first, size = [], i, 0
 
 
-def map_rows(rows: DataFrame, column: str, f: Callable, result: str, walltime: float | None = None) -> DataFrame:
-    """rows with the columns result (of the type given as 'name type') and error: f of the column's value, or why it failed.
+def map_rows(rows: DataFrame, column: str | list[str], f: Callable, result: str, walltime: float | None = None) -> DataFrame:
+    """rows with the columns result (of the type given as 'name type') and error: f of the column's value (of the columns' values), or why it failed.
 
     The order of rows is kept in each partition; a failing row does not end the job, nor does one that takes over walltime seconds.
     """
     f = within(f, walltime) if walltime else f
-    name = result.split()[0]
+    name, given = result.split()[0], [column] if isinstance(column, str) else list(column)
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + f", {result}, error string"
 
     def run(batches):
         for pdf in batches:
             values, errors = [], []
-            for v in pdf[column]:
+            for v in zip(*(pdf[c] for c in given), strict=True):
                 try:
-                    values.append(f(v))
+                    values.append(f(*v))
                     errors.append(None)
                 except Exception as e:
                     values.append(None)
@@ -102,16 +102,28 @@ def map_rows(rows: DataFrame, column: str, f: Callable, result: str, walltime: f
     return rows.mapInPandas(run, schema)
 
 
-def run_commands(rows: DataFrame, column: str, timeout: float = 60, outputs: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+def map_tables(spark: SparkSession, f: Callable, result: str, *tables: DataFrame, walltime: float | None = None) -> DataFrame:
+    """Rows (position, result, error): f of the first rows' first columns, of the second rows', ... up to the end of the shortest table.
+
+    position tells the order of the inputs, whatever tasks the calls run in. A call that fails gives its error.
+    """
+    named = [t.select(F.col(f"`{t.columns[0]}`").alias(f"argument{i}")) for i, t in enumerate(tables)]
+    called = map_rows(zipped_tables(spark, *named), [f"argument{i}" for i in range(len(tables))], f, result, walltime)
+    return called.select("position", result.split()[0], "error")
+
+
+def run_commands(rows: DataFrame, column: str, timeout: float = 60, outputs: str | None = None, inputs: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """rows with exit_code, stdout and stderr of the shell command in the column, run on the executor; null if it timed out.
 
-    With outputs, the name of a column of paths, `missing` lists those that do not exist after the command. Commands may run
+    With outputs, the name of a column of paths, `missing` lists those that do not exist after the command. With inputs, another such
+    column, a command does not run while one of them is not there: exit_code is null and stderr tells which. Commands may run
     again when a task is retried. A task holds about most_bytes of output, and that of one command more.
     """
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + ", exit_code int, stdout string, stderr string, missing array<string>"
 
     def one(row: dict) -> tuple:
-        told = run_one(row[column])
+        absent = [] if inputs is None or row[inputs] is None else [p for p in row[inputs] if not os.path.exists(p)]
+        told = (None, None, "no input " + ", ".join(absent)) if absent else run_one(row[column])
         paths = row[outputs] if outputs else None
         return *told, None if paths is None else [p for p in paths if not os.path.exists(p)]
 

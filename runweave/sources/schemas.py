@@ -58,6 +58,13 @@ def unknown_states(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(~F.col(column).isin(*domain) | F.col(column).isNull())
 
 
+def reflect(spark: SparkSession, folder: str, name: str) -> T.StructType:
+    """The columns of a stored table as its files have them: those of this library first, then what others have added, in any of the files."""
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}").schema
+    own = [T.StructField(f.name, f.dataType) for f in TABLES[name]]
+    return T.StructType([*own, *(f for f in stored if f.name not in TABLES[name].names)])
+
+
 def create(spark: SparkSession, folder: str) -> None:
     """Make each table that folder does not have yet, empty."""
     for name, schema in TABLES.items():
@@ -65,13 +72,16 @@ def create(spark: SparkSession, folder: str) -> None:
         spark.createDataFrame([], nullable).write.mode("ignore").parquet(f"{folder}/{name}")
 
 
-def insert(rows: DataFrame, folder: str, name: str) -> None:
-    """Append rows to a table of the folder, in its columns."""
-    conform(rows, name).write.mode("append").parquet(f"{folder}/{name}")
+def insert(rows: DataFrame, folder: str, name: str, more: tuple[str, ...] = ()) -> None:
+    """Append rows to a table of the folder, in its columns and those named in `more`, which the table has from then on."""
+    have, own = set(rows.columns), TABLES[name]
+    columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in own]
+    rows.select(*columns, *[c for c in more if c not in own.names]).write.mode("append").parquet(f"{folder}/{name}")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+def table(spark: SparkSession, folder: str, name: str, reflected: bool = False) -> DataFrame:
+    """A table of the folder in this library's columns; reflected: with those that others have added, null in rows without."""
+    return spark.read.schema(reflect(spark, folder, name) if reflected else TABLES[name]).parquet(f"{folder}/{name}")
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 16, **options: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runweave import session
 from runweave.operators import rows
-from runweave.sources import results
+from runweave.sources import results, schemas
 
 
 def jobs(spark):
@@ -86,3 +86,28 @@ def test_run_folders_of_two_drivers(spark, tmp_path):
     for t in threads:
         t.join()
     assert sorted(made) == [f"{folder}/{i:03d}" for i in range(20)]
+
+
+def test_map_tables_in_input_order(spark):
+    a, b = spark.range(40).repartition(5).orderBy(F.desc("id")), spark.range(30).orderBy("id").select(F.col("id").alias("n"))
+    got = [tuple(r) for r in rows.map_tables(spark, lambda x, y: x // (y % 5), "v long", a, b).orderBy("position").collect()]
+    assert [g[0] for g in got] == list(range(30))
+    assert all(g[1:] == ((39 - i) // (i % 5), None) if i % 5 else g[1] is None and g[2].startswith("ZeroDivisionError") for i, g in enumerate(got))
+
+
+def test_commands_without_inputs_do_not_run(spark, tmp_path):
+    (tmp_path / "in").write_text("x")
+    given = [(1, f"cat {tmp_path}/in", [f"{tmp_path}/in"]), (2, f"touch {tmp_path}/ran", [f"{tmp_path}/in", f"{tmp_path}/none"]), (3, "echo y", None), (4, "echo z", [])]
+    got = {r["k"]: r for r in rows.run_commands(spark.createDataFrame(given, "k int, c string, i array<string>"), "c", inputs="i").collect()}
+    assert [(got[k]["exit_code"], got[k]["stdout"]) for k in (1, 2, 3, 4)] == [(0, "x"), (None, None), (0, "y\n"), (0, "z\n")]
+    assert got[2]["stderr"] == f"no input {tmp_path}/none" and not (tmp_path / "ran").exists()
+
+
+def test_reflected_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    one = spark.createDataFrame([("a", 1, 5)], "run_id string, task_id long, more long")
+    schemas.insert(one, folder, "task")
+    schemas.insert(one.withColumn("run_id", F.lit("b")), folder, "task", ("more", "task_id"))
+    t = schemas.table(spark, folder, "task", reflected=True)
+    assert t.columns == [*schemas.TABLES["task"].names, "more"] and "more" not in schemas.table(spark, folder, "task").columns
+    assert sorted(tuple(r) for r in t.select("run_id", "task_id", "more").collect()) == [("a", 1, None), ("b", 1, 5)]
