@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by inner product: a neighbour graph from NN-descent, searched greedily.
 
-1. Equal vectors are one node; a node keeps its 21 smallest ids, as no answer needs more. Each node has a code of one byte for a
-   component, and a further component that lifts all vectors to one length, so that the nearest by angle are the nearest by
-   inner product for vectors of one length, and close to them for others.
+1. Equal vectors are one node; a node keeps its 21 smallest ids, as no answer needs more. A further component lifts all nodes to one
+   length. A query is a node of its own, with its direction, that length and 0 there: those nearest to it by angle are those of the
+   largest inner product. It has a list but is in no list. Codes of one byte a component stand for all of these.
 2. Nodes start with the nearest in the leaves of a few random partitions. Medians come from a sample of at most SAMPLE vectors.
 3. NN-descent: each round joins every node's list with the codes of its neighbours, brings the nodes that list it to the same
    place, and compares both groups there: neighbours of neighbours, in either direction. A node keeps its DEGREE best. Pairs of
    old edges were compared before and are left out. Rounds end when under STILL of all edges are new.
-4. Search: a query starts from the list of its own node, opens all unopened nodes among its BEAM best, and ends when none is
+4. Search: a query starts from its list, opens all unopened nodes among its BEAM best, and ends when none is
    left. The nodes in the beam are then scored on the original vectors in double precision.
 
 Every row with a vector is indexed and no list of those that point at a node is cut: it is read as a stream, and those of
@@ -39,7 +39,7 @@ HUB, BLOCKS = 4_096, 64
 #: Pairs or rows that are held before they are reduced or sent on.
 HELD, CHUNK = 1_000_000, 2_048
 
-_STATE = "id long, code binary, scale float, dst array<long>, score array<float>, fresh array<boolean>"
+_STATE = "id long, asks boolean, code binary, scale float, dst array<long>, score array<float>, fresh array<boolean>"
 _FOUND = "id long, dst array<long>, score array<float>"
 
 
@@ -139,7 +139,8 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         src, dst, score, fresh = edges
         at = np.array(ids, np.int64)
         counts = np.searchsorted(src, at, "right") - np.searchsorted(src, at)
-        columns = [pa.array(at), pa.array([codes[i][0] for i in ids], pa.binary()), pa.array([codes[i][1] for i in ids], pa.float32()), _lists(dst, counts, pa.int64()), _lists(score, counts, pa.float32()), _lists(fresh, counts, pa.bool_())]
+        asks, code, scale = zip(*(codes[i] for i in ids), strict=True)
+        columns = [pa.array(at), pa.array(asks, pa.bool_()), pa.array(code, pa.binary()), pa.array(scale, pa.float32()), _lists(dst, counts, pa.int64()), _lists(score, counts, pa.float32()), _lists(fresh, counts, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _STATE.split(", ")])
 
     codes: dict[int, tuple] = {}
@@ -150,8 +151,8 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             continue
         ids = batch.column("id").to_numpy()
         node = np.asarray(batch.column("code").is_valid())
-        for i, code, scale in zip(ids[node].tolist(), batch.column("code").filter(pa.array(node)).to_pylist(), batch.column("scale").filter(pa.array(node)).to_pylist(), strict=True):
-            codes[i] = (code, scale)
+        for i, *own in zip(ids[node].tolist(), *(batch.column(c).filter(pa.array(node)).to_pylist() for c in ("asks", "code", "scale")), strict=True):
+            codes[i] = own
         dst, counts = _flat(batch.column("dst"))
         score, fresh = _flat(batch.column("score"))[0], _flat(batch.column("fresh"))[0].astype(bool)
         edges = _reduce(*(np.concatenate(c) for c in zip(edges, (np.repeat(ids, counts), dst, score, fresh), strict=True)), most)
@@ -172,7 +173,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         here = (group.column("at")[0].as_py(), group.column("block")[0].as_py())
         for a in range(0, len(group), CHUNK):
             part = group.slice(a, CHUNK)
-            ids, bar, fresh = part.column("member").to_numpy(), part.column("bar").to_numpy(), np.asarray(part.column("fresh")).astype(bool)
+            ids, bar = part.column("member").to_numpy(), part.column("bar").to_numpy()
+            fresh, asks = (np.asarray(part.column(c)).astype(bool) for c in ("fresh", "asks"))
             x = _decoded(part.column("code"), part.column("scale").to_numpy())
             if here != place:
                 own = part.column("kind").to_numpy() == 0
@@ -183,7 +185,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             score = x @ y.T
             open_ = (fresh[:, None] | to_fresh[None, :]) & (ids[:, None] != to[None, :])
             i, j = np.nonzero(open_ & (score > bar[:, None]))
-            k, m = np.nonzero(open_ & (score > to_bar[None, :]))
+            k, m = np.nonzero(open_ & (score > to_bar[None, :]) & ~asks[:, None])
             held += [(ids[i], to[j], score[i, j]), (to[m], ids[k], score[k, m])]
             size += len(i) + len(k)
             if size >= HELD:
@@ -214,7 +216,7 @@ def _leaf_rows(batches: Iterator[pa.RecordBatch], planes: Planes, large: dict[tu
         for tree in range(TREES):
             leaf = leaves[:, tree]
             blocks = np.array([large.get((tree, b), 1) for b in leaf.tolist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), tree, np.int32)), pa.array(leaf), pa.array((mixed % blocks).astype(np.int32)), *batch.columns], ["tree", "leaf", "block", "id", "code", "scale"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), tree, np.int32)), pa.array(leaf), pa.array((mixed % blocks).astype(np.int32)), *batch.columns], ["tree", "leaf", "block", *batch.schema.names])
 
 
 def _start(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -230,9 +232,12 @@ def _start(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             ids, x = some.column("id").to_numpy(), _decoded(some.column("code"), some.column("scale").to_numpy())
             score = x @ x.T
             np.fill_diagonal(score, -np.inf)
+            score[:, np.asarray(some.column("asks")).astype(bool)] = -np.inf  # a query is in no list
             k = min(most, len(ids) - 1)
             best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            held.append((np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+            found = np.take_along_axis(score, best, 1)
+            good = np.isfinite(found)
+            held.append((np.repeat(ids, k)[good.ravel()], ids[best][good], found[good]))
             size += len(ids) * k
             if size >= HELD:
                 yield from _found(held, most)
@@ -249,18 +254,19 @@ def members(vectors: DataFrame) -> DataFrame:
 
 
 def _met(state: DataFrame, spark: SparkSession, edges: int) -> DataFrame:
-    """Rows (at, block, kind, member, code, scale, bar, fresh): at each node, those that it lists (0) and those that list it (1)."""
+    """Rows (at, block, kind, member, asks, code, scale, bar, fresh): at each node, those that it lists (0) and those that list it (1)."""
     bar = F.when(F.size("dst") < DEGREE, F.lit(float("-inf"))).otherwise(F.element_at("score", -1)).cast("float")
-    nodes = state.select("id", "code", "scale", bar.alias("bar"), F.arrays_zip("dst", "fresh").alias("list"))
-    out = nodes.select("id", "code", "scale", "bar", F.explode("list").alias("e")).select("id", "code", "scale", "bar", F.col("e.dst").alias("dst"), F.col("e.fresh").alias("fresh"))
+    own = ("asks", "code", "scale", "bar")
+    nodes = state.withColumn("bar", bar).select("id", *own, F.arrays_zip("dst", "fresh").alias("list"))
+    out = nodes.select("id", *own, F.explode("list").alias("e")).select("id", *own, F.col("e.dst").alias("dst"), F.col("e.fresh").alias("fresh"))
     # at most a thousand nodes
     hubs = [r["dst"] for r in out.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") >= max(HUB, edges // 1000)).collect()]
     of = lambda c: F.when(F.col(c).isin(hubs), F.lit(BLOCKS)).otherwise(1) if hubs else F.lit(1)
     block = F.pmod(F.xxhash64("id"), of("dst")).cast("int")
-    listing = out.select(F.col("dst").alias("at"), block.alias("block"), F.lit(1).alias("kind"), F.col("id").alias("member"), "code", "scale", "bar", "fresh")
-    lists = out.select(F.col("id").alias("at"), F.col("dst").alias("member"), "fresh").join(nodes.select(F.col("id").alias("member"), "code", "scale", "bar"), "member")
+    listing = out.select(F.col("dst").alias("at"), block.alias("block"), F.lit(1).alias("kind"), F.col("id").alias("member"), *own, "fresh")
+    lists = out.select(F.col("id").alias("at"), F.col("dst").alias("member"), "fresh").join(nodes.select(F.col("id").alias("member"), *own), "member")
     every = F.explode(F.sequence(F.lit(0), of("at") - 1)) if hubs else F.lit(0)
-    listed = lists.select("at", every.alias("block"), F.lit(0).alias("kind"), "member", "code", "scale", "bar", "fresh")
+    listed = lists.select("at", every.alias("block"), F.lit(0).alias("kind"), "member", *own, "fresh")
     return listed.unionByName(listing)
 
 
@@ -271,21 +277,34 @@ def _sized(nodes: DataFrame) -> tuple[int, int, float]:
     return r[0], r[1] or 0, r[2] or 0.0
 
 
-def descend(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, str]:
-    """The neighbour graph of nodes (node, v): a written table (id, code, scale, dst, score, fresh) with each node's list, best first; and its folder."""
+def asking_id(node: Column) -> Column:
+    """The number of a node's query in the graph."""
+    return F.xxhash64(node, F.lit("asks"))
+
+
+def descend(spark: SparkSession, nodes: DataFrame, queries: DataFrame) -> tuple[DataFrame, str]:
+    """The neighbour graph of nodes (node, v) and of queries (query: a node, v), and its folder.
+
+    It is a written table (id, asks, code, scale, dst, score, fresh) with the list of each node and query, best first.
+    """
     n, dim, longest = _sized(nodes)
     parts = common.partitions(spark)
 
     def coded(batches):
         for batch in batches:
-            codes, scales = _coded(_lifted(_matrix(batch.column("v"), dim), longest))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales)], ["id", "code", "scale"])
-
-    codes, codes_path = common.materialize(spark, nodes.mapInArrow(coded, "id long, code binary, scale float"), "codes")
+            x, asks = _matrix(batch.column("v"), dim), np.asarray(batch.column("asks")).astype(bool)
+            x[asks] *= np.sqrt(longest / (x[asks] ** 2).sum(1))[:, None]
+            x = _lifted(x, longest)
+            x[asks, -1] = 0
+            codes, scales = _coded(x)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("asks"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales)], ["id", "asks", "code", "scale"])
+
+    both = nodes.select(F.col("node").alias("id"), F.lit(False).alias("asks"), "v").unionByName(queries.select(asking_id(F.col("query")).alias("id"), F.lit(True).alias("asks"), "v"))
+    codes, codes_path = common.materialize(spark, both.mapInArrow(coded, "id long, asks boolean, code binary, scale float"), "codes")
     some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // SAMPLE)))) == 0).select("v").toArrow()
     sample = _lifted(_matrix(some.column("v").combine_chunks(), dim), longest) if len(some) else np.zeros((0, dim + 1))
     planes, most = Planes(sample, n), DEGREE
-    leaf_schema = "tree int, leaf long, block int, id long, code binary, scale float"
+    leaf_schema = "tree int, leaf long, block int, id long, asks boolean, code binary, scale float"
     placed = lambda large: codes.mapInArrow(lambda batches: _leaf_rows(batches, planes, large), leaf_schema)
     counts = placed({}).groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= max(8 * LEAF, n // 1000))
     large = {(r["tree"], r["leaf"]): -(-r["n"] // LEAF) for r in counts.collect()}  # at most a thousand of each tree
@@ -345,7 +364,7 @@ def _beams(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 
 def search(spark: SparkSession, graph: DataFrame, queries: DataFrame) -> tuple[DataFrame, str]:
-    """Beams (query, v, ids, scores, opened) of queries (query: a node, v) in a graph of descend(); and the folder of the table."""
+    """Beams (query, v, ids, scores, opened) of queries (query: a node, v) in a graph of descend() that has them; and the folder of the table."""
     parts, most = common.partitions(spark), BEAM
     asked = queries.select(F.col("query"), F.transform("v", lambda x: x.cast("double")).alias("v"))
     lists = graph.select(F.col("id").alias("at"), F.posexplode("dst").alias("place", "member")).join(graph.select(F.col("id").alias("member"), "code", "scale"), "member")
@@ -370,8 +389,8 @@ def search(spark: SparkSession, graph: DataFrame, queries: DataFrame) -> tuple[D
         rows = beams.unionByName(found, allowMissingColumns=True)
         return common.materialize(spark, rows.repartition(parts, "query").sortWithinPartitions("query", F.col("v").isNull()).mapInArrow(lambda batches: _beams(batches, most), _BEAM), "beams")
 
-    # a query opens its own node first
-    empty = asked.select("query", "v", F.array("query").alias("ids"), F.array(F.lit(float("-inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("opened"))
+    # a query opens its own list first
+    empty = asked.select("query", "v", F.array(asking_id(F.col("query"))).alias("ids"), F.array(F.lit(float("-inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("opened"))
     beams, path = common.materialize(spark, empty, "beams")
     while True:
         unopened = F.filter(F.arrays_zip("ids", "opened"), lambda e: ~e["opened"])
@@ -400,9 +419,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, asks: Column, k: int = NEAR
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     held, _ = common.materialize(spark, members(vectors), "members")
     nodes = held.where("place = 1").select("node", "v")
-    graph, graph_path = descend(spark, nodes)
     asking = vectors.where(asks & takes_part(F.col("vec_id"), F.col("embedding"))).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query")).distinct()
     queries = nodes.join(asking.select("query").distinct(), nodes["node"] == F.col("query"), "left_semi").select(F.col("node").alias("query"), "v")
+    graph, graph_path = descend(spark, nodes, queries)
     beams, _ = search(spark, graph, queries)
     common.remove(spark, graph_path)
 

@@ -92,9 +92,9 @@ def test_groups_over_batches():
 
 def test_merging_over_batches():
     names = [c.split()[0] for c in graph._STATE.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())]
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-    first = batch([(1, b"a", 1.0, [2, 3], [0.5, 0.25], [False, False])])
-    second = batch([(1, None, None, [3, 4, 1], [0.25, 0.75, 9.0], [True] * 3), (2, b"b", 1.0, [], [], []), (2, None, None, [5], [0.125], [True])])
+    first = batch([(1, False, b"a", 1.0, [2, 3], [0.5, 0.25], [False, False])])
+    second = batch([(1, None, None, None, [3, 4, 1], [0.25, 0.75, 9.0], [True] * 3), (2, True, b"b", 1.0, [], [], []), (2, None, None, None, [5], [0.125], [True])])
     out = [r for b in graph._merged(iter([first, second]), 2) for r in b.to_pylist()]
     assert [(r["id"], r["code"], r["dst"], r["fresh"]) for r in out] == [(1, b"a", [4, 2], [True, False]), (2, b"b", [5], [True])]
