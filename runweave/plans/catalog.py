@@ -679,12 +679,12 @@ def mapped_rows(spark, node):
     return out.select("id", "share", F.substring_index("error", ":", 1).alias("error"))
 
 
-@_query(("task", "node"), """SELECT position, CASE WHEN cpu_count % 7 > 0 THEN task_id * 100 // (cpu_count % 7) END AS share, cpu_count % 7 = 0 AS failed FROM (SELECT task_id, row_number() OVER (ORDER BY task_id DESC) - 1 AS position FROM task)
+@_query(("task", "node"), """SELECT position, CASE WHEN cpu_count % 7 > 0 THEN task_id * 100 // (cpu_count % 7) ELSE -1 END AS share, cpu_count % 7 = 0 AS failed FROM (SELECT task_id, row_number() OVER (ORDER BY task_id DESC) - 1 AS position FROM task)
         JOIN (SELECT cpu_count, row_number() OVER (ORDER BY id) - 1 AS position FROM node) USING (position)""")
 def mapped_tables(spark, task, node):
     """A function of each task and the node at its place, which fails for some; results by the order of the inputs."""
     tables = (task.select("task_id", "run_id").orderBy(F.desc("task_id")).select("task_id"), node.select("id", "cpu_count").orderBy("id").select((F.col("cpu_count") % 7).alias("n")))
-    return rows.map_tables(spark, lambda a, b: int(a) * 100 // int(b), "share long", *tables).select("position", "share", F.col("error").isNotNull().alias("failed"))
+    return rows.map_tables(spark, lambda a, b: int(a) * 100 // int(b), "share long", *tables).select("position", F.coalesce("share", F.lit(-1)).alias("share"), F.col("error").isNotNull().alias("failed"))
 
 
 def commands_with_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -692,11 +692,11 @@ def commands_with_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     path = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("/no/such/file-"), "n_nationkey")).otherwise("/bin/bash")
     given = nation.select("n_nationkey", path.alias("path")).select("n_nationkey", F.array("path").alias("needs"), F.concat(F.lit("test -e "), "path", F.lit(" && echo read")).alias("command"))
-    return rows.run_commands(given, "command", inputs="needs").select("n_nationkey", "exit_code", "stdout", F.col("stderr").alias("told"))
+    return rows.run_commands(given, "command", inputs="needs").select("n_nationkey", F.coalesce("exit_code", F.lit(-1)).alias("exit_code"), "stdout", F.col("stderr").alias("told"))
 
 
 QUERIES["commands_with_inputs"] = commands_with_inputs
-ORACLES["commands_with_inputs"] = """SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN 0 END AS exit_code, CASE WHEN n_nationkey % 4 > 0 THEN 'read' || chr(10) END AS stdout, CASE WHEN n_nationkey % 4 > 0 THEN '' ELSE 'no input /no/such/file-' || n_nationkey END AS told FROM nation"""
+ORACLES["commands_with_inputs"] = """SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN 0 ELSE -1 END AS exit_code, CASE WHEN n_nationkey % 4 > 0 THEN 'read' || chr(10) END AS stdout, CASE WHEN n_nationkey % 4 > 0 THEN '' ELSE 'no input /no/such/file-' || n_nationkey END AS told FROM nation"""
 
 
 def command_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
