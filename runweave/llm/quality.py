@@ -19,17 +19,46 @@ from . import common
 
 #: (least and most characters per token, least entropy in bits, most byte-fallback share, least bits of the commonest token)
 #: by language or script.
-#: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words). What fit_bands() takes off, or adds.
-SLACK, MARGIN, TAIL = 1.0, 0.3, 0.001
-#: Rounded down from fit_bands() on the labelled documents of even number at sf0.1; `latin` and `other` are for languages without labels.
+#: Short texts vary more: the least characters per token are lowered by SLACK / sqrt(words), or less where they are under LOW. What fit_bands() takes off, or adds.
+SLACK, LOW, MARGIN, TAIL = 1.0, 1.6, 0.3, 0.001
+#: Those of languages are rounded down from fit_bands() on the labelled documents of even number at sf0.1. Those of scripts are for
+#: languages without labels: their least characters per token lie between a public paragraph in the script and random letters
+#: of its alphabet (both in the tests), but for Han, whose random characters cost hardly more than a text. `latin` is the widest of the languages, `other` takes all further scripts.
 BANDS = {
     "en": (1.8, 9.0, 5.2, 0.10, 3.1),
     "de": (1.9, 9.0, 5.5, 0.10, 3.1),
     "fr": (1.6, 9.0, 5.3, 0.10, 3.1),
     "es": (1.7, 9.0, 5.4, 0.10, 3.1),
     "latin": (1.6, 9.0, 5.2, 0.15, 3.1),
+    "cyrillic": (1.9, 9.0, 4.5, 0.30, 2.5),
+    "greek": (1.3, 9.0, 4.5, 0.30, 2.5),
+    "hebrew": (1.3, 9.0, 4.5, 0.30, 2.5),
+    "arabic": (1.3, 9.0, 4.5, 0.30, 2.5),
+    "devanagari": (0.70, 9.0, 4.0, 0.30, 2.2),
+    "thai": (0.94, 9.0, 4.0, 0.30, 2.5),
+    "han": (0.60, 6.0, 4.5, 0.30, 2.5),
+    "kana": (0.96, 6.0, 4.5, 0.30, 2.5),
+    "hangul": (0.96, 6.0, 4.5, 0.30, 2.5),
     "other": (0.40, 9.0, 4.5, 0.95, 2.5),
 }
+#: Code points of scripts, first and last of each range (fixed values of Unicode's blocks).
+SCRIPTS = (
+    ("latin", 0x41, 0x24F),
+    ("greek", 0x370, 0x3FF),
+    ("cyrillic", 0x400, 0x52F),
+    ("hebrew", 0x590, 0x5FF),
+    ("arabic", 0x600, 0x77F),
+    ("devanagari", 0x900, 0x97F),
+    ("thai", 0xE00, 0xE7F),
+    ("latin", 0x1E00, 0x1EFF),
+    ("greek", 0x1F00, 0x1FFF),
+    ("kana", 0x3040, 0x30FF),
+    ("han", 0x3400, 0x9FFF),
+    ("hangul", 0xAC00, 0xD7AF),
+    ("han", 0x20000, 0x3FFFF),
+)
+#: Share of kana from which a text of kana and Han characters is Japanese.
+KANA = 0.1
 #: Words whose tokens a worker remembers; beyond it the memory starts afresh.
 CACHE_WORDS = 400_000
 _SPACE, _SYMBOLS, _INNER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
@@ -74,6 +103,23 @@ class WordTokens:
         return chars / len(ids), float(-(p * np.log2(p)).sum()), (both >> 32) / max(1, both & 0xFFFFFFFF), float(-np.log2(p.max()))
 
 
+_NAMES = ("other", *dict.fromkeys(s for s, _, _ in SCRIPTS))
+_BORDERS = np.array([b for _, first, last in SCRIPTS for b in (first, last + 1)])
+_BETWEEN = np.array([0, *(i for s, _, _ in SCRIPTS for i in (_NAMES.index(s), 0))])
+
+
+def script_of(text: bytes, points: int) -> str:
+    """The script that most of a text's `points` code points are in; `other` if none is known, `latin` if it takes few bytes."""
+    if len(text) < 1.4 * points:
+        return "latin"
+    codes = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    many = np.bincount(_BETWEEN[np.searchsorted(_BORDERS, codes, "right")], minlength=len(_NAMES))
+    many[0] = 0
+    found = _NAMES[int(many.argmax())]
+    kana, han = (int(many[_NAMES.index(s)]) for s in ("kana", "han"))
+    return "kana" if found == "han" and kana >= KANA * (kana + han) else found
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window found at least twice."""
     if len(words) < 4:
@@ -121,7 +167,7 @@ def statistics(docs: DataFrame, ranks_path: str, pieces_path: str, keep: tuple[s
                     if len(set(lines)) < len(lines):
                         lines = [x for x in lines if x.strip()]
                         dup = len(lines) - len(set(lines))
-                    rows.append((len(ws), chars, len(t) - len(t.translate(None, _SYMBOLS)), dup, repeated_words(ws), *coder.measure(ws, chars), "latin" if len(t) < 1.4 * points else "other"))
+                    rows.append((len(ws), chars, len(t) - len(t.translate(None, _SYMBOLS)), dup, repeated_words(ws), *coder.measure(ws, chars), script_of(t, points)))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, part.column(1), *[part.column(0)] * ("text" in keep)], names)
 
@@ -151,7 +197,7 @@ def verdicts(stats: DataFrame, bands: dict = BANDS) -> DataFrame:
         return F.coalesce(*[F.when(of == k, F.lit(float(v[i]))) for k, v in bands.items()])
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = (F.col("chars_per_token") >= limit(0) - SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.col("chars_per_token") <= limit(1)) & (F.col("token_entropy") >= limit(2)) & (F.col("fallback_share") <= limit(3)) & (F.col("min_entropy") >= limit(4))
+    inside = (F.col("chars_per_token") >= limit(0) - SLACK * F.least(F.lit(1.0), limit(0) / LOW) / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.col("chars_per_token") <= limit(1)) & (F.col("token_entropy") >= limit(2)) & (F.col("fallback_share") <= limit(3)) & (F.col("min_entropy") >= limit(4))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))
 
 
