@@ -104,7 +104,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, w) for i, t in items if len(w := normal(t))]
-        self.shingles = [np.unique(common.shingles(w, WORDS)) for _, w in self.items]
+        self.shingles = [np.unique(common.shingles(w, WORDS), return_counts=True) for _, w in self.items]
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, (_, w) in enumerate(self.items):
             firsts, size = parts(len(w))
@@ -157,14 +157,28 @@ class Index:
         return out
 
 
-    def may_match(self, k: int, shingles: np.ndarray) -> bool:
-        """Whether enough of the shingles around a found place are the item's; always for items of one shorter shingle."""
-        words = len(self.items[k][1])
-        if words < WORDS:
-            return True
-        own = self.shingles[k]
-        hits = own[np.minimum(np.searchsorted(own, shingles), len(own) - 1)] == shingles
-        return 100 * int(np.count_nonzero(hits)) >= PERCENT * (words - WORDS + 1)
+    def places(self, k: int, shingles: np.ndarray) -> np.ndarray:
+        """Place of each shingle among the item's distinct ones, -1 for others."""
+        own = self.shingles[k][0]
+        at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+        return np.where(own[at] == shingles, at, -1)
+
+
+def in_common(places: np.ndarray, numbers: np.ndarray, m: int) -> np.ndarray:
+    """For each window of m shingles how many it has in common with an item that has numbers[p] of those at place p.
+
+    A shingle counts in the windows that hold it and no more than numbers - 1 equal ones before it, so each adds one to a run
+    of windows: the time is that of sorting the places, whatever m is.
+    """
+    at = np.flatnonzero(places >= 0)
+    at = at[np.argsort(places[at], kind="stable")]
+    own = places[at]
+    back = np.arange(len(at)) - numbers[own]
+    same = (back >= 0) & (own[np.maximum(back, 0)] == own)
+    before = np.where(same, at[np.maximum(back, 0)], -1)
+    size = len(places) + 1
+    change = np.bincount(np.maximum(before, at - m) + 1, minlength=size) - np.bincount(at + 1, minlength=size)
+    return np.cumsum(change)[: size - m]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -188,29 +202,48 @@ def _find(index: Index, texts: list[str | None]):
         sizes = np.array([len(w) for w in words[at:end]])
         h = np.concatenate(words[at:end])
         starts = np.cumsum(sizes) - sizes
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        done: dict[tuple[int, int], set[int]] = {}
-        around = common.shingles(h, WORDS)
+        found: dict[tuple[int, int], list[int]] = {}
         for d, k, first in index.candidates(h, np.repeat(np.arange(len(sizes)), sizes)):
-            own, item = words[at + d], index.items[k][1]
-            shift = max(SHIFT, lost(len(item)))
-            if not index.may_match(k, around[max(0, first - shift) : max(0, first + shift + len(item))]):
-                continue
-            at_least, at_most = first - int(starts[d]) - shift, first - int(starts[d]) + shift
-            last = max(0, len(own) - len(item))
-            for p in range(min(max(at_least, 0), last), min(max(at_most, 0), last) + 1):
-                if p in done.setdefault((d, k), set()):
-                    continue
-                done[d, k].add(p)
-                least, most = similarity(own[p : p + len(item)], item)
-                if 100 * least >= PERCENT * most:
-                    new = (100 * least / most, -p)
-                    best[d, k] = max(best.get((d, k), new), new)
-        for (d, k), (s, p) in sorted(best.items()):
-            yield at + d, index.items[k][0], s, -p
+            found.setdefault((d, k), []).append(first - int(starts[d]))
+        for (d, k), firsts in sorted(found.items()):
+            best = max((_best(index, k, words[at + d], a, b) for a, b in _runs(firsts, len(words[at + d]), len(index.items[k][1]))), key=lambda x: x or (0.0, 0))
+            if best:
+                yield at + d, index.items[k][0], best[0], -best[1]
         at = end
 
 
+def _runs(firsts: list[int], own: int, item: int):
+    """First and last place of each run of windows to compare: all that begin near a found place, each once."""
+    shift, last = max(SHIFT, lost(item)), max(0, own - item)
+    a = b = None
+    for first in sorted(firsts):
+        low, high = (min(max(first + s, 0), last) for s in (-shift, shift))
+        if a is not None and low <= b + 1:
+            b = max(b, high)
+            continue
+        if a is not None:
+            yield a, b
+        a, b = low, high
+    yield a, b
+
+
+def _best(index: Index, k: int, own: np.ndarray, a: int, b: int) -> tuple[float, int] | None:
+    """(similarity percent, minus the first word) of the best of the windows of item k's size at a to b, the first of equals; None if none is similar enough."""
+    item = index.items[k][1]
+    size = min(len(item), len(own))
+    if size < WORDS:
+        tried = [(*similarity(own[p : p + size], item), -p) for p in range(a, b + 1)]
+    else:
+        m, full = size - WORDS + 1, len(item) - WORDS + 1
+        places = index.places(k, common.shingles(own[a : b + size], WORDS))
+        if 100 * int(np.count_nonzero(places >= 0)) < PERCENT * full:
+            return None
+        least = in_common(places, index.shingles[k][1], m)
+        p = int(least.argmax())
+        tried = [(int(least[p]), full + m - int(least[p]), -(a + p))]
+    return max(((100 * x / y, p) for x, y, p in tried if 100 * x >= PERCENT * y), default=None)
+
+
 def _indexed(spark: SparkSession, items: DataFrame):
     """Names and broadcasts of the distinct items (item_id, text) in blocks of about ITEMS and ITEM_BYTES at most, or one longer item."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
