@@ -7,6 +7,8 @@ nodes that differ, down to the records. Trees have a fixed shape over ids, so a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +42,17 @@ def leaves(records: DataFrame, key: str, content: Column) -> DataFrame:
     return one.select("file", "slot", "key", "length", F.when(F.col("records") == 1, F.lower(single)).otherwise(F.sha2(F.concat_ws(":", "records", *lanes), 256)).alias("hash"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to the roots: file, node, hash, and the range of offsets in the file."""
+def tree(leaf: DataFrame, stored: Callable[[DataFrame], DataFrame] = lambda level: level) -> list[DataFrame]:
+    """Levels from the leaves to the roots: file, node, hash, and the range of offsets in the file; each is made from the stored one below."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("file").orderBy("slot")
     end = F.sum("length").over(order)
-    levels = [leaf.select("file", F.col("slot").alias("node"), "hash", (end - F.col("length")).alias("start"), end.alias("end"), "key")]
+    levels = [stored(leaf.select("file", F.col("slot").alias("node"), "hash", (end - F.col("length")).alias("start"), end.alias("end"), "key"))]
     for _ in range(LEVELS):
         up = levels[-1].groupBy("file", F.floor(F.col("node") / FANOUT).alias("node"))
         kids = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        levels.append(up.agg(F.sha2(F.to_json(kids), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")))
+        levels.append(stored(up.agg(F.sha2(F.to_json(kids), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end"))))
     return levels
 
 
@@ -59,7 +61,14 @@ def audit(spark: SparkSession, ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
     status is corrupt, or missing (only in ours) or extra (only in theirs). Two empty replicas agree.
     """
-    a, b = (tree(common.materialize(spark, x, "leaves")[0]) for x in (ours, theirs))
+    paths: list[str] = []
+
+    def stored(rows: DataFrame) -> DataFrame:
+        written, path = common.materialize(spark, rows, "level")
+        paths.append(path)
+        return written
+
+    a, b = tree(ours, stored), tree(theirs, stored)
     bad = None
     for level in range(LEVELS, -1, -1):
         x, y = a[level], b[level]
@@ -68,7 +77,10 @@ def audit(spark: SparkSession, ours: DataFrame, theirs: DataFrame) -> DataFrame:
             x, y = (t.withColumn("up", up[1]).join(bad, ["file", "up"], "left_semi").drop("up") for t in (x, y))
         both = x.alias("x").join(y.alias("y"), ["file", "node"], "full_outer").where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
         if level:
-            bad = common.materialize(spark, both.select("file", F.col("node").alias("up")), "mismatches")[0]
+            bad = stored(both.select("file", F.col("node").alias("up")))
+    # the result reads the leaves of both and the last mismatches
+    for path in (*paths[1 : LEVELS + 1], *paths[LEVELS + 2 : -1]):
+        common.remove(spark, path)
     status = F.when(F.col("y.hash").isNull(), "missing").when(F.col("x.hash").isNull(), "extra").otherwise("corrupt")
     pick = lambda c: F.coalesce(f"x.{c}", f"y.{c}").alias(c)
     return both.select("file", F.col("node").alias("slot"), pick("key"), pick("start"), pick("end"), F.col("x.hash").alias("hash"), F.col("y.hash").alias("replica_hash"), status.alias("status"))
