@@ -36,6 +36,9 @@ RARE, FREQUENT = 1000, 64
 #: Sets that one tree takes at most, and at least before a group is split; larger groups are dealt into blocks of about half as
 #: many, and each two blocks meet. See tree_sets().
 GROUP_SETS, GROUP_LEAST = 20_000, 1_000
+#: Bits of a set's bitmap at most where the bitmap goes to every group of the set, so that its traffic grows with the words of a very
+#: long text and not with their square; the exact traversal has bitmaps of full width.
+WIDEST = 1 << 16
 #: Shingles that one exact traversal takes, by the same rule.
 GROUP_SHINGLES = 16_000_000
 #: Documents of one set from which joins on the set are salted, and salts.
@@ -98,6 +101,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     A very frequent shingle is so in some part, so these rows name all of them, but for tables in parts of under 8 sets.
     """
+    widest = WIDEST
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -107,7 +111,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             rows = []
             for (doc, u, s, check), key in zip(_sets(batch), batch.column("key").to_pylist(), strict=True):
                 new = len(u) > 0 and (s, check) not in seen
-                rows.append((doc, key, len(u), s, check, signature_tree.bitmap(u) if new else None, None, None))
+                rows.append((doc, key, len(u), s, check, signature_tree.bitmap(u, widest) if new else None, None, None))
                 if new:
                     seen.add((s, check))
                     held.append(u)

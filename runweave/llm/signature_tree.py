@@ -1,6 +1,6 @@
 """Signature trees: sets under nodes that hold OR-combined bitmaps and size ranges, joined by dual traversal.
 
-A set of n elements has a bitmap of the next power of two from 2 n bits. A node holds its sets' combined bitmap,
+A set of n elements has a bitmap of the next power of two from 2 n bits, or fewer if a bound is given. A node holds its sets' combined bitmap,
 their range of sizes, and the most elements that a set has beyond its bits. Two nodes are descended only if some
 pair below them can be similar enough: by sizes, and by the elements that the common bits can hold at most.
 """
@@ -14,9 +14,9 @@ import numpy as np
 LEAF, FANOUT = 32, 8
 
 
-def bitmap(u: np.ndarray) -> bytes:
-    """Bitmap of a set of hashes."""
-    width = max(64, 1 << (2 * len(u) - 1).bit_length())
+def bitmap(u: np.ndarray, widest: int = 1 << 62) -> bytes:
+    """Bitmap of a set of hashes, of at most `widest` bits (a power of two): a narrow one rules out fewer pairs, never a similar one."""
+    width = max(64, min(widest, 1 << (2 * len(u) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(u & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
