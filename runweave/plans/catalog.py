@@ -6,7 +6,7 @@ subqueries for windows, recursion for repeated joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -444,10 +444,15 @@ def streamed_tasks(spark, task):
     return monitoring.upsert(log, ["run_id", "task_id"], ["seq"])
 
 
-def _in_files(messages: DataFrame, base: str, number, files: int) -> DataFrame:
-    """The messages as a stream that reads a file a micro-batch; number says which of the files has a message."""
-    messages.withColumn("k", number.cast("int")).repartition(files, "k").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").partitionBy("k").json(f"{base}/in")
-    return ingest.read(messages.sparkSession, f"{base}/in/*", 1)
+def _in_files(messages: DataFrame, base: str, number, batches: int) -> tuple[DataFrame, Iterator[int]]:
+    """The messages as a stream, and an iterator that lets the files of the next batch appear; number says which batch has a message.
+
+    A batch has as many files as its size asks for, so no task holds a whole one. The stream is started anew for each batch.
+    """
+    spark = messages.sparkSession
+    messages.withColumn("k", number.cast("int")).hint("rebalance", F.col("k")).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").partitionBy("k").json(f"{base}/made")
+    appear = (k for k in range(batches) if shared.move(spark, f"{base}/made/k={k}", f"{base}/in/k={k}"))
+    return ingest.read(spark, f"{base}/in/*", 2**31 - 1), appear
 
 
 def _task_message(task: DataFrame, seq, **values) -> DataFrame:
@@ -463,10 +468,11 @@ def kept_tasks(spark, task):
     hashed = _task_message(task, F.lit(2), task_hashsum=F.col("task_hashsum"), task_fail_count=F.lit(-1))
     ended = _task_message(task, F.lit(3), task_fail_count=F.col("task_fail_count"))
     messages = called.unionByName(hashed).unionByName(ended)
-    stream = _in_files(messages, base, F.pmod(F.xxhash64("task_id", "seq"), F.lit(12)), 12)
+    stream, appear = _in_files(messages, base, F.pmod(F.xxhash64("task_id", "seq"), F.lit(12)), 12)
     state = snapshot.Snapshot(spark, f"{base}/state", ("run_id", "task_id"), ("seq",))
     rows = lambda batch: ingest.rows_for(batch, "task").select("seq", "run_id", "task_id", "task_func_name", "task_hashsum", "task_fail_count")
-    snapshot.keep(stream, rows, state, f"{base}/checkpoint", 4).awaitTermination()
+    for _ in appear:
+        snapshot.keep(stream, rows, state, f"{base}/checkpoint", 4).awaitTermination()
     return state.read()
 
 
@@ -476,8 +482,9 @@ def isolated_batches(spark, task):
     base = shared.fresh(spark, "isolated")
     good = _task_message(task.where("task_id % 64 <> 7"), F.col("task_id"))
     bad = task.where("task_id % 64 = 7").select(F.lit("TASK_INFO").alias("type"), "run_id", F.col("task_id").alias("seq"), F.lit("{}").alias("payload"))
-    stream = _in_files(good.unionByName(bad, allowMissingColumns=True), base, F.col("seq") % 4, 4)
-    ingest.ingest(stream, f"{base}/out", f"{base}/checkpoint", strict=True, isolate=True).awaitTermination()
+    stream, appear = _in_files(good.unionByName(bad, allowMissingColumns=True), base, F.col("seq") % 4, 4)
+    for _ in appear:
+        ingest.ingest(stream, f"{base}/out", f"{base}/checkpoint", strict=True, isolate=True).awaitTermination()
     stored = spark.read.parquet(f"{base}/out/task").select("run_id", F.col("task_id").cast("long").alias("task_id"), F.lit("stored").alias("state"))
     return stored.unionByName(ingest.errors(spark, f"{base}/out").where("task_id is not null").select("run_id", "task_id", F.lit("put aside").alias("state")))
 
@@ -768,13 +775,13 @@ def zip_source_members(spark, task):
 
 @_query(("task",), """SELECT 'counted' AS name, 'exec_done' AS state, count(*) FILTER (task_id % 3 < 2) AS "rows", 2::BIGINT AS batches, false AS told FROM task UNION ALL SELECT 'broken', 'failed', 0, 0, true""")
 def stream_states(spark, task):
-    """Two streams of messages told of by a listener: one reads two of three files in a batch each, the other one fails at its first."""
+    """Two streams of messages told of by a listener: one reads two of three thirds in a batch each, the other one fails at its first."""
     base = shared.fresh(spark, "states")
     messages = _task_message(task.where("task_id % 3 < 2"), F.col("task_id"))
-    stream = _in_files(messages, base, F.col("seq") % 3, 2)
+    stream, appear = _in_files(messages, base, F.col("seq") % 3, 2)
     log = progress.StreamLog(spark, f"{base}/states").start()
-    out = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/a").trigger(availableNow=True).queryName("counted").start()
-    out.awaitTermination()
+    for _ in appear:
+        stream.writeStream.format("noop").option("checkpointLocation", f"{base}/a").trigger(availableNow=True).queryName("counted").start().awaitTermination()
     bad = stream.select(F.raise_error(F.lit("odd"))).writeStream.format("noop").option("checkpointLocation", f"{base}/b").trigger(availableNow=True).queryName("broken").start()
     try:
         bad.awaitTermination()

@@ -36,3 +36,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table of the shared folder that no later plan reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a finished file or folder to where its readers look; whether there was one."""
+    p, q = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{path} was not renamed to {to}")
+    return True

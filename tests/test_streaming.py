@@ -3,6 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from runweave.plans import catalog
 from runweave.streaming import ingest, worker_status
 
 
@@ -73,3 +74,22 @@ def test_idle_tries_are_forgotten(spark, tmp_path):
     assert got == [(1, "running_ended", 1), (1, "running_ended", 1), (3, "running_ended", 3)]
     kept = told(spark, ingest.read(spark, f"file://{folder}", 1), tmp_path / "kept", "kept", 5, idle_ms=10_000_000)
     assert kept == [(1, "running_ended", 1), (2, "running", 2), (3, "running_ended", 3)]
+
+
+def test_a_batch_has_many_files(spark, tmp_path):
+    """The rows of a batch are dealt by size, so that no task holds all of them; a batch is still one micro-batch."""
+    for key, value in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k"), ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")):
+        spark.conf.set(key, value)
+    try:
+        task = spark.range(0, 30_000, 1, 8).select(F.lit("r").alias("run_id"), F.col("id").alias("task_id"), F.col("id").cast("string").alias("task_func_name"))
+        messages = catalog._task_message(task, F.col("task_id"), task_func_name=F.col("task_func_name"))
+        stream, appear = catalog._in_files(messages, f"file://{tmp_path}/b", F.col("seq") % 2, 3)
+        seen = []
+        for k in appear:
+            writer = stream.writeStream.foreachBatch(lambda batch, n: seen.append((n, *batch.agg(F.count("*"), F.min(F.col("seq") % 2), F.max(F.col("seq") % 2)).first())))
+            writer.option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+            assert len([f for f in os.listdir(tmp_path / "b" / "in" / f"k={k}") if f.endswith(".json")]) > 2
+    finally:
+        for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+            spark.conf.unset(key)
+    assert seen == [(0, 15_000, 0, 0), (1, 15_000, 1, 1)]
