@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "archive string, member string, size long, content binary"
 #: Bytes of archives that one task reads, about; a larger archive is cut between members.
 SPLIT_BYTES = 32 << 20
+#: Members of one written archive at most: its directory is in memory while it is written or read, about 1 kB a member.
+MOST_MEMBERS = 20_000
 
 
 def register(spark: SparkSession) -> None:
@@ -129,37 +131,44 @@ class ZipReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    aside: str | None
-    name: str
+    aside: str
+    names: list[str]
 
 
 class ZipWriter(DataSourceWriter):
-    """Each task's rows (member, content, ...) become one zip file, which appears in the folder when all tasks have ended."""
+    """Each task's rows (member, content, ...) become zip files, which appear in the folder when all tasks have ended.
+
+    A zip file ends with the row that brings it to membersPerFile members or splitBytes bytes, so that a task holds no more of
+    its directory, and its readers need not cut it.
+    """
 
     def __init__(self, options: dict, columns: list[str]):
         if missing := {"member", "content"} - set(columns):
             raise ValueError(f"rows to write as zip files need {sorted(missing)}")
         self.path, self.job = options["path"], uuid.uuid4().hex
+        self.members, self.split = int(options.get("membersPerFile", MOST_MEMBERS)), int(options.get("splitBytes", SPLIT_BYTES))
 
     def write(self, rows: Iterator) -> Written:
         store, folder = _opened(self.path)
-        name = f"part-{uuid.uuid4().hex}.zip"
-        first = next(rows, None)
-        if first is None:
-            return Written(None, name)
-        aside = f"{folder}/_aside-{self.job}"
-        store.create_dir(aside)
-        with store.open_output_stream(f"{aside}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            while first is not None:
-                z.writestr(zipfile.ZipInfo(first["member"]), bytes(first["content"] or b""), zipfile.ZIP_DEFLATED)
-                first = next(rows, None)
-        return Written(aside, name)
+        aside, names = f"{folder}/_aside-{self.job}", []
+        row = next(rows, None)
+        if row is not None:
+            store.create_dir(aside)
+        while row is not None:
+            names.append(f"part-{uuid.uuid4().hex}.zip")
+            with store.open_output_stream(f"{aside}/{names[-1]}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                while row is not None:
+                    z.writestr(zipfile.ZipInfo(row["member"]), bytes(row["content"] or b""), zipfile.ZIP_DEFLATED)
+                    row = next(rows, None)
+                    if len(z.filelist) >= self.members or out.tell() >= self.split:
+                        break
+        return Written(aside, names)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = _opened(self.path)
         for m in messages:
-            if m is not None and m.aside:
-                store.move(f"{m.aside}/{m.name}", f"{folder}/{m.name}")
+            for name in m.names if m is not None else ():
+                store.move(f"{m.aside}/{name}", f"{folder}/{name}")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -70,3 +70,17 @@ def test_writes_are_whole(spark, tmp_path):
     rows.limit(0).write.format("zip").mode("append").save(f"file://{tmp_path}/none")
     os.makedirs(tmp_path / "empty", exist_ok=True)
     assert spark.read.format("zip").load(f"file://{tmp_path}/empty").count() == 0
+
+
+def test_a_task_writes_archives_of_a_bounded_directory(spark, tmp_path):
+    zip_source.register(spark)
+    rows = spark.range(0, 45_000, 1, 1).select(F.concat(F.lit("m"), "id").alias("member"), F.repeat(F.col("id").cast("string"), 3).cast("binary").alias("content"))
+    rows.write.format("zip").mode("append").save(f"file://{tmp_path}/many")
+    sizes = [len(zipfile.ZipFile(f).namelist()) for f in (tmp_path / "many").iterdir()]
+    assert sorted(sizes) == [5_000, 20_000, 20_000]
+    back = spark.read.format("zip").load(f"file://{tmp_path}/many").select("member", "content")
+    assert back.exceptAll(rows).count() == 0 and back.count() == 45_000
+    noise = [(f"m{i}", os.urandom(50_000)) for i in range(10)]
+    spark.createDataFrame(noise, "member string, content binary").coalesce(1).write.format("zip").mode("append").option("splitBytes", 100_000).save(f"file://{tmp_path}/large")
+    assert len(list((tmp_path / "large").iterdir())) == 5
+    assert sorted((r["member"], bytes(r["content"])) for r in spark.read.format("zip").load(f"file://{tmp_path}/large").collect()) == noise
