@@ -9,6 +9,8 @@ decreasing over classes of equal bins). A distributed rank within each length th
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +23,12 @@ CACHE_WORDS = 600_000
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Stands between words that are encoded in one call; words that hold it are encoded alone.
 _MARK = "~"
+#: A word of lower-case letters up to U+024F and ASCII signs behind, none of them an apostrophe: a run of letters and one of signs.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:;=-@\[-`{-}]*)").fullmatch
+#: What a tokenizer does before its model, if runs of letters are the model's own units.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RUNS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -34,21 +42,57 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
         self.mark = self.encode([_MARK], add_special_tokens=False)[0].ids
+        self.letters = self._letters(tokenizer) if len(self.mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _letters(tokenizer):
+        """Encoding of runs of letters in normal form by the model alone, where the tokenizer splits runs of letters from signs; else None."""
+        import json
+
+        from tokenizers import Tokenizer
+
+        spec = json.loads(tokenizer.to_str())
+        if spec["normalizer"] != _NORMAL or spec["pre_tokenizer"] != _RUNS or spec["post_processor"] is not None:
+            return None
+        spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(spec)).encode_batch_fast
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = [w.decode() for w in words.difference(self.known)]
+        if self.letters is None:
+            return self._learn(new)
+        runs, signs, both, others = set(), set(), [], []
+        for w in new:
+            m = _PLAIN(w)
+            if m is None or not (m[1].isascii() or m[1] == m[1].lower()):
+                others.append(w)
+            else:
+                runs.add(m[1])
+                if m[2]:
+                    signs.add(m[2])
+                    both.append((w, m[1], m[2]))
+        self._learn([*others, *(s for s in signs.difference(others) if s.encode() not in self.known)])
+        self._learn_joined([w for w in runs if w.encode() not in self.known], self.letters)
+        for w, run, sign in both:
+            self.known[w.encode()] = self.known[run.encode()] + self.known[sign.encode()]
+
+    def _learn(self, new: list[str]) -> None:
         alone = [w for w in new if _MARK in w or "<|" in w or len(self.mark) != 1]
         joined = [w for w in new if not (_MARK in w or "<|" in w or len(self.mark) != 1)]
         for w, e in zip(alone, self.encode(alone, add_special_tokens=False), strict=True):
             self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
+        self._learn_joined(joined, self.encode)
+
+    def _learn_joined(self, joined: list[str], encode) -> None:
         for i in range(0, len(joined), 256):
             some = joined[i : i + 256]
-            ids = np.array(self.encode([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(encode([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             start, data = 0, ids.tobytes()
             for w, end in zip(some, ends.tolist(), strict=True):
