@@ -1,6 +1,7 @@
 import json
 import os
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from runweave.plans import catalog
@@ -93,3 +94,34 @@ def test_a_batch_has_many_files(spark, tmp_path):
         for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
             spark.conf.unset(key)
     assert seen == [(0, 15_000, 0, 0), (1, 15_000, 1, 1)]
+
+
+def test_a_try_costs_two_calls_to_its_state():
+    """One to read it and one to write it; a batch of replays writes nothing."""
+    calls = []
+
+    class Value:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    each = worker_status.WorkerStatus()
+    each.init(Handle())
+    rows = [Row(mark=3 * seq + worker_status.KINDS.index(kind), at=at) for seq, kind, at in ((2, "TRY_INFO", 7), (1, "FIRST", 5), (3, "LAST", None), (1, "FIRST", 5))]
+    assert [tuple(r) for r in each.handleInputRows(("r", 1, 0), iter(rows), None)] == [("r", 1, 0, "running", 5, 1), ("r", 1, 0, "running_ended", None, 3)]
+    assert list(each.handleInputRows(("r", 1, 0), iter(rows[1:]), None)) == []
+    assert calls == ["get", "update", "get"]
